@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import line_dedup, mixing, simhash, token_counts, token_files
+from ravelin.llm import decontaminate, line_dedup, mixing, simhash, token_counts, token_files, warc
 
 #: A file of the installed tokenizers, by name; executors have the same package.
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,12 +46,22 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.decoded_pages(warc.write(_read(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_warc": op8_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,6 +82,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op8_warc": r"""
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN p.page_id > f.first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id > f.first_page THEN f.first_page END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
     "op5_mix_sources": r"""
         WITH sizes AS (
             SELECT doc_id, source, md5('42:' || CAST(doc_id AS VARCHAR)) AS key,
