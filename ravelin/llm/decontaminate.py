@@ -84,7 +84,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_0
     ).alias("a")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash"))
-    both = texts.join(per_doc, same).select("d.doc_id", word_hashes(F.col("d.text")).alias("words"), F.col("a.found").alias("found"))
+    both = texts.join(per_doc.hint("shuffle_hash"), same).select("d.doc_id", word_hashes(F.col("d.text")).alias("words"), F.col("a.found").alias("found"))
 
     def judged(c: Column) -> Column:
         agree = F.transform(c["item_words"], lambda w, i: (F.get("words", c["first_word"] + i) == w).cast("int"))
