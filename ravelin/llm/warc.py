@@ -214,7 +214,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=names).astype(INTS)
 
-    return manifest.select("path").repartition("path").mapInPandas(work, RECORD)
+    # as many partitions as files: the adaptive planner would put rows this few and small into one task
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInPandas(work, RECORD)
 
 
 INTS = {"refers_to": "Int64", "segment": "Int32", "total": "Int64", "page_id": "Int64", "payload_bytes": "Int64"}
