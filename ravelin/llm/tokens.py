@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 WHOLE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x01]|[ \\n][ \\n]|<\\|"
 MARK = "\x01"
 #: Different stretches that an encoder remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 #: Texts of about so many bytes are put together at once.
 AT_ONCE = 8_000_000
 
@@ -36,6 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self._forget()
 
     @classmethod
@@ -53,42 +55,62 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 20, np.int32), 0
         self.at, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
-    def _learn(self, stretches: list[str]) -> None:
-        """Remembers the ids of stretches, all new and different."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.known), int(sizes.sum())
+    def _store(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers that each of keys, all new and different, has so many of the ids in a row."""
+        first, total = len(self.known), len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while first + len(ids) > len(self.at):
+        while first + len(keys) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        self.at[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(ids)] = sizes
-        self.known.update(zip(stretches, range(first, first + len(ids)), strict=True))
+        self.pool[self.used : self.used + total] = ids
+        self.at[first : first + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(keys)] = sizes
+        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
         self.used += total
 
-    def _places(self, different: list[str]) -> np.ndarray:
-        """The numbers under which the ids of stretches are known, two for each: the stretch and a last [.,] or nothing."""
+    def _gathered(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the stretches known under places, in a row."""
+        sizes = self.size[places].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.at[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn(self, stretches: list[str]) -> None:
+        """Remembers the ids of new stretches; a last [.,] after a letter is a piece of its own, so the rest is shared."""
+        bases = [s[:-1] if s[-1] in ".," and s[-2:-1].isalpha() else s for s in stretches if s]
+        new = list(dict.fromkeys(b for b in bases if b not in self.known))
+        texts = [b[1:] if b[0] == MARK else b if b[0] == "\n" else " " + b for b in new]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._store(new, sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+        if "" in stretches:
+            alone = self.tokenizer.encode(" ", add_special_tokens=False).ids
+            self._store([""], np.array([len(alone)]), np.array(alone, np.int32))
+        ended = [(s, b) for s, b in zip(filter(None, stretches), bases, strict=True) if s is not b and s not in self.known]
+        if ended:
+            places = np.fromiter((self.known[b] for _, b in ended), np.int64, len(ended))
+            sizes = self.size[places].astype(np.int64)
+            marks = np.array([self.ends[s[-1]] for s, _ in ended], np.int32)
+            self._store([s for s, _ in ended], sizes + 1, np.insert(self._gathered(places), np.cumsum(sizes), marks))
+
+    def _places(self, different: np.ndarray) -> np.ndarray:
+        """The numbers under which the ids of stretches are known."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        pairs = []
-        for s in different:
-            s = s[1:] if s[:1] == MARK else s if s[:1] == "\n" else " " + s
-            pairs.append((s[:-1], s[-1]) if s[-1:] in (".", ",") and s[-2:-1].isalpha() else (s, ""))
-        wanted = {x for pair in pairs for x in pair}
-        if new := sorted(wanted.difference(self.known)):
-            self._learn(new)
-        return np.array([(self.known[a], self.known[b]) for a, b in pairs], np.int64).reshape(-1, 2)
+        places = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            self._learn(different[new].tolist())
+            places[new] = np.fromiter(map(self.known.__getitem__, different[new]), np.int64, len(new))
+        return places
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the stretches of all texts, and for each text where its own start."""
         marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, "\n", " \n"), "")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())
+        places = self._places(coded.dictionary.to_numpy(zero_copy_only=False))
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return places[coded.indices.to_numpy()].reshape(-1), bounds.astype(np.int64) * 2
+        return places[coded.indices.to_numpy()], bounds
 
     def encode(self, texts: pa.Array, ids_too: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """Yields, for stretches of texts in order, the number of ids of each text and (ids_too) all their ids in a row."""
@@ -114,11 +136,10 @@ class Encoder:
         flat = np.empty(0, np.int32)
         if len(plain):
             places, bounds = self._cut(texts.take(pa.array(plain)) if whole.any() else texts)
-            sizes = self.size[places].astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(sizes)))
+            ends = np.concatenate(([0], np.cumsum(self.size[places], dtype=np.int64)))
             counts[plain] = np.diff(ends[bounds])
             if ids_too:
-                flat = self.pool[np.repeat(self.at[places] - ends[:-1], sizes) + np.arange(ends[-1])]
+                flat = self._gathered(places)
         if not ids_too:
             return counts, None
         if not parts:
