@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import ann, decontaminate, line_dedup, mixing, simhash, token_counts, token_files, toxicity, warc
+from ravelin.llm import ann, decontaminate, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 
 #: A file of the installed tokenizers, by name; executors have the same package.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.decoded_pages(warc.write(_read(spark, sf_dir, "pages")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
