@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ravelin.operators import analytics as A
 from ravelin.operators import lookup as L
+from ravelin.operators import rules as R
 from ravelin.operators import search as S
+from ravelin.operators import sinks as K
+from ravelin.operators import store as M
 from ravelin.operators import traverse as V
 from ravelin.plans import projection
 
@@ -289,6 +292,116 @@ ORACLES["keyword_extract"] = (
 )
 
 
+# Stored tables, their merges and the joins that complete them.
+
+@graph("dml_upsert_node", """, loads AS (SELECT id, name, 0 AS seq FROM nodes UNION ALL SELECT id, name || 'New', 1 FROM nodes WHERE access_level = 'Public')
+    SELECT id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, name) AS n FROM loads) WHERE n = 1""")
+def dml_upsert_node(n, e):
+    first = n.select("id", "name", F.lit(0).alias("load_seq"))
+    again = n.where("access_level = 'Public'").select("id", F.concat("name", F.lit("New")).alias("name"), F.lit(1).alias("load_seq"))
+    return M.keep_last(first.unionByName(again), "id").select("id", "name")
+
+
+@graph("dml_insert_edge", """, loads AS (SELECT source, target, kind, line, 0 AS seq FROM edges UNION ALL SELECT source, target, kind, line, 1 FROM edges WHERE kind <> 'calls')
+    SELECT source, target, kind, line, seq AS load FROM (
+        SELECT *, row_number() OVER (PARTITION BY source, target, kind, coalesce(line, -1) ORDER BY seq) AS n FROM loads) WHERE n = 1""")
+def dml_insert_edge(n, e):
+    loads = e.withColumn("load_seq", F.lit(0)).unionByName(e.where("kind <> 'calls'").withColumn("load_seq", F.lit(1)))
+    return M.keep_first_edges(loads).select(*EDGE, F.col("load_seq").alias("load"))
+
+
+@graph("dml_delete_by_file", f"SELECT id, name FROM nodes WHERE file <> '{CHANGED}' UNION ALL SELECT id, name || '2' FROM nodes WHERE file = '{CHANGED}'")
+def dml_delete_by_file(n, e):
+    new = n.where(F.col("file") == CHANGED).withColumn("name", F.concat("name", F.lit("2")))
+    return M.replace_by_file(n, new, new.select("file")).select("id", "name")
+
+
+@graph("antijoin_hybrid", """, idx AS (SELECT id, file FROM nodes WHERE kind = 'class')
+    SELECT id, file FROM idx UNION ALL SELECT id, file FROM nodes WHERE file NOT IN (SELECT file FROM idx)""")
+def antijoin_hybrid(n, e):
+    return M.merge_sources(n.where("kind = 'class'").select("id", "file"), n.select("id", "file"))
+
+
+@graph("join_name_resolution", """, own AS (SELECT DISTINCT e.source, n.name FROM edges e JOIN nodes n ON e.target = n.id WHERE e.kind = 'extendsType')
+    SELECT DISTINCT o.source, n.id AS target FROM own o JOIN nodes n ON n.name = o.name
+    WHERE n.kind IN ('function', 'method', 'property', 'class', 'struct', 'enum', 'protocol', 'enumCase') AND n.id <> o.source""")
+def join_name_resolution(n, e):
+    called = e.where("kind = 'extendsType'").join(n.select(F.col("id").alias("target"), "name"), "target")
+    return M.resolve_names(called.withColumn("target", F.concat(F.lit("name::"), "name")).drop("name"), n).select("source", "target").distinct()
+
+
+@graph("join_range_enrich", """, decl AS (SELECT file, name, line + (line % 7) - 3 AS line, 'let ' || name || (line % 7) AS signature FROM nodes WHERE kind IN ('property', 'struct')),
+    near AS (SELECT n.id, d.signature, row_number() OVER (PARTITION BY n.id ORDER BY abs(n.line - d.line), d.line, d.signature) AS k
+             FROM nodes n JOIN decl d ON n.file = d.file AND n.name = d.name AND abs(n.line - d.line) <= 2)
+    SELECT n.id, coalesce(x.signature, n.signature) AS signature FROM nodes n LEFT JOIN near x ON n.id = x.id AND x.k = 1""")
+def join_range_enrich(n, e):
+    shift = F.col("line") % 7
+    found = n.where("kind IN ('property', 'struct')").select("file", "name", (F.col("line") + shift - 3).alias("line"), F.concat(F.lit("let "), "name", shift.cast("string")).alias("signature"))
+    found = found.withColumns({c: F.lit(None).cast("string") for c in ("access_level", "doc_comment")})
+    return M.enrich(n, found).select("id", "signature")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
+
+
+def antijoin_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to index again if those with an id divisible by three were stored as they are, and others not or with other content."""
+    now = M.with_hash(_files(spark, sf_dir), "text")
+    stored = now.where("doc_id % 3 = 0").unionByName(now.where("doc_id % 3 = 1").withColumn("hash", F.sha2(F.lit("old").cast("binary"), 256)))
+    return M.changed_files(now.select("path", "hash"), stored)
+
+
+QUERIES["antijoin_incremental"] = antijoin_incremental
+ORACLES["antijoin_incremental"] = "SELECT 'documents/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0"
+
+
+# Rules over lines: documents and pages as source files.
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.concat_ws("\n", "url", "html").alias("text"))
+    return _files(spark, sf_dir).select("path", "text").unionByName(pages)
+
+
+LINES = r"""WITH src AS (SELECT 'documents/' || doc_id AS file, text FROM documents UNION ALL SELECT 'pages/' || page_id, concat_ws(chr(10), url, html) FROM pages),
+cut AS (SELECT file, regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS l FROM src),
+lines AS (SELECT file, unnest(l) AS text, CAST(generate_subscripts(l, 1) AS INTEGER) AS line FROM cut) """
+_comment = r"NOT regexp_matches(text, '^\s*(//|/\*|\*)')"
+_any = lambda words, low=False: "(" + " OR ".join(f"contains({'lower(text)' if low else 'text'}, '{w.lower() if low else w}')" for w in words) + ")"
+_slash = r"NOT regexp_matches(text, '^\s*//')"
+LINE_SQL = {
+    "SEC-001": " UNION ALL ".join(f"SELECT file, line FROM lines WHERE {_comment} AND regexp_matches(text, '{p}')" for p in R.SECRETS),
+    "SEC-002": f"SELECT file, line FROM lines WHERE {_slash} AND {_any(('UserDefaults', '@AppStorage'))} AND {_any(R.SENSITIVE, True)}",
+    "SEC-003": f"SELECT file, line FROM lines WHERE {_slash} AND {_any(R.LOGS)} AND {_any(R.LOGGED, True)}",
+    "SEC-004": f"SELECT file, line FROM lines WHERE {_slash} AND contains(text, 'http://') AND NOT contains(text, 'http://localhost') AND NOT contains(text, 'http://127.0.0.1')",
+    "PERF-003": "SELECT file, line FROM lines WHERE contains(text, '[any ') AND contains(text, ']') OR contains(text, 'Array<any ') OR contains(text, 'Set<any ') OR contains(text, 'Dictionary<') AND contains(text, 'any ')",
+}
+SEVERITY = {"SEC-001": "critical", "SEC-002": "high", "SEC-003": "medium", "SEC-004": "high", "PERF-003": "medium"}
+CATEGORY = {r: "security" if r.startswith("SEC") else "swift-performance" for r in LINE_SQL}
+_chosen = lambda *ids: [r for r in R.RULES if r.id in ids]
+for _rule, _sql in LINE_SQL.items():
+    _key = _rule.lower().replace("-", "_")
+    QUERIES[_key] = lambda spark, sf_dir, _rule=_rule: R.findings(sources(spark, sf_dir), _chosen(_rule)).select("file", "line", "rule")
+    ORACLES[_key] = LINES + f"SELECT file, line, '{_rule}' AS rule FROM ({_sql})"
+ALL_LINES = LINES + ", found AS (" + " UNION ALL ".join(f"SELECT file, line, '{r}' AS rule, '{SEVERITY[r]}' AS severity, '{CATEGORY[r]}' AS category FROM ({q})" for r, q in LINE_SQL.items()) + ") "
+QUERIES["agg_by_severity"] = lambda spark, sf_dir: R.by_severity(R.findings(sources(spark, sf_dir), _chosen(*LINE_SQL)))
+ORACLES["agg_by_severity"] = ALL_LINES + "SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in R.SEVERITIES) + ", count(*) AS total FROM found"
+QUERIES["audit_run"] = lambda spark, sf_dir: R.audit(sources(spark, sf_dir), min_severity="high", rules=_chosen(*LINE_SQL)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
+ORACLES["audit_run"] = ALL_LINES + "SELECT rule, severity, count(*) AS n, count(DISTINCT file) AS files FROM found WHERE severity IN ('high', 'critical') GROUP BY rule, severity"
+QUERIES["topk_per_category"] = lambda spark, sf_dir: R.capped(R.findings(sources(spark, sf_dir), _chosen("SEC-002", "SEC-003", "SEC-004", "PERF-003")), 40).select("file", "line", "rule")
+ORACLES["topk_per_category"] = ALL_LINES + """, f AS (SELECT * FROM found WHERE rule <> 'SEC-001'),
+    ranked AS (SELECT *, list_position(['low', 'medium', 'high', 'critical'], severity) AS s,
+               row_number() OVER (PARTITION BY category ORDER BY list_position(['low', 'medium', 'high', 'critical'], severity) DESC, file, line, rule) AS n FROM f)
+    SELECT file, line, rule FROM ranked WHERE (SELECT count(*) FROM f) <= 40 OR n <= greatest(1, 40 // greatest(1, (SELECT count(DISTINCT category) FROM f)))
+    ORDER BY s DESC, category, file, line, rule LIMIT CASE WHEN (SELECT count(*) FROM f) <= 40 THEN 1000000 ELSE 40 END"""
+QUERIES["sink_text"] = lambda spark, sf_dir: K.text_lines(R.findings(sources(spark, sf_dir), _chosen("SEC-004")))
+ORACLES["sink_text"] = LINES + f"SELECT '[HIGH] SEC-004 ' || list_last(string_split(file, '/')) || ':' || line || ' an address without TLS' || chr(10) || '    Fix: Use https' AS line FROM ({LINE_SQL['SEC-004']})"
+QUERIES["sink_sarif"] = lambda spark, sf_dir: K.sarif_rules(R.findings(sources(spark, sf_dir), _chosen("SEC-001", "SEC-004"))).select("rule", "severity")
+ORACLES["sink_sarif"] = ALL_LINES + "SELECT DISTINCT rule, severity FROM found WHERE rule IN ('SEC-001', 'SEC-004')"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most depended-on symbols with their blast radius within two steps and its risk."""
     n, e = projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)
