@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 WHOLE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x01]|[ \\n][ \\n]|<\\|"
 MARK = "\x01"
 #: Different stretches that an encoder remembers; beyond that it starts anew.
-REMEMBERED = 1_600_000
+REMEMBERED = 700_000
 #: Texts of about so many bytes are put together at once.
 AT_ONCE = 8_000_000
 
