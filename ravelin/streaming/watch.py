@@ -19,7 +19,7 @@ from ravelin.operators.store import changed_files, keep_last, with_hash
 def watched(files: DataFrame) -> DataFrame:
     """The rows of a stream that matter: Swift files outside build folders."""
     path = F.col("path")
-    return files.where(path.endswith(".swift") & ~path.contains("/.build/") & ~path.contains("/DerivedData/"))
+    return files.where(path.endswith(".swift") & ~F.concat(F.lit("/"), path).rlike("/(\\.build|DerivedData)/"))
 
 
 def start(stream: DataFrame, stored: Callable[[], DataFrame], reindex: Callable[[DataFrame, int], None], checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
