@@ -18,8 +18,10 @@ position in sixty is left. Each stands for a stretch of neighbouring windows:
            at exactly `length` bytes; of equal stretches one takes part for all
 
 The first two rounds are one sort by (first rank, second rank), through which
-tasks stream with at most two positions in memory, so a rank that very many
-positions share is no larger group than any other. Ranks are 64-bit hashes; a
+tasks stream with at most two positions in memory. Of positions equal in both
+ranks a batch of texts sends only two to where that rank is sorted; the others
+repeat for certain and go anywhere, so a rank that very many positions share
+loads no task more than another. Ranks are 64-bit hashes; a
 stretch must agree in two of them. Spans come together by document, and a
 document's bytes are cut in one pass. Texts are shuffled compressed.
 
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,6 +48,8 @@ from ravelin.llm.scratch import table
 LENGTH, GRAM = 200, 40
 #: Windows of a text that are looked at together.
 AT_ONCE = 1 << 18
+#: Windows that round 3 ranks before it passes them on.
+WINDOWS = 100_000
 LOW = np.uint64((1 << 20) - 1)
 BASE = 0x9E3779B97F4A7C15
 DONE, OPEN, FOR_ALL = 0, 1, 2
@@ -104,8 +109,21 @@ def _kind(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def _beyond_two(grams: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether two earlier positions have the same gram and whole."""
+    order = np.lexsort((whole, grams))
+    g, w = grams[order], whole[order]
+    out = np.zeros(len(g), bool)
+    out[order[2:]] = (g[2:] == g[:-2]) & (w[2:] == w[:-2])
+    return out
+
+
 def positions(docs: DataFrame, length: int) -> DataFrame:
-    """gram, whole (hashes), doc_id, text_hash, first and n (windows) of every synchronising position."""
+    """gram, whole (hashes), doc_id, text_hash, first and n (windows) of every synchronising position.
+
+    known: the position is not among the first two of its gram and whole in a
+    batch of texts, so it repeats for certain; its gram is then a random number.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = xxhash.xxh3_64_intdigest
@@ -119,12 +137,14 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                         out.append(x)
             if found[0]:
                 grams, whole, row, first, n = map(np.concatenate, found)
+                known = _beyond_two(grams, whole)
+                grams[known] = _mixed(np.arange(known.sum(), dtype=np.uint64) + grams[known])
                 who = batch.select(["doc_id", "text_hash"]).take(pa.array(row))
-                columns = [pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64)), *who.columns, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "whole", "doc_id", "text_hash", "first", "n"])
+                columns = [pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64)), *who.columns, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known)]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "whole", "doc_id", "text_hash", "first", "n", "known"])
 
     rows = docs.select("doc_id", F.hash("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, f"gram long, whole long, doc_id {_kind(docs)}, text_hash int, first int, n int")
+    return rows.mapInArrow(work, f"gram long, whole long, doc_id {_kind(docs)}, text_hash int, first int, n int, known boolean")
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +181,9 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(rows, starts[many & others], FOR_ALL)
 
     for batch in batches:
+        known = batch.column("known")
+        yield told(batch, np.flatnonzero(known.to_numpy(zero_copy_only=False)), DONE)
+        batch = batch.filter(pc.invert(known))
         if batch.num_rows:
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             yield from runs(rows, end=False)
@@ -175,19 +198,25 @@ def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of, unpack = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor()
+        names = ["rank", "doc_id", "text_hash", "first", "open"]
         for batch in batches:
-            row, first, ranks, open_ = [], [], [], []
-            for i, (data, found) in enumerate(zip(batch.column("data"), batch.column("found").to_pylist(), strict=True)):
+            who, parts, held = batch.select(["doc_id", "text_hash"]), [], 0
+
+            def told(who: pa.RecordBatch = who) -> pa.RecordBatch:
+                rank, row, first, open_ = map(np.concatenate, zip(*parts, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), *who.take(pa.array(row)).columns, pa.array(first), pa.array(open_)], names)
+
+            for i, (data, found) in enumerate(zip(batch.column("data"), batch.column("found"), strict=True)):
                 text = unpack.decompress(data.as_py())
-                for f in found:
-                    span = range(f["first"], f["first"] + f["n"])
-                    ranks += [hash_of(text[s : s + length]) for s in span]
-                    first += span
-                    row += [i] * f["n"]
-                    open_ += [f["state"] == OPEN] * f["n"]
-            who = batch.select(["doc_id", "text_hash"]).take(pa.array(row, pa.int32()))
-            rank = pa.array(np.array(ranks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([rank, *who.columns, pa.array(first, pa.int32()), pa.array(open_, pa.bool_())], ["rank", "doc_id", "text_hash", "first", "open"])
+                for f, n, state in zip(*(x.to_pylist() for x in found.values.flatten()), strict=True):
+                    rank = np.fromiter((hash_of(text[s : s + length]) for s in range(f, f + n)), np.uint64, n)
+                    parts.append((rank, np.full(n, i, np.int32), np.arange(f, f + n, dtype=np.int32), np.full(n, state == OPEN)))
+                    held += n
+                    if held >= WINDOWS:
+                        yield told()
+                        parts, held = [], 0
+            if parts:
+                yield told()
 
     windows = both.mapInArrow(work, f"rank long, doc_id {kind}, text_hash int, first int, open boolean")
 
