@@ -43,7 +43,7 @@ from ravelin.llm.scratch import table
 #: Vectors that rotations are learned and radii are estimated on, at most.
 SAMPLE = 4096
 ROTATIONS = 4
-CANDIDATES = 600
+CANDIDATES = 1000
 BLOCK, QUERY_BLOCK = 4096, 2048
 POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
