@@ -15,6 +15,7 @@ from ravelin.operators import sinks as K
 from ravelin.operators import store as M
 from ravelin.operators import traverse as V
 from ravelin.plans import projection
+from ravelin.sources import index_dump as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -357,6 +358,36 @@ QUERIES["antijoin_incremental"] = antijoin_incremental
 ORACLES["antijoin_incremental"] = "SELECT 'documents/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0"
 
 
+# A compiler index derived from line items: parts are symbols, suppliers what they relate to, quantities their roles.
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    usr = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    other = F.struct(usr("supp::", "l_suppkey").alias("usr"), (F.col("l_linenumber") + 4).alias("kind"), F.expr("cast(l_quantity as bigint) * 512").alias("roles"))
+    return items.select(
+        usr("part::", "l_partkey").alias("usr"), usr("p", "l_partkey").alias("name"), (F.col("l_partkey") % 30).cast("int").alias("kind"),
+        F.expr("(l_orderkey % 8) * 131072").alias("properties"), (F.col("l_orderkey") % 4).alias("roles"), F.lit("Sources/Index.swift").alias("file"),
+        F.col("l_orderkey").cast("int").alias("line"), F.col("l_linenumber").alias("col"), F.array(other).alias("relations"),
+    )
+
+
+QUERIES["scan_is_record"] = lambda spark, sf_dir: X.definitions(occurrences(spark, sf_dir)).select("id", "kind", "access_level", "line", "col")
+_kinds = " ".join(f"WHEN {k} THEN '{v}'" for k, v in X.KINDS.items())
+_levels = " ".join(f"WHEN {bits} THEN '{level}'" for level, bits in X.ACCESS.items())
+ORACLES["scan_is_record"] = f"""SELECT 'part::' || l_partkey AS id, CASE l_partkey % 30 {_kinds} ELSE 'function' END AS kind,
+    CASE (l_orderkey % 8) * 131072 {_levels} ELSE 'Internal' END AS access_level, CAST(l_orderkey AS INTEGER) AS line, l_linenumber AS col
+    FROM lineitem WHERE (l_orderkey % 4) & 2 <> 0"""
+QUERIES["is_relations"] = lambda spark, sf_dir: X.relations(occurrences(spark, sf_dir)).select("source", "target", "kind", "line", "col")
+ORACLES["is_relations"] = """WITH o AS (SELECT 'part::' || l_partkey AS usr, 'supp::' || l_suppkey AS other, l_linenumber + 4 AS k, CAST(l_quantity AS BIGINT) AS q,
+        CAST(l_orderkey AS INTEGER) AS line, l_linenumber AS col FROM lineitem)
+    SELECT other AS source, usr AS target, 'calls' AS kind, line, col FROM o WHERE q & 16 <> 0
+    UNION ALL SELECT usr, other, CASE WHEN k = 8 THEN 'conformsTo' ELSE 'inheritsFrom' END, line, col FROM o WHERE q & 2 <> 0
+    UNION ALL SELECT usr, other, 'overrides', line, col FROM o WHERE q & 4 <> 0
+    UNION ALL SELECT usr, other, 'contains', line, col FROM o WHERE q & 1 <> 0
+    UNION ALL SELECT other, usr, 'extendsType', line, col FROM o WHERE q & 32 <> 0"""
+
+
 # Rules over lines: documents and pages as source files.
 
 

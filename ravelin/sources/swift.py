@@ -29,7 +29,7 @@ def read(spark: SparkSession, folder: str, include: list[str] | None = None, exc
     """path, hash and text of all *.swift files under a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.swift").load(folder)
     found = found.where(should_include(F.col("path"), include, EXCLUDE if exclude is None else exclude))
-    return found.select("path", F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return found.select("path", F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("text"))
 
 
 def split_lines(text: Column) -> Column:
