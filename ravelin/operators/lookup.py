@@ -117,9 +117,10 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, symbol: str, direction: str =
 
 def node_detailed(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
     """The node with what it conforms to (sorted) and how often it is extended."""
-    conforms = supertypes(edges, symbol).where("kind = 'conformsTo'").agg(F.array_sort(F.collect_set("target")).alias("conforms_to"))
-    extended = extensions(edges, symbol).agg(F.count(F.lit(1)).alias("extension_count"))
-    return node_lookup(nodes, symbol).join(F.broadcast(conforms), F.lit(True)).join(F.broadcast(extended), F.lit(True))  # one row each
+    about = edges.where((F.col("source") == symbol) & (F.col("kind") == "conformsTo") | (F.col("target") == symbol) & (F.col("kind") == "extendsType"))
+    conforms = F.when(F.col("kind") == "conformsTo", F.col("target"))
+    about = about.agg(F.array_sort(F.collect_set(conforms)).alias("conforms_to"), F.count_if(F.col("kind") == "extendsType").alias("extension_count"))
+    return node_lookup(nodes, symbol).join(about.withColumn("id", F.lit(symbol)), "id")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
