@@ -279,6 +279,23 @@ recursive("context_score", bm25_sql("supplier1coordinator", False) + """, seeds
 )
 
 
+graph("agg_bool_any", """, f AS (SELECT bool_or(contains(name, 'ViewModel')) AS vm, bool_or(contains(name, 'View') AND NOT contains(name, 'ViewModel')) AS view,
+        bool_or(contains(name, 'Router')) AS router, bool_or(contains(name, 'Coordinator')) AS coordinator, bool_or(contains(name, 'Interactor')) AS interactor,
+        bool_or(contains(name, 'Presenter')) AS presenter, bool_or(contains(name, 'Store') OR contains(name, 'Reducer')) AS store, bool_or(kind = 'protocol') AS protocol FROM nodes)
+    SELECT CASE WHEN interactor AND presenter AND router THEN 'VIPER' WHEN store THEN 'TCA/Redux' WHEN vm AND coordinator THEN 'MVVM+Coordinator' WHEN vm AND router THEN 'MVVM+Router'
+        WHEN vm AND view THEN 'MVVM' WHEN view AND protocol THEN 'Protocol-oriented' END AS architecture FROM f""")(lambda n, e: A.context_pattern(n))
+graph("set_union_bidir", f"SELECT source AS id, 1 AS hop FROM edges WHERE target = '{SUPPLIER}' UNION SELECT target, 1 FROM edges WHERE source = '{SUPPLIER}' UNION SELECT '{SUPPLIER}', 0")(
+    lambda n, e: V.k_hops(e, e.sparkSession.createDataFrame([(SUPPLIER,)], "id string"), 1)
+)
+graph("limit_edges", """, und AS (
+        SELECT target AS near, source AS far, row_number() OVER (PARTITION BY target ORDER BY source, kind, line NULLS FIRST) AS k FROM edges
+        UNION ALL SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target, kind, line NULLS FIRST) FROM edges)
+    SELECT DISTINCT far AS id, 1 AS hop FROM und WHERE k <= 10 AND near = 'supp::2' AND far <> 'supp::2' UNION ALL SELECT 'supp::2', 0""")(
+    lambda n, e: V.k_hops(e, e.sparkSession.createDataFrame([("supp::2",)], "id string"), 1, per_node=10)
+)
+graph("set_union_seeds", bm25_sql("widget", False) + "SELECT id FROM (SELECT id FROM ranked ORDER BY score DESC, id LIMIT 10)")(lambda n, e: S.seeds(n, ["widget", "Widget"]))
+
+
 def _documents(query):
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
