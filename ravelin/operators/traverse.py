@@ -19,7 +19,7 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     seeds: a column seed. edges: source and target; every kind counts.
     """
-    back = edges.select("source", "target").distinct()
+    back = table(edges.select("source", "target").distinct(), "edges")  # read again at every level
     seen = table(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("level")).distinct(), "level")
     frontier, levels = seen, [seen]
     for level in range(1, depth + 1):
@@ -34,7 +34,7 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def transitive_callers(edges: DataFrame, symbol: str, depth: int | None = None, limit: int | None = None) -> DataFrame:
     """level, source, target and line of every call on the way to symbol, those back to visited callers included."""
-    calls = edges.where("kind = 'calls'").select("source", "target", "line")
+    calls = table(edges.where("kind = 'calls'").select("source", "target", "line"), "calls")
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(symbol,)], "id string")
     visited, out, level = frontier, None, 0
@@ -64,7 +64,7 @@ def k_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2, per_node: int | No
         order = Window.partitionBy("near").orderBy("far", "kind", F.col("line").asc_nulls_first())
         return own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_node).select("near", "far")
 
-    both = sided("source", "target").unionByName(sided("target", "source")).distinct()
+    both = table(sided("source", "target").unionByName(sided("target", "source")).distinct(), "neighbours")
     seen = frontier = table(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop")
     for hop in range(1, hops + 1):
         step = frontier.join(both, F.col("id") == F.col("near")).select(F.col("far").alias("id")).distinct()
