@@ -33,6 +33,7 @@ Other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,14 +263,27 @@ def cut(data: bytes, first: np.ndarray, n: np.ndarray, length: int) -> tuple[byt
     return b"".join(kept), len(starts)
 
 
+def _let_go(docs: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of rounds that are over, whose results are tables now.
+
+    Its cleaner does so once the driver's garbage collector finds them
+    unused, which may be long after the disks need the room.
+    """
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (kept) of each row of docs."""
     kind = _kind(docs)
     ranks = positions(docs, length).repartition("gram").sortWithinPartitions("gram", "whole")
     stay = table(ranks.mapInArrow(_ranked, f"doc_id {kind}, text_hash int, first int, n int, state int"), "positions")
+    del ranks
+    _let_go(docs)
     texts = compressed(docs)
-    windows = repeated_windows(texts, stay.where(F.col("state") != DONE), length, kind)
-    spans = stay.where(F.col("state") == DONE).drop("state").unionByName(table(windows, "windows"))
+    windows = table(repeated_windows(texts, stay.where(F.col("state") != DONE), length, kind), "windows")
+    _let_go(docs)
+    spans = stay.where(F.col("state") == DONE).drop("state").unionByName(windows)
     per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
