@@ -11,9 +11,13 @@ values that near in every index retrieves all codes within r. Those are
 checked against r as whole codes and ranked by the inner products of the
 original vectors in double precision.
 
-A query's radius is the one within which about `CANDIDATES` of all vectors
-are expected, from the distances of its code to the sample's. A query that
-gets fewer neighbours than it should is searched again without a radius.
+A query's first radius is the one within which about `CANDIDATES` of all vectors
+are expected, from the distances of its code to the sample's. Its k-th exact score
+among those bounds the angle of every true neighbour, whatever the number of
+rows. The second search therefore takes the radius within which codes at that angle lie with
+probability `RECALL`, as measured on the sample's own neighbours, and ranks
+what lies between both radii. A query that gets fewer neighbours than it should
+is searched without a radius.
 
 Queries are met with all rows block by block: rows are dealt into blocks of
 about `BLOCK` rows, queries into blocks of their own, and each pair of
@@ -44,6 +48,10 @@ from ravelin.llm.scratch import table
 SAMPLE = 4096
 ROTATIONS = 4
 CANDIDATES = 1000
+#: Share of the codes at the k-th neighbour's angle that the second radius takes in; nearer ones are taken in more often.
+RECALL = 0.99
+#: The sample's queries and their neighbours that the spread of distances is measured on.
+MEASURED, MEASURED_NEAR = 512, 20
 BLOCK, QUERY_BLOCK = 4096, 2048
 POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
@@ -77,6 +85,29 @@ class Codes:
         lifted = self.lift(sample)
         self.rotations = learn(lifted)
         self.sample = self.code(lifted)
+        self.spread = self._spread(sample[:MEASURED], sample)
+
+    def _spread(self, queries: np.ndarray, rows: np.ndarray) -> float:
+        """How many binomial deviations above its mean the distance of a neighbour's code is, at quantile RECALL."""
+        scores = queries @ rows.T
+        np.fill_diagonal(scores, -np.inf)
+        best = np.argsort(-scores, axis=1)[:, : min(MEASURED_NEAR, len(rows) - 1)]
+        if not best.size:
+            return NormalDist().inv_cdf(RECALL)
+        bits, far = self.sample.shape[1] * 8, hamming(self.query(queries), self.sample)
+        share = self.angles(queries, np.take_along_axis(scores, best, axis=1)) / np.pi
+        off = (np.take_along_axis(far, best, axis=1) - bits * share) / np.sqrt(np.maximum(bits * share * (1 - share), 1))
+        return float(np.quantile(off, RECALL))
+
+    def angles(self, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The angles on the sphere between queries (rows of x) and vectors with these inner products."""
+        length = np.sqrt((x * x).sum(axis=1)).reshape(-1, *[1] * (scores.ndim - 1)) * self.longest
+        return np.arccos(np.clip(scores / np.maximum(length, 1e-300), -1, 1))
+
+    def wider(self, x: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """For each query, the radius that holds codes at the angle of its k-th score with probability RECALL."""
+        bits, share = self.sample.shape[1] * 8, self.angles(x, kth) / np.pi
+        return np.ceil(bits * share + self.spread * np.sqrt(np.maximum(bits * share * (1 - share), 1))).astype(np.int64)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(axis=1)))[:, None]], axis=1)
@@ -88,10 +119,14 @@ class Codes:
     def query(self, x: np.ndarray) -> np.ndarray:
         return self.code(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
 
+    def prunes(self) -> bool:
+        """Whether the first radius leaves rows out: not where CANDIDATES are half of all."""
+        return CANDIDATES / max(1, self.n_rows) < 0.5
+
     def radii(self, codes: np.ndarray) -> np.ndarray:
         """For each query code, the radius with about CANDIDATES of all rows in it."""
         share = CANDIDATES / max(1, self.n_rows)
-        if share >= 0.5:
+        if not self.prunes():
             return np.full(len(codes), codes.shape[1] * 8)
         far = hamming(codes, self.sample)
         if share * far.shape[1] >= 20:
@@ -125,11 +160,16 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _search(rows: DataFrame, queries: DataFrame, k: int, codes: Codes, everything: bool) -> DataFrame:
-    """The k nearest rows of each query in each block: query_id, vec_id, score."""
+    """The k nearest rows of each query in each block: query_id, vec_id, score.
+
+    Queries with a column kth have been searched before: theirs are the rows
+    beyond the first radius, within the wider one and not below kth.
+    """
+    again = "kth" in queries.columns
     n_blocks, n_query_blocks = ceil(max(1, rows.count()) / BLOCK), ceil(max(1, queries.count()) / QUERY_BLOCK)
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "embedding", own(n_query_blocks).alias("of"), all_of(n_blocks).alias("block"))
+    left = queries.select("vec_id", "embedding", *(["kth"] if again else []), own(n_query_blocks).alias("of"), all_of(n_blocks).alias("block"))
     right = rows.select("vec_id", "embedding", own(n_blocks).alias("block"), all_of(n_query_blocks).alias("of"))
     shared = rows.sparkSession.sparkContext.broadcast(codes)  # bounded: SAMPLE codes and the rotations
 
@@ -142,13 +182,17 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, codes: Codes, everythin
             qx, rx, ri = _vectors(q.column("embedding")), _vectors(r.column("embedding"))[order], ri[order]
             qc, rc = made.query(qx), made.code(made.lift(rx))
             radii = np.full(len(qx), qc.shape[1] * 8) if everything else made.radii(qc)
+            done, least = (radii, q.column("kth").to_numpy()) if again else (np.full(len(qx), -1), np.full(len(qx), -np.inf))
+            radii = made.wider(qx, least) if again else radii
             for at in range(0, len(qx), 256):
                 part = slice(at, at + 256)
-                near = probe(qc[part], rc, radii[part]) & (hamming(qc[part], rc) <= radii[part, None])
+                far = hamming(qc[part], rc)
+                near = probe(qc[part], rc, radii[part]) & (far <= radii[part, None]) & (far > done[part, None])
                 near &= qi[part, None] != ri[None, :]
                 for i, row in enumerate(near, at):
                     found = np.flatnonzero(row)
                     score = (rx[found] * qx[i]).sum(axis=1)
+                    found, score = found[score >= least[i]], score[score >= least[i]]
                     best = np.lexsort((ri[found], -score))[:k]
                     out["query_id"].append(np.full(len(best), qi[i]))
                     out["vec_id"].append(ri[found[best]])
@@ -178,8 +222,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     near = table(ranked(_search(rows, queries, k, codes, everything=False)), "near")
     # each query's own row is no candidate, so the others are n_rows - 1 or, where ids repeat, fewer
-    full = near.groupBy("query_id").count().where(F.col("count") >= min(k, n_rows - 1)).select("query_id")
+    per_query = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("kth"))
+    full = table(per_query.where(F.col("found") >= min(k, n_rows - 1)).select("query_id", "kth"), "full")
     short = table(queries.join(full, queries.vec_id == full.query_id, "left_anti"), "short")
+    if codes.prunes():
+        known = table(queries.join(full, queries.vec_id == full.query_id).select("vec_id", "embedding", "kth"), "known")
+        more = _search(rows, known, k, codes, everything=False)
+        near = ranked(near.select("query_id", "vec_id", "score").unionByName(more))
     if not short.isEmpty():
         again = ranked(_search(rows, short, k, codes, everything=True))
         near = near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
