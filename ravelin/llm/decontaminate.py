@@ -9,15 +9,17 @@ then compared one by one. An item overlaps a document if in some stretch of
 WINDOW aligned words (all of a shorter item) at least LEAST of them agree.
 
 The masks find every such stretch of 13 words: with two of them substituted
-there are either 5 unchanged words in a row or the pattern 1111?1.
+there are either 5 unchanged words in a row or the pattern 1111?1. Shorter
+items have masks by their length (`masks_of`): up to four words must all agree and are
+one seed, five to nine allow one other word, ten to twelve two. Documents
+are looked through by the masks of those lengths only that the benchmark has.
 
 Documents meet the distinct benchmark hashes first, in a semi-join that
 discards all but hits. Its benchmark side is broadcast only if counted to be
 at most `max_broadcast` hashes of 8 bytes; beyond that it is a shuffled join.
 Everything after works on hits alone.
 
-Defined cases: null and empty texts have no words and no overlap. Items of
-fewer than five words have no seed and match nothing; equal items are
+Defined cases: null and empty texts have no words and no overlap. Equal items are
 compared once and each gets the rows. Rows that share doc_id and text are one
 document; rows that share a doc_id only are compared each by its own text. A
 null doc_id is returned as null.
@@ -33,6 +35,9 @@ from ravelin.llm.scratch import table
 
 #: Word positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 5, 6))
+#: Those of items under 13 words: whole items of one to four words, and four of five words.
+SHORT_MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+ALL_MASKS = MASKS + SHORT_MASKS
 #: Words in a stretch, and the share of them that must agree.
 WINDOW, LEAST = 13, 0.8
 BLANK = r"[\x20\x09-\x0D]+"
@@ -44,39 +49,57 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos and h for every mask at every position of rows' `words`."""
-    def of_mask(number: int, mask: tuple[int, ...]) -> Column:
+def masks_of(n_words: int) -> tuple[int, ...]:
+    """Places in ALL_MASKS of the masks that find an item of n_words with every substitution allowed."""
+    if n_words < 5:
+        return (2 + n_words,) if n_words else ()
+    if n_words < 10:
+        return (6, 7, 8, 9) if n_words == 5 else (6, 8)
+    return (0, 1, 2, 6, 8) if n_words < 12 else (0, 1, 2)
+
+
+def seeds(rows: DataFrame, *keys: str, masks: dict[int, Column | None]) -> DataFrame:
+    """keys, pos and h for masks (places in ALL_MASKS, each with the condition that rows must meet) at every position of rows' `words`."""
+    def of_mask(number: int, only: Column | None) -> Column:
+        mask = ALL_MASKS[number]
         span = mask[-1] + 1
         hashed = F.transform(
             F.sequence(F.lit(0), F.size("words") - span),
             lambda i: F.xxhash64(F.lit(number), *(F.get("words", i + o) for o in mask)),
         )
-        return F.when(F.size("words") >= span, hashed).otherwise(F.array().cast("array<bigint>"))
+        fits = F.size("words") >= span
+        return F.when(fits if only is None else fits & only, hashed).otherwise(F.array().cast("array<bigint>"))
 
-    at_each = [of_mask(number, mask) for number, mask in enumerate(MASKS)]
+    at_each = [of_mask(number, only) for number, only in sorted(masks.items(), key=lambda m: m[0])]
     nested = rows.select(*keys, F.posexplode(F.array(*at_each)).alias("mask", "hashes"))
     return nested.select(*keys, F.posexplode("hashes").alias("pos", "h"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, first_word (of the item's place in the document, from 0; negative if cut off), matched and item_words of every overlap."""
+def _overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, item_hash, first_word, matched and item_words of every alignment that overlaps, and the items."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
     items = table(items.withColumn("item_hash", F.xxhash64("words")), "items")
     distinct = items.dropDuplicates(["item_hash"]).select("item_hash", "words")
-    item_seeds = table(seeds(distinct, "item_hash"), "item_seeds")
+    lengths = {r[0] for r in distinct.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()}  # 14 at most
+    uses = {m: [n for n in lengths if m in masks_of(n)] for m in sorted({m for n in lengths for m in masks_of(n)} or {0})}
+    of_length = {m: F.least(F.size("words"), F.lit(WINDOW)).isin(ns) for m, ns in uses.items()}
+    item_seeds = table(seeds(distinct, "item_hash", masks=of_length), "item_seeds")
     wanted = table(item_seeds.select("h").distinct(), "item_hashes")
     if wanted.count() <= max_broadcast:
         wanted = F.broadcast(wanted)
 
     worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("words"))
-    hits = table(seeds(worded, "doc_id", "text_hash").join(wanted, "h", "left_semi"), "hits")
+    hits = table(seeds(worded, "doc_id", "text_hash", masks=dict.fromkeys(uses)).join(wanted, "h", "left_semi"), "hits")
     alignments = (
         hits.withColumnRenamed("pos", "doc_pos")
         .join(item_seeds.withColumnRenamed("pos", "item_pos"), "h")
         .select("doc_id", "text_hash", "item_hash", (F.col("doc_pos") - F.col("item_pos")).alias("first_word"))
-        .distinct()
     )
+    # whole items of one to four words agree wherever they are hit: the first place stands for all
+    place = F.when(F.size("words") >= 5, F.col("first_word"))
+    alignments = alignments.join(distinct, "item_hash").groupBy("doc_id", "text_hash", "item_hash", place.alias("place")).agg(
+        F.min("first_word").alias("first_word")
+    ) if lengths & {1, 2, 3, 4} else alignments.distinct()
     compared = alignments.join(distinct.withColumnRenamed("words", "item_words"), "item_hash")
     per_doc = table(
         compared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_hash", "first_word", "item_words")).alias("found")),
@@ -84,13 +107,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_0
     ).alias("a")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash"))
-    both = texts.join(per_doc.hint("shuffle_hash"), same).select("d.doc_id", word_hashes(F.col("d.text")).alias("words"), F.col("a.found").alias("found"))
+    both = texts.join(per_doc.hint("shuffle_hash"), same).select("d.doc_id", "d.text_hash", word_hashes(F.col("d.text")).alias("words"), F.col("a.found").alias("found"))
 
     def judged(c: Column) -> Column:
         agree = F.transform(c["item_words"], lambda w, i: (F.get("words", c["first_word"] + i) == w).cast("int"))
         return F.struct(c["item_hash"].alias("item_hash"), c["first_word"].alias("first_word"), F.transform(agree, lambda x: F.coalesce(x, F.lit(0))).alias("agree"))
 
-    each = both.select("doc_id", F.explode(F.transform("found", judged)).alias("f")).select("doc_id", "f.*")
+    each = both.select("doc_id", "text_hash", F.explode(F.transform("found", judged)).alias("f")).select("doc_id", "text_hash", "f.*")
     n = F.size("agree")
     stretch = F.least(n, F.lit(WINDOW))
     dense = F.exists(
@@ -98,9 +121,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_0
         lambda s: F.aggregate(F.slice("agree", s, stretch), F.lit(0), lambda a, x: a + x) >= F.ceil(stretch * F.lit(LEAST)),
     )
     matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
-    best = each.where(dense).groupBy("doc_id", "item_hash").agg(
-        F.max(F.struct(matched.alias("matched"), (-F.col("first_word")).alias("back"), n.alias("item_words"))).alias("b")
-    )
+    return each.where(dense).select("doc_id", "text_hash", "item_hash", "first_word", matched.alias("matched"), n.alias("item_words")), items
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, first_word (of the item's place in the document, from 0; negative if cut off), matched and item_words of every overlap."""
+    each, items = _overlaps(docs, benchmark, max_broadcast)
+    best = each.groupBy("doc_id", "item_hash").agg(F.max(F.struct("matched", (-F.col("first_word")).alias("back"), "item_words")).alias("b"))
     return best.join(items.select("item_id", "item_hash"), "item_hash").select(
         "doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.matched").alias("matched"), F.col("b.item_words").alias("item_words")
     )

@@ -1,8 +1,11 @@
 """What a review found cut short: each test fails on the code before it."""
 
+from itertools import combinations
+from math import ceil
+
 import numpy as np
 
-from ravelin.llm import ann
+from ravelin.llm import ann, decontaminate
 
 
 def test_recall_holds_as_the_table_grows():
@@ -21,3 +24,27 @@ def test_recall_holds_as_the_table_grows():
     held = np.take_along_axis(far <= np.maximum(first, codes.wider(q, kth))[:, None], best, axis=1)
     assert np.take_along_axis(far <= first[:, None], best, axis=1).mean() < 0.9
     assert held.mean() >= 0.98
+
+
+def test_masks_find_short_items():
+    for n in range(1, 13):
+        for k in range(n - ceil(n * decontaminate.LEAST) + 1):
+            for other in combinations(range(n), k):
+                masks = [decontaminate.ALL_MASKS[m] for m in decontaminate.masks_of(n)]
+                assert any(all(s + o < n and s + o not in other for o in m) for m in masks for s in range(n)), (n, other)
+
+
+def test_short_items_overlap(spark):
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(1, 13)]
+    docs, want = [], set()
+    for n, t in items:
+        allowed = n - ceil(n * decontaminate.LEAST)
+        for k in range(allowed + 2):
+            for other in combinations(range(n), k):
+                words = ["x" if j in other else w for j, w in enumerate(t.split())]
+                if k <= allowed:
+                    want.add((len(docs), n))
+                docs.append((len(docs), f"a b {' '.join(words)} c d {t.split()[0] if n == 1 and not other else 'e'}"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.first_word == 2 for r in got)
