@@ -133,7 +133,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_0
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap an item. Rows without a doc_id stay only if no such row overlaps."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(table(found, "leaked"), docs.doc_id.eqNullSafe(F.col("leaked")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, by_text: bool = False, max_broadcast: int = 1_000_000) -> DataFrame:
+    """docs without those that overlap an item.
+
+    by_text: only rows whose own text overlaps go. Otherwise all rows of such a
+    row's doc_id go, and rows without a doc_id stay only if no such row overlaps.
+    """
+    if not by_text:
+        found = overlaps(docs, benchmark, max_broadcast).select(F.col("doc_id").alias("leaked")).distinct()
+        return docs.join(table(found, "leaked"), docs.doc_id.eqNullSafe(F.col("leaked")), "left_anti")
+    found = _overlaps(docs, benchmark, max_broadcast)[0].select(F.col("doc_id").alias("leaked"), F.col("text_hash").alias("leaked_text")).distinct()
+    same = docs.doc_id.eqNullSafe(F.col("leaked")) & (F.xxhash64(docs.text) == F.col("leaked_text"))
+    return docs.join(table(found, "leaked"), same, "left_anti")

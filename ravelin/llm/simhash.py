@@ -195,9 +195,19 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """text, and as doc_id what tells rows apart that share an id or have none: whether it is null, it and the text's hash."""
+    own = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return docs.select(own.alias("doc_id"), "text")
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs that chosen names (in a column component_id, by a doc_id of named_rows()), each once."""
+    keys = table(chosen.select(F.xxhash64("component_id.id", "component_id.text_hash").alias("row_key")).distinct(), "chosen")
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    return keyed.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """docs with one row of each component: its smallest doc_id. Rows without a doc_id can't be named and stay."""
-    groups = near_groups(docs, words_per_shingle)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each component: that of its smallest doc_id (null being the largest) and, of its texts, the one with the least hash."""
+    return chosen_rows(docs, near_groups(named_rows(docs), words_per_shingle))

@@ -1,11 +1,12 @@
 """What a review found cut short: each test fails on the code before it."""
 
+from collections import Counter
 from itertools import combinations
 from math import ceil
 
 import numpy as np
 
-from ravelin.llm import ann, decontaminate
+from ravelin.llm import ann, decontaminate, simhash
 
 
 def test_recall_holds_as_the_table_grows():
@@ -48,3 +49,14 @@ def test_short_items_overlap(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.overlaps(d, b).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and all(r.first_word == 2 for r in got)
+
+
+def test_filters_tell_rows_apart(spark):
+    t = lambda s: " ".join(f"{s}{j}" for j in range(40))
+    rows = [(1, t("leak")), (1, t("clean")), (None, t("leak")), (None, t("other")), (2, t("fine")), (2, t("fine"))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, t("leak"))], "item_id long, text string")
+    kept = decontaminate.keep_clean(docs, bench, by_text=True).collect()
+    assert Counter(map(tuple, kept)) == Counter(rows) - Counter([(1, t("leak")), (None, t("leak"))])
+    for keep_one in (simhash.keep_one,):
+        one = keep_one(docs).collect()
+        assert {tuple(r) for r in one} == set(rows) - {(None, t("leak"))} and len(one) == 4
