@@ -1,12 +1,14 @@
 """What a review found cut short: each test fails on the code before it."""
 
+import random
 from collections import Counter
 from itertools import combinations
 from math import ceil
 
 import numpy as np
 
-from ravelin.llm import ann, decontaminate, simhash
+import corpus_pipeline
+from ravelin.llm import ann, decontaminate, near_copies, simhash
 
 
 def test_recall_holds_as_the_table_grows():
@@ -57,6 +59,31 @@ def test_filters_tell_rows_apart(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, t("leak"))], "item_id long, text string")
     kept = decontaminate.keep_clean(docs, bench, by_text=True).collect()
     assert Counter(map(tuple, kept)) == Counter(rows) - Counter([(1, t("leak")), (None, t("leak"))])
-    for keep_one in (simhash.keep_one,):
+    for keep_one in (simhash.keep_one, near_copies.keep_one):
         one = keep_one(docs).collect()
         assert {tuple(r) for r in one} == set(rows) - {(None, t("leak"))} and len(one) == 4
+
+
+def test_stage_takes_near_copies(spark):
+    """Copies of 200 texts at 0.8 to 1 all go and texts below 0.8 all stay."""
+    r, rows, near, far = random.Random(3), [], set(), set()
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(200):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(100, 800))]
+        other = list(words)
+        for j in r.sample(range(len(words)), max(1, int(len(words) * r.uniform(0, 0.04)))):
+            other[j] = "changed"
+        rows += [(i, " ".join(words), "s"), (1000 + i, " ".join(other), "s")]
+        (near if jaccard(grams(words), grams(other)) >= 0.8 else far).add(1000 + i)
+    rows += [(2000, None, "s"), (2001, "", "s")]
+    kept = {d.doc_id for d in corpus_pipeline.near_copies_out(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()}
+    assert len(near) > 80 and len(far) > 20
+    assert not near & kept and far <= kept and set(range(200)) <= kept and 2000 in kept and 2001 not in kept
+
+
+def test_large_buckets_give_few_pairs():
+    base, r = np.arange(64, dtype=np.uint32), np.random.default_rng(2)
+    signs = np.where(r.random((2000, 64)) < 0.02, r.integers(100, 10**6, (2000, 64)), base).astype(np.uint32)
+    pairs = near_copies.bucket_pairs(np.arange(2000), signs)
+    assert {b for _, b in pairs} == set(range(1, 2000)) and len(pairs) < 40_000
