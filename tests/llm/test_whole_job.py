@@ -8,7 +8,7 @@ from math import ceil
 import numpy as np
 
 import corpus_pipeline
-from ravelin.llm import ann, decontaminate, near_copies, simhash
+from ravelin.llm import ann, decontaminate, near_copies, simhash, toxicity
 
 
 def test_recall_holds_as_the_table_grows():
@@ -87,3 +87,12 @@ def test_large_buckets_give_few_pairs():
     signs = np.where(r.random((2000, 64)) < 0.02, r.integers(100, 10**6, (2000, 64)), base).astype(np.uint32)
     pairs = near_copies.bucket_pairs(np.arange(2000), signs)
     assert {b for _, b in pairs} == set(range(1, 2000)) and len(pairs) < 40_000
+
+
+def test_shouting_is_a_third_of_the_whole_text():
+    for n in (512, 700, 1000, 1023, 1024, 5000):
+        for share in (0.18, 0.25, 0.32, 0.34, 0.5):
+            k = int(n * share)
+            for capital in "AÜ":
+                for t in (capital * k + "a" * (n - k), "a" * (n - k) + capital * k):
+                    assert toxicity.patterns(t, 50, 50)[0] == (sum(map(str.isupper, t)) * 3 > n), (n, share)
