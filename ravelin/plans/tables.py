@@ -1,17 +1,21 @@
 """Tables and folders that outlive a stage, in the folder all executors share.
 
-`spark.checkpoint.dir` names that folder. Only where it is unset, as in tests
-on one machine, a temporary folder of this process takes its place.
+`spark.checkpoint.dir` names that folder. Only where it is unset and all runs in
+one process, as in tests, a temporary folder of this process takes its place.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Has Spark delete a query's shuffle files when the query ends, and not only when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ravelin-")
         return _OWN[app]
@@ -34,16 +40,38 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _no_shuffle_files_stay(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and returns it read back.
 
     This cuts the lineage as checkpoint() does (a lost executor costs no
-    recomputation of what came before) and keeps columns prunable.
+    recomputation of what came before) and keeps columns prunable. The shuffle
+    files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _no_shuffle_files_stay(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables (results of table()) that no later step reads."""
+    for t in tables:
+        hadoop = t.sparkSession.sparkContext
+        path = hadoop._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
