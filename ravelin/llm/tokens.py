@@ -5,11 +5,16 @@ the ids of a text are those of its stretches between single spaces or line
 ends, each with the space or line end before it. `Encoder` cuts a batch of texts there, has
 the library encode each different stretch once and puts the ids together. A
 text where that would not be exact (neighbouring or other white space, the
-string of a special token, the mark itself) goes to the library as a whole.
+string of a special token, the mark itself) goes to the library as a whole, as
+does every text if the tokenizer's file is not of that kind.
+
+What an encoder remembers is bounded in bytes: beyond that the half that was
+met more often stays. Nothing but speed depends on what it remembers.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -21,10 +26,10 @@ import pyarrow.compute as pc
 #: Texts that are encoded as a whole: white space that is not one space or line end, the mark, a special token's start.
 WHOLE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x01]|[ \\n][ \\n]|<\\|"
 MARK = "\x01"
-#: Different stretches that an encoder remembers; beyond that it starts anew.
-REMEMBERED = 700_000
-#: Texts of about so many bytes are put together at once.
-AT_ONCE = 8_000_000
+#: Bytes of stretches and ids that an encoder remembers, and what one of them costs besides its characters and ids.
+REMEMBERED, EACH = 48_000_000, 160
+#: Texts of about so many bytes are put together at once; so many stretches go to the library at once.
+AT_ONCE, STRETCHES = 2_000_000, 8192
 
 
 class Encoder:
@@ -37,8 +42,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
-        self._forget()
+        self.cuts = self._cuts_at_blanks()
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"} if self.cuts else {}
+        self.known: dict[str, int] = {}
+        self.pool, self.used, self.cost = np.empty(1 << 20, np.int32), 0, 0
+        self.at, self.size, self.met = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -50,10 +58,25 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _cuts_at_blanks(self) -> bool:
+        """Whether the file says that pieces are cut before blanks, bytes are merged within pieces, and texts are not changed before or after."""
+        said = json.loads(self.tokenizer.to_str())
+        cut, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        return (
+            (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True), model.get("type")) == ("ByteLevel", False, True, "BPE")
+            and not (said.get("normalizer") or said.get("truncation") or said.get("padding") or model.get("dropout") or model.get("unk_token"))
+            and all(t["content"].startswith("<|") for t in said.get("added_tokens", []))
+        )
+
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.int32), 0
-        self.at, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+        """Keeps the half that was met more often."""
+        n = len(self.known)
+        stay = np.sort(np.argsort(self.met[:n], kind="stable")[n // 2 :])
+        keys, sizes, ids = list(self.known), self.size[stay].copy(), self._gathered(stay)
+        met = self.met[stay] // 2
+        self.known, self.used, self.cost = {}, 0, 0
+        self._store([keys[i] for i in stay.tolist()], sizes.astype(np.int64), ids)
+        self.met[: len(met)] = met
 
     def _store(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Remembers that each of keys, all new and different, has so many of the ids in a row."""
@@ -61,12 +84,14 @@ class Encoder:
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while first + len(keys) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.met))
         self.pool[self.used : self.used + total] = ids
         self.at[first : first + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + len(keys)] = sizes
+        self.met[first : first + len(keys)] = 0
         self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
         self.used += total
+        self.cost += sum(map(len, keys)) + 4 * total + EACH * len(keys)
 
     def _gathered(self, places: np.ndarray) -> np.ndarray:
         """The ids of the stretches known under places, in a row."""
@@ -78,10 +103,12 @@ class Encoder:
         """Remembers the ids of new stretches; a last [.,] after a letter is a piece of its own, so the rest is shared."""
         bases = [s[:-1] if s[-1] in ".," and s[-2:-1].isalpha() else s for s in stretches if s]
         new = list(dict.fromkeys(b for b in bases if b not in self.known))
-        texts = [b[1:] if b[0] == MARK else b if b[0] == "\n" else " " + b for b in new]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._store(new, sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+        for at in range(0, len(new), STRETCHES):
+            part = new[at : at + STRETCHES]
+            texts = [b[1:] if b[0] == MARK else b if b[0] == "\n" else " " + b for b in part]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(part, sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
         if "" in stretches:
             alone = self.tokenizer.encode(" ", add_special_tokens=False).ids
             self._store([""], np.array([len(alone)]), np.array(alone, np.int32))
@@ -94,13 +121,14 @@ class Encoder:
 
     def _places(self, different: np.ndarray) -> np.ndarray:
         """The numbers under which the ids of stretches are known."""
-        if len(self.known) > REMEMBERED:
+        if self.cost > REMEMBERED:
             self._forget()
         places = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
         new = np.flatnonzero(places < 0)
         if len(new):
             self._learn(different[new].tolist())
             places[new] = np.fromiter(map(self.known.__getitem__, different[new]), np.int64, len(new))
+        self.met[places] += 1
         return places
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +153,7 @@ class Encoder:
             first = last
 
     def _encode(self, texts: pa.Array, ids_too: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
         counts, parts = np.zeros(len(texts), np.int64), {}
         if whole.any():
             at = np.flatnonzero(whole)
