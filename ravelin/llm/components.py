@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import drop, table
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def roots(links: DataFrame) -> DataFrame:
 
     links: two columns a and b of one ordered type, in any direction, repeats
     and loops allowed. Nodes that only loop have no row. Each round's links
-    are a table in the shared folder; the rounds end when they stay the same,
+    are a table in the shared folder, and the table before goes; the rounds end when they stay the same,
     after about the logarithm of the longest chain.
     """
     now = table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -40,5 +40,6 @@ def roots(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        seen = mark
+        seen, before = mark, now
         now = table(_star(_star(now, large=True), large=False), "links")
+        drop(before)

@@ -21,8 +21,14 @@ The first two rounds are one sort by (first rank, second rank), through which
 tasks stream with at most two positions in memory. Of positions equal in both
 ranks a batch of texts sends only two to where that rank is sorted; the others
 repeat for certain and go anywhere, so a rank that very many positions share
-loads no task more than another. Ranks are 64-bit hashes; a
-stretch must agree in two of them. Spans come together by document, and a
+loads no task more than another. Equal windows have the same first rank, so
+round 3 brings the stretches' bytes together by first rank and ranks their
+windows inside the task, where no window is shuffled. A first rank with more
+than AT_HOME bytes of different stretches is not ranked there: its windows are
+sorted by Spark, each by its own rank, and so spread.
+
+Ranks are 64-bit hashes, compared only among positions of one first rank, so a
+stretch or window must agree in two of them. Spans come together by document, and a
 document's bytes are cut in one pass. Texts are shuffled compressed.
 
 Defined cases: a null text has no bytes. Texts shorter than length lose
@@ -33,7 +39,6 @@ Other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +54,8 @@ from ravelin.llm.scratch import table
 LENGTH, GRAM = 200, 40
 #: Windows of a text that are looked at together.
 AT_ONCE = 1 << 18
-#: Windows that round 3 ranks before it passes them on.
-WINDOWS = 100_000
+#: Bytes of one first rank's stretches that round 3 ranks inside a task, and windows that it ranks at once.
+AT_HOME, WINDOWS = 16_000_000, 200_000
 LOW = np.uint64((1 << 20) - 1)
 BASE = 0x9E3779B97F4A7C15
 DONE, OPEN, FOR_ALL = 0, 1, 2
@@ -150,11 +155,11 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rounds 1 and 2 over positions sorted by gram and whole: those that stay, with what becomes of them."""
-    names = ["doc_id", "text_hash", "first", "n", "state"]
+    names = ["gram", "doc_id", "text_hash", "first", "n", "state"]
     held, seen = None, None  # the last run's first two rows; a gram that has had a run before the held one
 
     def told(rows: pa.RecordBatch, at: np.ndarray, state: int) -> pa.RecordBatch:
-        chosen = rows.select(names[:4]).take(pa.array(at))
+        chosen = rows.select(names[:5]).take(pa.array(at))
         return pa.RecordBatch.from_arrays([*chosen.columns, pa.array(np.full(len(at), state, np.int32))], names)
 
     def runs(rows: pa.RecordBatch, end: bool) -> Iterator[pa.RecordBatch]:
@@ -192,34 +197,98 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from runs(held, end=True)
 
 
-def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str) -> DataFrame:
-    """Round 3: doc_id, text_hash, first and n = 1 of each window of OPEN stretches that starts anywhere else, too."""
-    per_doc = left.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n", "state")).alias("found"))
-    both = _with_texts(texts, per_doc, "inner")
+def _runs(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of windows that follow each other in one row start, and how many they are."""
+    starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)))) if len(row) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(row)))
+
+
+def _window_ranks(rows: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """Rank, row, first byte and whether it is OPEN of every window of rows."""
+    n, first = rows.column("n").to_numpy().astype(np.int64), rows.column("first").to_numpy().astype(np.int64)
+    hash_of = xxhash.xxh3_64_intdigest
+    ranks = (hash_of(data[s : s + length]) for data, k in zip(rows.column("data").to_pylist(), n.tolist(), strict=True) for s in range(k))
+    total = int(n.sum())
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    return np.fromiter(ranks, np.uint64, total), row, first[row] + place, (rows.column("state").to_numpy() == OPEN)[row]
+
+
+def _windows_at_home(batches: Iterator[pa.RecordBatch], length: int, at_home: int) -> Iterator[pa.RecordBatch]:
+    """Round 3 over stretches sorted by gram: spans of repeated windows (data is null), and the stretches of grams too large to rank here."""
+    names, waiting, held, large = ["gram", "doc_id", "text_hash", "first", "n", "state", "data"], [], 0, None
+
+    def solved(rows: pa.RecordBatch) -> pa.RecordBatch:
+        rank, row, first, open_ = _window_ranks(rows, length)
+        gram = rows.column("gram").to_numpy()[row]
+        order = np.lexsort((rank, gram))
+        same = (rank[order][1:] == rank[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+        twice = np.zeros(len(rank), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        twice &= open_
+        row, first = row[twice], first[twice]
+        starts, sizes = _runs(row, first)
+        who = rows.select(["gram", "doc_id", "text_hash"]).take(pa.array(row[starts]))
+        more = [pa.array(first[starts].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(np.full(len(starts), DONE, np.int32)), pa.nulls(len(starts), pa.binary())]
+        return pa.RecordBatch.from_arrays([*who.columns, *more], names)
+
+    def ranked(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """solved() for whole grams, about WINDOWS windows at a time."""
+        gram, before = rows.column("gram").to_numpy(), np.cumsum(rows.column("n").to_numpy().astype(np.int64))
+        starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        at = 0
+        while at < len(starts):
+            done = before[starts[at] - 1] if starts[at] else 0
+            last = max(at + 1, int(np.searchsorted(before[np.append(starts[1:], len(gram)) - 1], done + WINDOWS, side="right")))
+            end = int(starts[last]) if last < len(starts) else len(gram)
+            yield solved(rows.slice(int(starts[at]), end - int(starts[at])))
+            at = last
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram = batch.column("gram").to_numpy()
+        if large is not None:  # the large gram may go on
+            n = int(np.searchsorted(gram, large, side="right"))
+            yield batch.slice(0, n).select(names)
+            if n == len(gram):
+                continue
+            batch, gram, large = batch.slice(n), gram[n:], None
+        cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+        if cut or (waiting and waiting[-1].column("gram")[0].as_py() != gram[0]):
+            rows = pa.Table.from_batches([*waiting, batch.slice(0, cut).select(names)]).combine_chunks().to_batches()
+            for r in rows:
+                yield from ranked(r)
+            waiting, held = [], 0
+        rest = batch.slice(cut).select(names)
+        waiting.append(rest)
+        held += rest.nbytes
+        if held > at_home:
+            yield from waiting
+            waiting, held, large = [], 0, gram[-1]
+    if waiting:
+        for r in pa.Table.from_batches(waiting).combine_chunks().to_batches():
+            yield from ranked(r)
+
+
+def _windows_by_rank(left: DataFrame, length: int, kind: str) -> DataFrame:
+    """Round 3 for stretches of large grams: every window is sorted by its rank, which spreads them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, unpack = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor()
-        names = ["rank", "doc_id", "text_hash", "first", "open"]
         for batch in batches:
-            who, parts, held = batch.select(["doc_id", "text_hash"]), [], 0
-
-            def told(who: pa.RecordBatch = who) -> pa.RecordBatch:
-                rank, row, first, open_ = map(np.concatenate, zip(*parts, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), *who.take(pa.array(row)).columns, pa.array(first), pa.array(open_)], names)
-
-            for i, (data, found) in enumerate(zip(batch.column("data"), batch.column("found"), strict=True)):
-                text = unpack.decompress(data.as_py())
-                for f, n, state in zip(*(x.to_pylist() for x in found.values.flatten()), strict=True):
-                    rank = np.fromiter((hash_of(text[s : s + length]) for s in range(f, f + n)), np.uint64, n)
-                    parts.append((rank, np.full(n, i, np.int32), np.arange(f, f + n, dtype=np.int32), np.full(n, state == OPEN)))
-                    held += n
-                    if held >= WINDOWS:
-                        yield told()
-                        parts, held = [], 0
-            if parts:
-                yield told()
-
-    windows = both.mapInArrow(work, f"rank long, doc_id {kind}, text_hash int, first int, open boolean")
+            ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
+            cuts = np.unique(np.searchsorted(ends, np.arange(WINDOWS, int(ends[-1]) + WINDOWS, WINDOWS)) + 1) if len(ends) else []
+            at = 0
+            for end in (min(int(c), len(ends)) for c in cuts):
+                if end > at:
+                    rows = batch.slice(at, end - at)
+                    rank, row, first, open_ = _window_ranks(rows, length)
+                    who = rows.select(["gram", "doc_id", "text_hash"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), *who.columns, pa.array(first.astype(np.int32)), pa.array(open_)], ["rank", "gram", "doc_id", "text_hash", "first", "open"])
+                at = end
+
+    windows = left.mapInArrow(work, f"rank long, gram long, doc_id {kind}, text_hash int, first int, open boolean")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of ranks that more than one row has; the last row of a batch waits for the next one's first."""
@@ -233,19 +302,41 @@ def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str)
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            rank = rows.column("rank").to_numpy()
-            equal = rank[1:] == rank[:-1]
-            same = np.concatenate(([before is not None and rank[0] == before], equal)) | np.concatenate((equal, [False]))
+            rank, gram = rows.column("rank").to_numpy(), rows.column("gram").to_numpy()
+            equal = (rank[1:] == rank[:-1]) & (gram[1:] == gram[:-1])
+            same = np.concatenate(([before == (rank[0], gram[0])], equal)) | np.concatenate((equal, [False]))
             yield chosen(rows.slice(0, len(rank) - 1), same[:-1])
-            before = rank[-2] if len(rank) > 1 else before
+            before = (rank[-2], gram[-2]) if len(rank) > 1 else before
             held = rows.slice(len(rank) - 1)
         if held is not None:
-            yield chosen(held, np.array([before is not None and held.column("rank")[0].as_py() == before]))
+            yield chosen(held, np.array([before == (held.column("rank")[0].as_py(), held.column("gram")[0].as_py())]))
 
-    dealt = windows.repartition("rank").sortWithinPartitions("rank")
+    dealt = windows.repartition("rank").sortWithinPartitions("rank", "gram")
     return dealt.mapInArrow(twice, f"doc_id {kind}, text_hash int, first int").withColumn("n", F.lit(1))
 
 
+def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str, at_home: int) -> DataFrame:
+    """Round 3: doc_id, text_hash, first and n of the windows of OPEN stretches that start anywhere else, too."""
+    per_doc = left.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "first", "n", "state")).alias("found"))
+    both = _with_texts(texts, per_doc, "inner")
+    names = ["gram", "doc_id", "text_hash", "first", "n", "state", "data"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i, (data, found) in enumerate(zip(batch.column("data"), batch.column("found"), strict=True)):
+                text, (gram, first, n, state) = unpack.decompress(data.as_py()), found.values.flatten()
+                parts = [text[f : f + k + length - 1] for f, k in zip(first.to_pylist(), n.to_pylist(), strict=True)]
+                who = batch.select(["doc_id", "text_hash"]).take(pa.array(np.full(len(parts), i)))
+                yield pa.RecordBatch.from_arrays([gram, *who.columns, first, n, state, pa.array(parts, pa.binary())], names)
+
+    schema = f"gram long, doc_id {kind}, text_hash int, first int, n int, state int, data binary"
+    dealt = both.mapInArrow(work, schema).repartition("gram").sortWithinPartitions("gram")
+    ranked = table(dealt.mapInArrow(lambda batches: _windows_at_home(batches, length, at_home), schema), "windows")
+    large = ranked.where(F.col("data").isNotNull())
+    return ranked.where(F.col("data").isNull()).select("doc_id", "text_hash", "first", "n").unionByName(_windows_by_rank(large, length, kind))
+
+
 def _with_texts(texts: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
     """texts with `found` of per_doc, always by a shuffle of both: the hint only says that per_doc is hashed, not sorted."""
     t, p = texts.alias("t"), per_doc.hint("shuffle_hash").alias("p")
@@ -263,27 +354,14 @@ def cut(data: bytes, first: np.ndarray, n: np.ndarray, length: int) -> tuple[byt
     return b"".join(kept), len(starts)
 
 
-def _let_go(docs: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of rounds that are over, whose results are tables now.
-
-    Its cleaner does so once the driver's garbage collector finds them
-    unused, which may be long after the disks need the room.
-    """
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, at_home: int = AT_HOME) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (kept) of each row of docs."""
     kind = _kind(docs)
     ranks = positions(docs, length).repartition("gram").sortWithinPartitions("gram", "whole")
-    stay = table(ranks.mapInArrow(_ranked, f"doc_id {kind}, text_hash int, first int, n int, state int"), "positions")
-    del ranks
-    _let_go(docs)
+    stay = table(ranks.mapInArrow(_ranked, f"gram long, doc_id {kind}, text_hash int, first int, n int, state int"), "positions")
     texts = compressed(docs)
-    windows = table(repeated_windows(texts, stay.where(F.col("state") != DONE), length, kind), "windows")
-    _let_go(docs)
-    spans = stay.where(F.col("state") == DONE).drop("state").unionByName(windows)
+    windows = repeated_windows(texts, stay.where(F.col("state") != DONE), length, kind, at_home)
+    spans = stay.where(F.col("state") == DONE).select("doc_id", "text_hash", "first", "n").unionByName(windows)
     per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

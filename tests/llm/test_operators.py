@@ -238,8 +238,8 @@ def brute_cut(rows, length):
         yield i, len(b), len(gone), runs, bytes(c for p, c in enumerate(b) if p not in gone)
 
 
-@pytest.mark.parametrize("batch", [3, 10_000])
-def test_suffix_dedup(spark, batch):
+@pytest.mark.parametrize(("batch", "at_home"), [(3, 700), (10_000, suffix_dedup.AT_HOME)])
+def test_suffix_dedup(spark, batch, at_home):
     a, b = text(60), text(50)
     rows = [(i, text(rng.randrange(5, 90))) for i in range(15)]
     rows += [(20, a), (21, a + b), (22, b + " " + a), (23, text(9) + a[50:300] + text(9)), (24, "x" * 900), (25, "ab" * 300), (26, None), (27, ""), (28, "é" * 150), (29, a[:199]), (20, a), (None, b + text(40) + b)]
@@ -247,13 +247,28 @@ def test_suffix_dedup(spark, batch):
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n int").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = suffix_dedup.remove_repeats(docs).collect()
+        got = suffix_dedup.remove_repeats(docs, at_home=at_home).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter(brute_cut(rows, 200))
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_large_and_small_grams_rank_alike():
+    """Round 3 gives the same windows whether a gram is ranked in its task or passed on."""
+    import pyarrow as pa
+
+    common = text(30).encode()[:120]
+    parts = [common + text(40).encode()[: 60 + 7 * i] for i in range(5)] + [common + b"z" * 150, b"y" + common + b"z" * 150]
+    rows = [(g, i, 1, 0, len(p) - 199 if len(p) > 199 else 0, suffix_dedup.OPEN, p) for g in (5, 6) for i, p in enumerate(parts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["gram", "doc_id", "text_hash", "first", "n", "state", "data"])
+    split = [batch.slice(i, 2) for i in range(0, len(rows), 2)]
+    here = [r for b in suffix_dedup._windows_at_home(iter(split), 200, 10**9) for r in b.to_pylist()]
+    passed = [r for b in suffix_dedup._windows_at_home(iter(split), 200, 1000) for r in b.to_pylist()]
+    assert all(r["data"] is None for r in here) and {(r["gram"], r["doc_id"]) for r in here} == {(g, d) for g in (5, 6) for d in (5, 6)}
+    assert sorted((r["gram"], r["doc_id"]) for r in passed if r["data"] is not None) == [(g, d) for g, d, *_ in rows]
+
+
 def test_stretches_cover_every_window():
     data = text(3000).encode()
     old, suffix_dedup.AT_ONCE = suffix_dedup.AT_ONCE, 1000
