@@ -1,40 +1,45 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors get binary codes: `ROTATIONS` rotations are learned on a bounded
-sample (each makes the signs of the rotated vectors as close to them as it
-can), and a code's bits are the signs after all of them. Vectors of unequal
-length are first lifted onto a sphere by one more component, where the largest
-inner product is the smallest angle. Codes are split into substrings of 8 bits and each
-substring is an index. A code within Hamming radius r of a query differs in at most
-r // substrings bits in some substring (pigeonhole), so probing all substring
-values that near in every index retrieves all codes within r. Those are
-checked against r as whole codes and ranked by the inner products of the
-original vectors in double precision.
-
-A query's first radius is the one within which about `CANDIDATES` of all vectors
-are expected, from the distances of its code to the sample's. Its k-th exact score
-among those bounds the angle of every true neighbour, whatever the number of
-rows. The second search therefore takes the radius within which codes at that angle lie with
-probability `RECALL`, as measured on the sample's own neighbours, and ranks
-what lies between both radii. A query that gets fewer neighbours than it should
-is searched without a radius.
-
-Queries are met with all rows block by block: rows are dealt into blocks of
-about `BLOCK` rows, queries into blocks of their own, and each pair of
-blocks is one task's group of bounded size that returns k rows a query. A crowded
-region makes no block larger, since blocks are dealt by a hash of the id.
+Vectors get binary codes: rotations are learned on a bounded sample (each makes
+the signs of the rotated vectors as close to them as it can), and a code's bits
+are the signs after all of them. Vectors of unequal length are first lifted
+onto a sphere by one more component, where the largest inner product is the
+smallest angle. Codes are split into `substrings` pieces of `bits` bits, and
+each piece is an index whose buckets are rows of a table, (piece, value). A
+query probes in every piece all values within `flips` bits of its own. By the
+pigeonhole principle a code that no probe meets differs in flips + 1 bits or
+more in every piece, so every code within Hamming radius
+substrings * (flips + 1) - 1 of the query's is retrieved, and of those beyond it
+the ones that are near in some piece. Everything retrieved is ranked by the
+inner products of the original vectors in double precision.
+
+`bits`, `flips` and `substrings` are measured, not fixed: up to MEASURED queries
+get their true neighbours by one scan, and of all plans that retrieve RECALL
+of these the one with the fewest rows to shuffle is taken. So they follow
+the table, at any size.
+
+What moves: an index row (bucket, vector's number) for each vector and piece, a
+probe for each query and value, joined by bucket (a bucket that many rows share
+is split by the adaptive planner), and the pairs they give, dealt by the vector's number to
+where its components are. Queries' components are broadcast, in rounds of at
+most QUERY_BYTES. Equal vectors are one vector until the end: of those, a query
+can only return the k with the smallest vec_id beside its own, so k + 1 are
+kept, and a vector that very many rows share costs no more than one.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite
 component take no part, nor do those whose length is not the most common one
 (the smaller, if two are), nor rows without a vec_id. Rows that share a vec_id are candidates of
-their own for other queries, never for each other. Ties go to the smaller
+their own for other queries, never for each other; as queries, those with
+different vectors each have k rows, and equal rows are one query. Ties go to the smaller
 vec_id. Fewer candidates than k: all are returned. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from math import ceil
-from statistics import NormalDist
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +47,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import drop, table
 
-#: Vectors that rotations are learned and radii are estimated on, at most.
-SAMPLE = 4096
-ROTATIONS = 4
-CANDIDATES = 1000
-#: Share of the codes at the k-th neighbour's angle that the second radius takes in; nearer ones are taken in more often.
-RECALL = 0.99
-#: The sample's queries and their neighbours that the spread of distances is measured on.
-MEASURED, MEASURED_NEAR = 512, 20
-BLOCK, QUERY_BLOCK = 4096, 2048
-POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
+#: Vectors that rotations are learned on, at most, and rounds of learning.
+SAMPLE, ROUNDS = 4096, 8
+#: Bits of a whole code, at most, and the sizes of pieces and numbers of flipped bits that are weighed against each other.
+CODE_BITS, PIECES, FLIPS = 4096, range(4, 25), (0, 1, 2)
+#: Share of the measured queries' true neighbours that must be retrieved, and the number of these queries.
+RECALL, MEASURED = 0.95, 256
+#: A pair is shuffled and ranked, which costs about as much as so many index rows or probes.
+PAIR = 3
+#: Bytes of queries that are broadcast at once, and rows that are ranked or multiplied at once.
+QUERY_BYTES, AT_ONCE = 32_000_000, 20_000
+FOUND = "u long, no long, least long, score double"
+
+
+class Plan(NamedTuple):
+    bits: int
+    flips: int
+    substrings: int
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,12 +77,23 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (most["n"] if most else 0))
 
 
-def learn(sample: np.ndarray, rounds: int = 20, seed: int = 42) -> np.ndarray:
-    """Rotations, side by side: each is fitted in turns to the signs that it gives."""
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """no, embedding, ids (the k + 1 smallest vec_ids, each with its number of rows), least (the first of them), solo (it, if there is no other)."""
+    same = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2")]
+    each = rows.groupBy(*same, "vec_id").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"))
+    by_id = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    few = each.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
+    own = few.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    least = F.col("ids")[0]["vec_id"]
+    return own.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "embedding", "ids", least.alias("least"), F.when(F.size("ids") == 1, least).alias("solo"))
+
+
+def learn(sample: np.ndarray, n_bits: int, seed: int = 42) -> np.ndarray:
+    """Rotations, side by side, for n_bits bits at least: each is fitted in turns to the signs that it gives."""
     rng, d, out = np.random.default_rng(seed), sample.shape[1], []
-    for _ in range(ROTATIONS):
+    for _ in range(ceil(n_bits / d)):
         turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        for _ in range(rounds):
+        for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.sign(sample @ turn).T @ sample)
             turn = (u @ v).T
         out.append(turn)
@@ -78,158 +101,237 @@ def learn(sample: np.ndarray, rounds: int = 20, seed: int = 42) -> np.ndarray:
 
 
 class Codes:
-    """What turns vectors into codes: the rotations and the largest length among all rows."""
-
-    def __init__(self, sample: np.ndarray, longest: float, n_rows: int):
-        self.longest, self.n_rows = longest, n_rows
-        lifted = self.lift(sample)
-        self.rotations = learn(lifted)
-        self.sample = self.code(lifted)
-        self.spread = self._spread(sample[:MEASURED], sample)
-
-    def _spread(self, queries: np.ndarray, rows: np.ndarray) -> float:
-        """How many binomial deviations above its mean the distance of a neighbour's code is, at quantile RECALL."""
-        scores = queries @ rows.T
-        np.fill_diagonal(scores, -np.inf)
-        best = np.argsort(-scores, axis=1)[:, : min(MEASURED_NEAR, len(rows) - 1)]
-        if not best.size:
-            return NormalDist().inv_cdf(RECALL)
-        bits, far = self.sample.shape[1] * 8, hamming(self.query(queries), self.sample)
-        share = self.angles(queries, np.take_along_axis(scores, best, axis=1)) / np.pi
-        off = (np.take_along_axis(far, best, axis=1) - bits * share) / np.sqrt(np.maximum(bits * share * (1 - share), 1))
-        return float(np.quantile(off, RECALL))
-
-    def angles(self, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """The angles on the sphere between queries (rows of x) and vectors with these inner products."""
-        length = np.sqrt((x * x).sum(axis=1)).reshape(-1, *[1] * (scores.ndim - 1)) * self.longest
-        return np.arccos(np.clip(scores / np.maximum(length, 1e-300), -1, 1))
-
-    def wider(self, x: np.ndarray, kth: np.ndarray) -> np.ndarray:
-        """For each query, the radius that holds codes at the angle of its k-th score with probability RECALL."""
-        bits, share = self.sample.shape[1] * 8, self.angles(x, kth) / np.pi
-        return np.ceil(bits * share + self.spread * np.sqrt(np.maximum(bits * share * (1 - share), 1))).astype(np.int64)
+    """What turns vectors into pieces of codes: the rotations and the largest length among all rows."""
+
+    def __init__(self, sample: np.ndarray, longest: float):
+        self.longest = longest
+        self.rotations = learn(self.lift(sample), CODE_BITS).astype(np.float32)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
-    def code(self, lifted: np.ndarray) -> np.ndarray:
-        """Codes as rows of bytes, a byte being a substring."""
-        return np.packbits(lifted @ self.rotations > 0, axis=1)
-
-    def query(self, x: np.ndarray) -> np.ndarray:
-        return self.code(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
-
-    def prunes(self) -> bool:
-        """Whether the first radius leaves rows out: not where CANDIDATES are half of all."""
-        return CANDIDATES / max(1, self.n_rows) < 0.5
-
-    def radii(self, codes: np.ndarray) -> np.ndarray:
-        """For each query code, the radius with about CANDIDATES of all rows in it."""
-        share = CANDIDATES / max(1, self.n_rows)
-        if not self.prunes():
-            return np.full(len(codes), codes.shape[1] * 8)
-        far = hamming(codes, self.sample)
-        if share * far.shape[1] >= 20:
-            return np.ceil(np.quantile(far, share, axis=1)).astype(np.int64)
-        return np.ceil(far.mean(axis=1) + NormalDist().inv_cdf(share) * far.std(axis=1)).astype(np.int64)
-
-
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a to all rows of b."""
-    pad = -a.shape[1] % 8
-    wide_a, wide_b = (np.pad(x, ((0, 0), (0, pad))).view(np.uint64) for x in (a, b))
-    out = np.zeros((len(a), len(b)), np.int32)
-    for s in range(wide_a.shape[1]):
-        out += np.bitwise_count(wide_a[:, s, None] ^ wide_b[None, :, s])
-    return out
-
-
-def probe(queries: np.ndarray, codes: np.ndarray, radii: np.ndarray) -> np.ndarray:
-    """Which codes (columns) some index retrieves for which query (rows)."""
-    near, each = np.zeros((len(queries), len(codes)), bool), radii // queries.shape[1]
-    for s in range(queries.shape[1]):
-        values, place = np.unique(codes[:, s], return_inverse=True)
-        buckets = POPCOUNT[queries[:, s, None] ^ values[None, :]] <= each[:, None]
-        near |= buckets[:, place]
-    return near
-
-
-def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    def pieces(self, x: np.ndarray, plan: Plan, query: bool) -> np.ndarray:
+        """The values of x's pieces: a row for each vector, a column for each piece."""
+        lifted = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else self.lift(x)
+        signs = lifted.astype(np.float32) @ self.rotations[:, : plan.bits * plan.substrings] > 0
+        weights = 1 << np.arange(plan.bits, dtype=np.int64)
+        return signs.reshape(len(x), plan.substrings, plan.bits) @ weights
+
+
+def ball(plan: Plan) -> np.ndarray:
+    """What a piece is combined with to give all values within plan.flips bits of it."""
+    return np.array([sum(1 << b for b in c) for n in range(plan.flips + 1) for c in combinations(range(plan.bits), n)], np.int64)
+
+
+def plans(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Iterator[tuple[float, float, float, Plan]]:
+    """Cost (rows moved for each query), recall on (queries[of], near), and the share of rows retrieved, of each plan that might do."""
+    width = codes.rotations.shape[1]
+    for bits in PIECES:
+        whole = Plan(bits, 0, width // bits)
+        q, n, o = codes.pieces(queries, whole, True), codes.pieces(near, whole, False), codes.pieces(others, whole, False)
+        far = np.bitwise_count(q[of] ^ n)
+        random = np.bitwise_count(q[:64, None] ^ o[None])
+        for flips in (f for f in FLIPS if f < bits):
+            hit = far <= flips
+            first = np.where(hit.any(axis=1), hit.argmax(axis=1), whole.substrings)
+            recall = np.cumsum(np.bincount(first, minlength=whole.substrings + 1)[:-1]) / max(1, len(first))
+            enough = np.flatnonzero(recall >= RECALL)
+            m = int(enough[0]) + 1 if len(enough) else whole.substrings
+            met = random[:, :, :m] <= flips
+            values = sum(comb(bits, f) for f in range(flips + 1))
+            pairs = max(float(met.sum(axis=2).mean()), m * values / 2**bits / 4) * n_rows
+            yield m * (values + n_rows / max(1, n_queries)) + PAIR * pairs, float(recall[m - 1]), float(met.any(axis=2).mean()), Plan(bits, flips, m)
+
+
+def best_plan(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Plan:
+    """The cheapest plan with RECALL on the measured queries; where none has it, that with the highest."""
+    found = list(plans(codes, queries, near, of, others, n_rows, n_queries))
+    enough = [f for f in found if f[1] >= RECALL] or [max(found, key=lambda f: f[1])]
+    return min(enough)[3]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1)
-
-
-def _search(rows: DataFrame, queries: DataFrame, k: int, codes: Codes, everything: bool) -> DataFrame:
-    """The k nearest rows of each query in each block: query_id, vec_id, score.
-
-    Queries with a column kth have been searched before: theirs are the rows
-    beyond the first radius, within the wider one and not below kth.
-    """
-    again = "kth" in queries.columns
-    n_blocks, n_query_blocks = ceil(max(1, rows.count()) / BLOCK), ceil(max(1, queries.count()) / QUERY_BLOCK)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "embedding", *(["kth"] if again else []), own(n_query_blocks).alias("of"), all_of(n_blocks).alias("block"))
-    right = rows.select("vec_id", "embedding", own(n_blocks).alias("block"), all_of(n_query_blocks).alias("of"))
-    shared = rows.sparkSession.sparkContext.broadcast(codes)  # bounded: SAMPLE codes and the rotations
-
-    def work(q: pa.Table, r: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if q.num_rows and r.num_rows:
-            made = shared.value
-            qi, ri = q.column("vec_id").to_numpy(), r.column("vec_id").to_numpy()
-            order = np.argsort(ri, kind="stable")
-            qx, rx, ri = _vectors(q.column("embedding")), _vectors(r.column("embedding"))[order], ri[order]
-            qc, rc = made.query(qx), made.code(made.lift(rx))
-            radii = np.full(len(qx), qc.shape[1] * 8) if everything else made.radii(qc)
-            done, least = (radii, q.column("kth").to_numpy()) if again else (np.full(len(qx), -1), np.full(len(qx), -np.inf))
-            radii = made.wider(qx, least) if again else radii
-            for at in range(0, len(qx), 256):
-                part = slice(at, at + 256)
-                far = hamming(qc[part], rc)
-                near = probe(qc[part], rc, radii[part]) & (far <= radii[part, None]) & (far > done[part, None])
-                near &= qi[part, None] != ri[None, :]
-                for i, row in enumerate(near, at):
-                    found = np.flatnonzero(row)
-                    score = (rx[found] * qx[i]).sum(axis=1)
-                    found, score = found[score >= least[i]], score[score >= least[i]]
-                    best = np.lexsort((ri[found], -score))[:k]
-                    out["query_id"].append(np.full(len(best), qi[i]))
-                    out["vec_id"].append(ri[found[best]])
-                    out["score"].append(score[best])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate(out[c]) if out[c] else np.empty(0, t) for c, t in kinds.items()})
-
-    pairs = left.groupBy("block", "of").cogroup(right.groupBy("block", "of"))
-    return pairs.applyInArrow(work, "query_id long, vec_id long, score double")
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def buckets(vectors: DataFrame, key: str, codes: Codes, plan: Plan, query: bool) -> DataFrame:
+    """bucket and key: a row for each piece of each vector or, for queries, each value that is probed."""
+    shared = vectors.sparkSession.sparkContext.broadcast(codes)  # bounded by CODE_BITS
+    near = ball(plan) if query else np.zeros(1, np.int64)
+    each = max(1, 500_000 // (plan.substrings * len(near)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.arange(plan.substrings, dtype=np.int64) << plan.bits
+        for batch in batches:
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                values = shared.value.pieces(_matrix(part.column("embedding")), plan, query)
+                out = (base + (values[:, :, None] ^ near).transpose(0, 2, 1)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.repeat(part.column(key).to_numpy(), len(out) // len(part)))], ["bucket", key])
+
+    return vectors.select(key, "embedding").mapInArrow(work, f"bucket long, {key} long")
+
+
+def _best(u: np.ndarray, no: np.ndarray, least: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best of each u: the highest score, then the smallest least."""
+    order = np.lexsort((no, least, -score, u))
+    of = u[order]
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+    place = np.arange(len(of)) - np.repeat(starts, np.diff(np.append(starts, len(of))))
+    return order[place < k]
+
+
+class _Kept:
+    """The k best of each query among what has been seen, in memory for k of each at most and a lot of new ones."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held, self.most = k, [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > 2 * self.most + 300_000:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        columns = tuple(map(np.concatenate, zip(*self.parts, strict=True)))
+        best = _best(*columns, self.k)
+        columns = tuple(c[best] for c in columns)
+        self.parts, self.held, self.most = [columns], len(best), len(best)
+        return columns
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.cut()], ["u", "no", "least", "score"])
+
+
+def _queries(units: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers (ascending), components, own vec_ids and whether there is one."""
+    units = units.sort_by("u")
+    own = units.column("own").combine_chunks()
+    return units.column("u").to_numpy(), _matrix(units.column("embedding")), own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False)
+
+
+def ranked(groups: DataFrame, pairs: DataFrame, units: pa.Table, k: int) -> DataFrame:
+    """The k best vectors of each query in each part of pairs (u, no), by their inner products: u, no, least, score."""
+    shared = groups.sparkSession.sparkContext.broadcast(_queries(units))  # bounded by QUERY_BYTES
+    none = F.lit(None).cast("long")
+    heads = groups.select("no", none.alias("u"), "embedding", "least", "solo")
+    tails = pairs.select("no", "u", F.lit(None).cast("array<double>").alias("embedding"), none.alias("least"), none.alias("solo"))
+    met = heads.unionByName(tails).repartition("no").sortWithinPartitions("no", F.col("u").asc_nulls_first())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, components, own, owned = shared.value
+        kept, held, last = _Kept(k), None, (-1, -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair = batch.column("u").is_valid().to_numpy(zero_copy_only=False)
+            own_heads = batch.filter(pa.array(~pair))
+            heads = own_heads if held is None else pa.Table.from_batches([held, own_heads]).combine_chunks().to_batches()[0]
+            of = np.cumsum(~pair)[pair] - 1 + (held is not None)
+            held = heads.slice(heads.num_rows - 1)
+            x, solo = _matrix(heads.column("embedding")), heads.column("solo")
+            alone, solo = solo.is_valid().to_numpy(zero_copy_only=False), solo.fill_null(0).to_numpy()
+            no, u = batch.column("no").to_numpy()[pair], batch.column("u").drop_null().to_numpy()
+            new = np.concatenate(([(no[0], u[0]) != last], (no[1:] != no[:-1]) | (u[1:] != u[:-1]))) if len(u) else np.empty(0, bool)
+            last = (no[-1], u[-1]) if len(u) else last
+            at = np.searchsorted(numbers, u)
+            new &= ~(alone[of] & owned[at] & (solo[of] == own[at]))
+            of, at, no, u = of[new], at[new], no[new], u[new]
+            for s in range(0, len(u), AT_ONCE):
+                part = slice(s, s + AT_ONCE)
+                score = (x[of[part]] * components[at[part]]).sum(axis=1)
+                kept.add(u[part], no[part], heads.column("least").to_numpy()[of[part]], score)
+        yield from kept.rows()
+
+    return met.mapInArrow(work, FOUND)
+
+
+def scanned(groups: DataFrame, units: pa.Table, k: int) -> DataFrame:
+    """The k best vectors of each of few queries in each partition, by all inner products: u, no, least, score."""
+    shared = groups.sparkSession.sparkContext.broadcast(_queries(units))  # bounded by the caller
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, components, own, owned = shared.value
+        kept, bound = _Kept(k), np.full(len(numbers), -np.inf)
+        each = max(1, 2_000_000 // max(1, len(numbers)))
+        for batch in batches:
+            for s in range(0, batch.num_rows, each):
+                part = batch.slice(s, each)
+                x, solo = _matrix(part.column("embedding")), part.column("solo")
+                rough = components @ x.T
+                rough[owned[:, None] & (own[:, None] == solo.fill_null(0).to_numpy()) & solo.is_valid().to_numpy(zero_copy_only=False)] = -np.inf
+                if rough.shape[1] >= k:  # a sum in another order differs by less than the margin
+                    kth = np.partition(rough, -k, axis=1)[:, -k]
+                    bound = np.maximum(bound, np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), -np.inf))
+                at, of = np.nonzero((rough >= bound[:, None]) & np.isfinite(rough))
+                for p in range(0, len(at), AT_ONCE):
+                    a, o = at[p : p + AT_ONCE], of[p : p + AT_ONCE]
+                    kept.add(numbers[a], part.column("no").to_numpy()[o], part.column("least").to_numpy()[o], (x[o] * components[a]).sum(axis=1))
+        yield from kept.rows()
+
+    return groups.select("no", "embedding", "least", "solo").mapInArrow(work, FOUND)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("u").orderBy(F.desc("score"), "least", "no")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
+def _fitted(groups: DataFrame, units: DataFrame, n_rows: int, n_units: int, longest: float, k: int) -> tuple[Codes, Plan]:
+    """Codes learned on a sample of vectors and the plan measured on a sample of queries."""
+    by_hash = lambda df, n: df.orderBy(F.xxhash64("embedding"), *df.columns[:1]).limit(n)
+    sample = _matrix(by_hash(groups.select("no", "embedding"), SAMPLE).toArrow().column("embedding"))
+    some = by_hash(units.select("u", "embedding", "own"), MEASURED).toArrow().sort_by("u")
+    near = _top(scanned(groups, some, k), k).join(groups.select("no", "embedding"), "no").select("u", "embedding").toArrow()
+    codes = Codes(sample, longest)
+    of = np.searchsorted(some.column("u").to_numpy(), near.column("u").to_numpy())
+    queries = _matrix(some.column("embedding"))
+    return codes, best_plan(codes, queries, _matrix(near.column("embedding")).reshape(-1, queries.shape[1]), of, sample[:512], n_rows, n_units)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows with the largest inner product with each query."""
-    rows = table(usable(vectors), "vectors")
+    rows = table(usable(vectors), "usable_vectors")
+    groups = table(distinct_vectors(rows, k), "vectors")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    n_rows, longest = rows.agg(F.count(F.lit(1)), F.max(length)).first()
-    queries = rows.where(is_query)
-    out = "query_id long, rank int, vec_id long, score double"
+    n_rows, longest, width = groups.agg(F.count(F.lit(1)), F.max(length), F.max(F.size("embedding"))).first()
     if not n_rows:
-        return rows.sparkSession.createDataFrame([], out)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
-    codes = Codes(np.array([r[0] for r in sample.collect()]), float(longest), n_rows)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    near = table(ranked(_search(rows, queries, k, codes, everything=False)), "near")
-    # each query's own row is no candidate, so the others are n_rows - 1 or, where ids repeat, fewer
-    per_query = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("kth"))
-    full = table(per_query.where(F.col("found") >= min(k, n_rows - 1)).select("query_id", "kth"), "full")
-    short = table(queries.join(full, queries.vec_id == full.query_id, "left_anti"), "short")
-    if codes.prunes():
-        known = table(queries.join(full, queries.vec_id == full.query_id).select("vec_id", "embedding", "kth"), "known")
-        more = _search(rows, known, k, codes, everything=False)
-        near = ranked(near.select("query_id", "vec_id", "score").unionByName(more))
-    if not short.isEmpty():
-        again = ranked(_search(rows, short, k, codes, everything=True))
-        near = near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return near.select("query_id", "rank", "vec_id", "score")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2")).distinct()
+    solos = groups.where("solo is not null").select(F.col("solo").alias("own")).distinct()
+    asked = asked.join(solos, asked.query_id == solos.own, "left")
+    # a query without own has the same result as any other with its vector, but for the row of its own
+    vectors_of = groups.select("h1", "h2", "embedding")
+    units = table(asked.select("h1", "h2", "own").distinct().join(vectors_of, ["h1", "h2"]).withColumn("u", F.monotonically_increasing_id()), "queries")
+    same = (F.col("a.h1") == F.col("u.h1")) & (F.col("a.h2") == F.col("u.h2")) & F.col("a.own").eqNullSafe(F.col("u.own"))
+    query_ids = table(asked.alias("a").join(units.alias("u"), same).select("a.query_id", "u.u"), "query_ids")
+    n_units = units.count()
+    if not n_units:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    codes, fitted = _fitted(groups, units, n_rows, n_units, float(longest), k)
+    plan = plan or fitted
+    index = buckets(groups, "no", codes, plan, query=False)
+    rounds = ceil(n_units * width * 8 / QUERY_BYTES)
+    if rounds > 1:
+        index = table(index, "index")
+    near = None
+    for r in range(rounds):
+        part = units.where(F.pmod(F.xxhash64("u"), F.lit(rounds)) == r)
+        pairs = index.join(buckets(part, "u", codes, plan, query=True), "bucket").select("u", "no")
+        found = table(_top(ranked(groups, pairs, part.select("u", "embedding", "own").toArrow(), k), k), "near")
+        near = found if near is None else near.unionByName(found)
+    enough = near.groupBy("u").count().where(F.col("count") >= min(k, n_rows - 1)).select("u")
+    short = table(units.join(enough, "u", "left_anti"), "short")
+    n_short = short.count()
+    for r in range(parts := ceil(n_short / MEASURED)):
+        part = short.where(F.pmod(F.xxhash64("u"), F.lit(parts)) == r).select("u", "embedding", "own")
+        found = table(_top(scanned(groups, part.toArrow(), k), k), "scanned")
+        near = near.join(part.select("u"), "u", "left_anti").unionByName(found)
+    each = near.join(groups.select("no", F.explode("ids").alias("id")), "no").join(query_ids, "u").where(F.col("id.vec_id") != F.col("query_id"))
+    each = each.select("query_id", "u", "score", F.col("id.vec_id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.least("id.n", F.lit(k)))).alias("copy"))
+    best = Window.partitionBy("query_id", "u").orderBy(F.desc("score"), "vec_id")
+    drop(rows)
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
