@@ -15,14 +15,17 @@ inner products of the original vectors in double precision.
 
 `bits`, `flips` and `substrings` are measured, not fixed: up to MEASURED queries
 get their true neighbours by one scan, and of all plans that retrieve RECALL
-of these the one with the fewest rows to shuffle is taken. So they follow
+of these the one with the least work is taken. So they follow
 the table, at any size.
 
-What moves: an index row (bucket, vector's number) for each vector and piece, a
-probe for each query and value, joined by bucket (a bucket that many rows share
-is split by the adaptive planner), and the pairs they give, dealt by the vector's number to
-where its components are. Queries' components are broadcast, in rounds of at
-most QUERY_BYTES. Equal vectors are one vector until the end: of those, a query
+The index is cut by rows: vectors are dealt into shards of about SHARD rows by a
+hash, and a task builds the buckets of its shard (each piece's rows in the
+order of their values, and where each value starts). Every query probes every shard, looks
+at what the buckets give and nothing else, and gets k rows back; so vectors are shuffled once, and no pair is. (An
+index dealt by bucket, joined with the probes, wrote 0.54 GB of pairs for 0.02 GB of vectors here.)
+The first shards tell each query a score that its k-th neighbour has at
+least; the others return only what reaches it. Queries are broadcast in rounds of at most
+QUERY_BYTES. Equal vectors are one vector until the end: of those, a query
 can only return the k with the smallest vec_id beside its own, so k + 1 are
 kept, and a vector that very many rows share costs no more than one.
 
@@ -52,13 +55,15 @@ from ravelin.llm.scratch import drop, table
 #: Vectors that rotations are learned on, at most, and rounds of learning.
 SAMPLE, ROUNDS = 4096, 8
 #: Bits of a whole code, at most, and the sizes of pieces and numbers of flipped bits that are weighed against each other.
-CODE_BITS, PIECES, FLIPS = 4096, range(4, 25), (0, 1, 2)
+CODE_BITS, PIECES, FLIPS = 4096, range(4, 21), (0, 1, 2)
 #: Share of the measured queries' true neighbours that must be retrieved, and the number of these queries.
 RECALL, MEASURED = 0.95, 256
-#: A pair is shuffled and ranked, which costs about as much as so many index rows or probes.
+#: Ranking a row that is retrieved costs about as much as so many probes of a bucket.
 PAIR = 3
-#: Bytes of queries that are broadcast at once, and rows that are ranked or multiplied at once.
-QUERY_BYTES, AT_ONCE = 32_000_000, 20_000
+#: Rows of a shard, about, and what share of the shards is searched first.
+SHARD, FIRST = 16_384, 8
+#: Bytes of queries that are broadcast at once, queries that probe at once, and rows that are multiplied at once.
+QUERY_BYTES, PROBING, AT_ONCE = 32_000_000, 256, 20_000
 FOUND = "u long, no long, least long, score double"
 
 
@@ -114,17 +119,21 @@ class Codes:
         """The values of x's pieces: a row for each vector, a column for each piece."""
         lifted = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else self.lift(x)
         signs = lifted.astype(np.float32) @ self.rotations[:, : plan.bits * plan.substrings] > 0
-        weights = 1 << np.arange(plan.bits, dtype=np.int64)
+        weights = 1 << np.arange(plan.bits, dtype=np.int32)
         return signs.reshape(len(x), plan.substrings, plan.bits) @ weights
 
 
 def ball(plan: Plan) -> np.ndarray:
     """What a piece is combined with to give all values within plan.flips bits of it."""
-    return np.array([sum(1 << b for b in c) for n in range(plan.flips + 1) for c in combinations(range(plan.bits), n)], np.int64)
+    return np.array([sum(1 << b for b in c) for n in range(plan.flips + 1) for c in combinations(range(plan.bits), n)], np.int32)
+
+
+def n_shards(n_rows: int) -> int:
+    return max(1, ceil(n_rows / SHARD))
 
 
 def plans(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Iterator[tuple[float, float, float, Plan]]:
-    """Cost (rows moved for each query), recall on (queries[of], near), and the share of rows retrieved, of each plan that might do."""
+    """Cost (probes and rows for each query), recall on (queries[of], near), and the share of rows retrieved, of each plan that might do."""
     width = codes.rotations.shape[1]
     for bits in PIECES:
         whole = Plan(bits, 0, width // bits)
@@ -140,7 +149,7 @@ def plans(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, o
             met = random[:, :, :m] <= flips
             values = sum(comb(bits, f) for f in range(flips + 1))
             pairs = max(float(met.sum(axis=2).mean()), m * values / 2**bits / 4) * n_rows
-            yield m * (values + n_rows / max(1, n_queries)) + PAIR * pairs, float(recall[m - 1]), float(met.any(axis=2).mean()), Plan(bits, flips, m)
+            yield m * (values * n_shards(n_rows) + n_rows / max(1, n_queries)) + PAIR * pairs, float(recall[m - 1]), float(met.any(axis=2).mean()), Plan(bits, flips, m)
 
 
 def best_plan(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Plan:
@@ -155,22 +164,23 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def buckets(vectors: DataFrame, key: str, codes: Codes, plan: Plan, query: bool) -> DataFrame:
-    """bucket and key: a row for each piece of each vector or, for queries, each value that is probed."""
-    shared = vectors.sparkSession.sparkContext.broadcast(codes)  # bounded by CODE_BITS
-    near = ball(plan) if query else np.zeros(1, np.int64)
-    each = max(1, 500_000 // (plan.substrings * len(near)))
+class Buckets:
+    """A shard's index: for each piece, the rows in the order of their values, and where each value starts."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.arange(plan.substrings, dtype=np.int64) << plan.bits
-        for batch in batches:
-            for at in range(0, batch.num_rows, each):
-                part = batch.slice(at, each)
-                values = shared.value.pieces(_matrix(part.column("embedding")), plan, query)
-                out = (base + (values[:, :, None] ^ near).transpose(0, 2, 1)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.repeat(part.column(key).to_numpy(), len(out) // len(part)))], ["bucket", key])
+    def __init__(self, pieces: np.ndarray, plan: Plan):
+        self.near, self.n_rows = ball(plan), len(pieces)
+        self.order = [np.argsort(values, kind="stable").astype(np.int32) for values in pieces.T]
+        self.starts = [np.searchsorted(values[o], np.arange((1 << plan.bits) + 1)).astype(np.int32) for values, o in zip(pieces.T, self.order, strict=True)]
 
-    return vectors.select(key, "embedding").mapInArrow(work, f"bucket long, {key} long")
+    def met(self, queries: np.ndarray) -> np.ndarray:
+        """Which rows (columns) the probes of which query (rows) retrieve."""
+        out = np.zeros((len(queries), self.n_rows), bool)
+        for values, order, starts in zip(queries.T, self.order, self.starts, strict=True):
+            probes = (values[:, None] ^ self.near).ravel()
+            first, n = starts[probes], starts[probes + 1] - starts[probes]
+            place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            out[np.repeat(np.arange(len(probes)) // len(self.near), n), order[place]] = True
+        return out
 
 
 def _best(u: np.ndarray, no: np.ndarray, least: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -213,40 +223,37 @@ def _queries(units: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return units.column("u").to_numpy(), _matrix(units.column("embedding")), own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False)
 
 
-def ranked(groups: DataFrame, pairs: DataFrame, units: pa.Table, k: int) -> DataFrame:
-    """The k best vectors of each query in each part of pairs (u, no), by their inner products: u, no, least, score."""
-    shared = groups.sparkSession.sparkContext.broadcast(_queries(units))  # bounded by QUERY_BYTES
-    none = F.lit(None).cast("long")
-    heads = groups.select("no", none.alias("u"), "embedding", "least", "solo")
-    tails = pairs.select("no", "u", F.lit(None).cast("array<double>").alias("embedding"), none.alias("least"), none.alias("solo"))
-    met = heads.unionByName(tails).repartition("no").sortWithinPartitions("no", F.col("u").asc_nulls_first())
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, components, own, owned = shared.value
-        kept, held, last = _Kept(k), None, (-1, -1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pair = batch.column("u").is_valid().to_numpy(zero_copy_only=False)
-            own_heads = batch.filter(pa.array(~pair))
-            heads = own_heads if held is None else pa.Table.from_batches([held, own_heads]).combine_chunks().to_batches()[0]
-            of = np.cumsum(~pair)[pair] - 1 + (held is not None)
-            held = heads.slice(heads.num_rows - 1)
-            x, solo = _matrix(heads.column("embedding")), heads.column("solo")
-            alone, solo = solo.is_valid().to_numpy(zero_copy_only=False), solo.fill_null(0).to_numpy()
-            no, u = batch.column("no").to_numpy()[pair], batch.column("u").drop_null().to_numpy()
-            new = np.concatenate(([(no[0], u[0]) != last], (no[1:] != no[:-1]) | (u[1:] != u[:-1]))) if len(u) else np.empty(0, bool)
-            last = (no[-1], u[-1]) if len(u) else last
-            at = np.searchsorted(numbers, u)
-            new &= ~(alone[of] & owned[at] & (solo[of] == own[at]))
-            of, at, no, u = of[new], at[new], no[new], u[new]
-            for s in range(0, len(u), AT_ONCE):
-                part = slice(s, s + AT_ONCE)
-                score = (x[of[part]] * components[at[part]]).sum(axis=1)
-                kept.add(u[part], no[part], heads.column("least").to_numpy()[of[part]], score)
-        yield from kept.rows()
-
-    return met.mapInArrow(work, FOUND)
+def probed(shards: DataFrame, units: pa.Table, codes: Codes, plan: Plan, k: int) -> DataFrame:
+    """The k best vectors of each query in each shard, of those that its probes retrieve: u, no, least, score.
+
+    units with a column kth: only what has that score or more.
+    """
+    numbers, components, own, owned = _queries(units)
+    kth = units.sort_by("u").column("kth").to_numpy() if "kth" in units.column_names else np.full(len(numbers), -np.inf)
+    shared = shards.sparkSession.sparkContext.broadcast((codes, numbers, components, own, owned, kth))  # bounded by CODE_BITS and QUERY_BYTES
+
+    def work(rows: pa.Table) -> pa.Table:
+        codes, numbers, components, own, owned, kth = shared.value
+        x, no, least = _matrix(rows.column("embedding")), rows.column("no").to_numpy(), rows.column("least").to_numpy()
+        solo = rows.column("solo").combine_chunks()
+        alone, solo = solo.is_valid().to_numpy(zero_copy_only=False), solo.fill_null(0).to_numpy()
+        index, out = Buckets(codes.pieces(x, plan, False), plan), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in range(0, len(numbers), PROBING):
+            met = index.met(codes.pieces(components[at : at + PROBING], plan, True))
+            for i, row in enumerate(met, at):
+                found = np.flatnonzero(row)
+                if owned[i]:
+                    found = found[~(alone[found] & (solo[found] == own[i]))]
+                rough = x[found] @ components[i]  # a sum in another order differs by less than the margin
+                bound = max(kth[i], np.partition(rough, -k)[-k]) if len(found) > k else kth[i]
+                found = found[rough >= bound - 1e-9 * (1 + abs(bound))] if np.isfinite(bound) else found
+                score = (x[found] * components[i]).sum(axis=1)
+                found, score = found[score >= kth[i]], score[score >= kth[i]]
+                best = np.lexsort((no[found], least[found], -score))[:k]
+                out.append((np.full(len(best), numbers[i]), no[found[best]], least[found[best]], score[best]))
+        return pa.table(dict(zip(("u", "no", "least", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return shards.select("no", "embedding", "least", "solo", "shard").groupBy("shard").applyInArrow(work, FOUND)
 
 
 def scanned(groups: DataFrame, units: pa.Table, k: int) -> DataFrame:
@@ -313,15 +320,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan | None
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes, fitted = _fitted(groups, units, n_rows, n_units, float(longest), k)
     plan = plan or fitted
-    index = buckets(groups, "no", codes, plan, query=False)
-    rounds = ceil(n_units * width * 8 / QUERY_BYTES)
-    if rounds > 1:
-        index = table(index, "index")
-    near = None
+    count = n_shards(n_rows)
+    shards = groups.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "no"), F.lit(count)))
+    first, rest = shards.where(F.col("shard") < ceil(count / FIRST)), shards.where(F.col("shard") >= ceil(count / FIRST))
+    rounds, near = ceil(n_units * width * 8 / QUERY_BYTES), None
     for r in range(rounds):
-        part = units.where(F.pmod(F.xxhash64("u"), F.lit(rounds)) == r)
-        pairs = index.join(buckets(part, "u", codes, plan, query=True), "bucket").select("u", "no")
-        found = table(_top(ranked(groups, pairs, part.select("u", "embedding", "own").toArrow(), k), k), "near")
+        part = units.where(F.pmod(F.xxhash64("u"), F.lit(rounds)) == r).select("u", "embedding", "own")
+        found = table(_top(probed(first, part.toArrow(), codes, plan, k), k), "near")
+        if count > 1:
+            kth = found.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+            told = part.join(kth, "u", "left").select(*part.columns, F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+            found = table(_top(found.unionByName(probed(rest, told.toArrow(), codes, plan, k)), k), "near")
         near = found if near is None else near.unionByName(found)
     enough = near.groupBy("u").count().where(F.col("count") >= min(k, n_rows - 1)).select("u")
     short = table(units.join(enough, "u", "left_anti"), "short")
