@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.llm.running import running_totals
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,14 +58,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return per.select("source", "source_size", target.alias("target"))
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.xxhash64("text"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for each row of docs.
+    """doc_id, size, source_size, target, taken, copies and row_key for each row of docs.
 
     taken counts words, repeats included. copies is the number of whole
     copies of the row that stand for it: a part of at least half counts.
+    row_key is a hash of its doc_id, source and text.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    sizes = table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "sizes")
+    sizes = table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), row_key().alias("row_key")), "sizes")
     targets = table(source_targets(sizes, weights, share, most), "targets")
     placed = running_totals(sizes, ["source"], ["key", F.col("doc_id").asc_nulls_last(), "size"], ["size"])
     both = placed.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
@@ -81,12 +86,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         "t.target",
         (epochs * F.col("size") + part).cast("long").alias("taken"),
         (epochs + more.cast("int")).cast("int").alias("copies"),
+        "row_key",
     )
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() says. Rows without a doc_id are taken once."""
-    copies = mix(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    named = docs.join(copies, "doc_id").where("copies > 0")
-    named = named.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """The mix itself: each row of docs as often as mix() says. Rows equal in doc_id, source and text share their copies out evenly."""
+    key, total, alike, number = (unused(docs, c) for c in ("row_key", "total_copies", "rows_alike", "row_number"))
+    copies = mix(docs, **options).groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(alike))
+    keyed = docs.withColumn(key, row_key()).join(copies.where(F.col(total) > 0), key)
+    placed = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    times = F.floor(F.col(total) / F.col(alike)) + (F.col(number) <= F.col(total) % F.col(alike)).cast("int")
+    return placed.withColumn(total, times).where(F.col(total) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total)))).select(*docs.columns)
