@@ -16,7 +16,8 @@ are grouped by the identifier of their origin record, ordered by segment
 number, checked for gaps and against the stated total length, and only then
 is the HTTP block decoded. What is wrong with a record is in `problem`.
 
-Record identifiers are `<urn:page:PAGE?row=N>`; N tells rows of one page_id apart.
+Record identifiers are `<urn:page:PAGE?sha256=DIGEST>`, which a revisit refers
+to. Rows that may share page_id and payload have `&row=N` added; a revisit of those names them without it.
 
 Defined cases: a null html is an empty payload, a null url an empty target. A
 null page_id counts as larger than any other, and is `null` in the identifier.
@@ -88,15 +89,15 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return squeeze.compress(b"WARC/1.1\r\n" + head.encode() + END + block + END + END) + squeeze.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, row: str) -> Iterator[bytes]:
-    """The records of one page."""
-    name = f"<urn:page:{'null' if page_id is None else page_id}?row={row}>"
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, row: str | None) -> Iterator[bytes]:
+    """The records of one page; row tells it apart from others of the same page_id and payload."""
+    name = f"<urn:page:{'null' if page_id is None else page_id}?sha256={digest}{f'&row={row}' if row else ''}>"
     target = "".join((url or "").split())
     block = http_block(payload, headers_only=revisit)
     shared = [("WARC-Target-URI", target), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response")]
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), *shared, ("WARC-Payload-Digest", f"sha256:{digest}")]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}?sha256={digest}>")]
     pieces = [block[at : at + SEGMENT] for at in range(0, len(block), SEGMENT)]
     yield record(fields + [("WARC-Segment-Number", 1)] * (len(pieces) > 1), pieces[0])
     for number, piece in enumerate(pieces[1:], 2):
@@ -106,11 +107,16 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record in a stream of gzip members, one member in memory at a time."""
+    """Header fields (lower-case names) and block of each record in a stream of gzip members, one member in memory at a time.
+
+    A member that the stream does not hold as a whole gives a record of type `truncated`.
+    """
     inflate, data, member = zlib.decompressobj(wbits=31), b"", []
     while True:
         data = data or stream.read(1 << 20)
         if not data:
+            if member:
+                yield {"warc-type": "truncated", "warc-record-id": ""}, b""
             return
         member.append(inflate.decompress(data))
         data = inflate.unused_data
@@ -129,13 +135,15 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """page_id, payload_digest and refers_to of the pages that repeat another's payload."""
+    """page_id, payload_digest, refers_to of the pages that repeat another's payload, and of those that occur more than once (alike)."""
     light = digests(pages).where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest")
     light = table(light, "digests")
     first = light.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = table(first.select("payload_digest", "refers_to"), "first_pages")
-    again = light.join(first, "payload_digest").where("refers_to is not null and (page_id is null or page_id > refers_to)")
-    return again.select("page_id", "payload_digest", "refers_to").distinct()
+    again = light.join(first, "payload_digest").where("refers_to is not null or page_id is null")
+    again = again.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to")), F.col("refers_to")))
+    counted = again.groupBy("page_id", "payload_digest", "refers_to").agg((F.count(F.lit(1)) > 1).alias("alike"))
+    return counted.where("alike or refers_to is not null")
 
 
 def write(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
@@ -146,14 +154,14 @@ def write(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
         out = path = None
         part, rows, records = uuid.uuid4().hex, 0, 0
         for batch in batches:
-            for page_id, url, payload, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, digest, refers_to, revisit, alike in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     store, at = fs.FileSystem.from_uri(folder)
                     store.create_dir(at, recursive=True)
                     path = f"part-{part}.warc.gz"
                     out = store.open_output_stream(f"{at}/{path}", compression=None)
                     out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(part)}>"), ("WARC-Date", DATE)], b"format: WARC File Format 1.1\r\n"))
-                for data in page_records(page_id, url, payload, digest, refers_to, revisit, f"{part}.{rows}"):
+                for data in page_records(page_id, url, payload, digest, refers_to, revisit, f"{part}.{rows}" if alike else None):
                     out.write(data)
                     records += 1
                 rows += 1
@@ -164,7 +172,7 @@ def write(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     again = table(revisits(pages, min_revisit), "revisits").alias("r")
     own = digests(pages).alias("p")
     same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.payload_digest") == F.col("r.payload_digest"))
-    rows = own.join(again, same, "left").select("p.page_id", "p.url", "p.payload", "p.payload_digest", "r.refers_to", F.col("r.refers_to").isNotNull().alias("revisit"))
+    rows = own.join(again, same, "left").select("p.page_id", "p.url", "p.payload", "p.payload_digest", "r.refers_to", F.col("r.refers_to").isNotNull().alias("revisit"), (F.coalesce("r.alike", F.lit(False)) | (F.octet_length("p.payload") < min_revisit)).alias("alike"))
     return table(rows.mapInArrow(work, "path string, n_records long"), "warc_files")
 
 
@@ -186,19 +194,28 @@ def _decoded(record_type: str, block: bytes, digest: str) -> tuple[int | None, s
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """A row for each response, revisit and continuation record; segments keep their block, whole records are decoded."""
+    """A row for each response, revisit and continuation record; segments keep their block, whole records are decoded.
+
+    A file that ends within a record, or holds other than the number of records
+    that the manifest states, gives one more row of type `truncated`.
+    """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            for path in batch["path"]:
+            for path, expected in zip(batch["path"], batch["n_records"], strict=True):
+                seen = 0
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(at, compression=None) as file:
                     rows, held = [], 0
                     for fields, block in records_in(io.BufferedReader(file)):
                         kind = fields["warc-type"]
+                        if kind == "truncated":
+                            rows.append([path, kind, None, None, None, None, None, None, None, "the file ends within a record"])
+                            expected = None
                         if kind not in ("response", "revisit", "continuation"):
                             continue
+                        seen += 1
                         name, number = fields.get("warc-segment-origin-id", fields["warc-record-id"]), fields.get("warc-segment-number")
                         refers, total = fields.get("warc-refers-to"), fields.get("warc-segment-total-length")
                         digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -211,11 +228,14 @@ def read(manifest: DataFrame) -> DataFrame:
                         if len(rows) >= 5000 or held > 8_000_000:
                             yield pd.DataFrame(rows, columns=names).astype(INTS)
                             rows, held = [], 0
+                    if expected is not None and not pd.isna(expected) and seen != expected:
+                        rows.append([path, "truncated", None, None, None, None, None, None, None, f"{seen} of {int(expected)} records"])
                     if rows:
                         yield pd.DataFrame(rows, columns=names).astype(INTS)
 
     # as many partitions as files: the adaptive planner would put rows this few and small into one task
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInPandas(work, RECORD)
+    stated = F.col("n_records") if "n_records" in manifest.columns else F.lit(None).cast("long").alias("n_records")
+    return manifest.select("path", stated).repartition(max(1, manifest.count()), "path").mapInPandas(work, RECORD)
 
 
 INTS = {"refers_to": "Int64", "segment": "Int32", "total": "Int64", "page_id": "Int64", "payload_bytes": "Int64"}
