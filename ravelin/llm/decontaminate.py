@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.line_dedup import lower_ascii
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import table, unused
 
 #: Word positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 5, 6))
@@ -100,28 +100,37 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int) -> tupl
     alignments = alignments.join(distinct, "item_hash").groupBy("doc_id", "text_hash", "item_hash", place.alias("place")).agg(
         F.min("first_word").alias("first_word")
     ) if lengths & {1, 2, 3, 4} else alignments.distinct()
-    compared = alignments.join(distinct.withColumnRenamed("words", "item_words"), "item_hash")
+    # an item's words come once for a document, however many alignments; those are fewer than both's words together
+    per_item = alignments.groupBy("doc_id", "text_hash", "item_hash").agg(F.collect_set("first_word").alias("places"))
+    compared = per_item.join(distinct.withColumnRenamed("words", "item_words"), "item_hash")
     per_doc = table(
-        compared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_hash", "first_word", "item_words")).alias("found")),
+        compared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_hash", "places", "item_words")).alias("found")),
         "alignments",
     ).alias("a")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash"))
     both = texts.join(per_doc.hint("shuffle_hash"), same).select("d.doc_id", "d.text_hash", word_hashes(F.col("d.text")).alias("words"), F.col("a.found").alias("found"))
 
-    def judged(c: Column) -> Column:
-        agree = F.transform(c["item_words"], lambda w, i: (F.get("words", c["first_word"] + i) == w).cast("int"))
-        return F.struct(c["item_hash"].alias("item_hash"), c["first_word"].alias("first_word"), F.transform(agree, lambda x: F.coalesce(x, F.lit(0))).alias("agree"))
+    def dense(agree: Column, n: Column) -> Column:
+        stretch = F.least(n, F.lit(WINDOW))
+        return F.exists(
+            F.sequence(F.lit(1), n - stretch + 1),
+            lambda s: F.aggregate(F.slice(agree, s, stretch), F.lit(0), lambda a, x: a + x) >= F.ceil(stretch * F.lit(LEAST)),
+        )
 
-    each = both.select("doc_id", "text_hash", F.explode(F.transform("found", judged)).alias("f")).select("doc_id", "text_hash", "f.*")
-    n = F.size("agree")
-    stretch = F.least(n, F.lit(WINDOW))
-    dense = F.exists(
-        F.sequence(F.lit(1), n - stretch + 1),
-        lambda s: F.aggregate(F.slice("agree", s, stretch), F.lit(0), lambda a, x: a + x) >= F.ceil(stretch * F.lit(LEAST)),
-    )
-    matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
-    return each.where(dense).select("doc_id", "text_hash", "item_hash", "first_word", matched.alias("matched"), n.alias("item_words")), items
+    def best(c: Column) -> Column:
+        """matched and first_word (as its negative) of the best alignment that overlaps; null if none does."""
+        n = F.size(c["item_words"])
+
+        def judged(place: Column) -> Column:
+            agree = F.transform(c["item_words"], lambda w, i: F.coalesce((F.get("words", place + i) == w).cast("int"), F.lit(0)))
+            matched = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+            return F.get(F.transform(F.array(agree), lambda a: F.when(dense(a, n), F.struct(matched(a).alias("matched"), (-place).alias("back")))), 0)
+
+        return F.struct(c["item_hash"].alias("item_hash"), n.alias("item_words"), F.array_max(F.transform(c["places"], judged)).alias("b"))
+
+    each = both.select("doc_id", "text_hash", F.explode(F.transform("found", best)).alias("f")).where("f.b is not null")
+    return each.select("doc_id", "text_hash", "f.item_hash", (-F.col("f.b.back")).alias("first_word"), F.col("f.b.matched").alias("matched"), "f.item_words"), items
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -139,9 +148,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, by_text: bool = False, max
     by_text: only rows whose own text overlaps go. Otherwise all rows of such a
     row's doc_id go, and rows without a doc_id stay only if no such row overlaps.
     """
+    leaked, its_text = unused(docs, "leaked"), unused(docs, "leaked_text")
     if not by_text:
-        found = overlaps(docs, benchmark, max_broadcast).select(F.col("doc_id").alias("leaked")).distinct()
-        return docs.join(table(found, "leaked"), docs.doc_id.eqNullSafe(F.col("leaked")), "left_anti")
-    found = _overlaps(docs, benchmark, max_broadcast)[0].select(F.col("doc_id").alias("leaked"), F.col("text_hash").alias("leaked_text")).distinct()
-    same = docs.doc_id.eqNullSafe(F.col("leaked")) & (F.xxhash64(docs.text) == F.col("leaked_text"))
+        found = overlaps(docs, benchmark, max_broadcast).select(F.col("doc_id").alias(leaked)).distinct()
+        return docs.join(table(found, "leaked"), F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
+    found = _overlaps(docs, benchmark, max_broadcast)[0].select(F.col("doc_id").alias(leaked), F.col("text_hash").alias(its_text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(leaked)) & (F.xxhash64("text") == F.col(its_text))
     return docs.join(table(found, "leaked"), same, "left_anti")
