@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.components import roots
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import table, unused
 
 #: First bit and width of the blocks that are masked out.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -203,9 +203,10 @@ def named_rows(docs: DataFrame) -> DataFrame:
 
 def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of docs that chosen names (in a column component_id, by a doc_id of named_rows()), each once."""
-    keys = table(chosen.select(F.xxhash64("component_id.id", "component_id.text_hash").alias("row_key")).distinct(), "chosen")
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", F.xxhash64("text")))
-    return keyed.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    key = unused(docs, "row_key")
+    keys = table(chosen.select(F.xxhash64("component_id.id", "component_id.text_hash").alias(key)).distinct(), "chosen")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text")))
+    return keyed.join(keys, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ Defined cases: a null or empty text has the score of a text in which no voter
 fires. Rows of one doc_id are scored each by its own text. A doc_id with
 several labels counts as toxic if one says so; null labels count as none.
 Without any learnable label of either kind the score is the share of toxic
-ones (0 without labels). Other columns are not read.
+ones (0 without labels). Other columns, of whatever name, are not read; keep_clean() returns them as they are.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.scratch import table
+from ravelin.llm.scratch import table, unused
 
 #: Labelled rows that are learned from, at most.
 MAX_ROWS = 20_000
@@ -206,20 +206,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
     return Scorer(words, regression(rows, posterior))
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs' doc_id and text with their score."""
+def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """docs with their score in a new column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by MAX_LEXICON
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = shared.value
             rows = np.array([made.row(t.as_py()) for t in batch.column("text")]).reshape(-1, len(made.weights))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.score(rows))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.score(rows))], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, score double")
+    return docs.mapInArrow(work, f"{fields}, `{name}` double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs whose score is below the threshold."""
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    name = unused(docs, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).select(*docs.columns)
