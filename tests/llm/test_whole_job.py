@@ -67,8 +67,33 @@ def test_stage_takes_near_copies(spark):
 def test_large_buckets_give_few_pairs():
     base, r = np.arange(64, dtype=np.uint32), np.random.default_rng(2)
     signs = np.where(r.random((2000, 64)) < 0.02, r.integers(100, 10**6, (2000, 64)), base).astype(np.uint32)
-    pairs = near_copies.bucket_pairs(np.arange(2000), signs)
-    assert {b for _, b in pairs} == set(range(1, 2000)) and len(pairs) < 40_000
+    for n in (40, 300, 2000):
+        pairs = near_copies.bucket_pairs(np.arange(n), signs[:n])
+        assert len(pairs) == n - 1 and set(pairs.ravel().tolist()) == set(range(n))
+    two = np.array([0] * 1990 + [5] * 4 + [7] * 6)
+    crossing = near_copies.cross_pairs(np.arange(2000), signs, two)
+    assert len(np.unique(crossing, axis=0)) == len(crossing) == 1990 * 10 + 24
+
+
+def test_forest_and_cross_pairs_link_what_all_pairs_link(spark):
+    """A group whose copies are near some others only: components as from all pairs."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(9000)}" for _ in range(90)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for j in r.sample(range(90), 1 + i % 3):
+            words[j] = f"x{r.randrange(9000)}"
+        texts.append(" ".join(words))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                least, other = sorted((label[i], label[j]))
+                label = [least if x == other else x for x in label]
+    got = near_copies.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {g.doc_id: g.component_id for g in got} == dict(enumerate(label)) and len(set(label)) > 1
 
 
 def test_shouting_is_a_third_of_the_whole_text():
