@@ -22,6 +22,7 @@ KINDS = {  # fixed values
     "class": "class", "struct": "struct", "enum": "enum", "protocol": "protocol", "actor": "class", "extension": "extension", "func": "method", "var": "property",
     "let": "property", "typealias": "typeAlias", "import": "import", "associatedtype": "associatedType", "macro": "macro", "case": "enumCase",
 }
+ATTRIBUTE = r"(@\w+(?:\([^)]*\))?|nonisolated(?:\(unsafe\))?)"
 _NOT_CALLS = ("if", "for", "while", "switch", "guard", "return", "func", "init", "catch", "repeat", "where", "in", "case")
 
 
@@ -65,16 +66,27 @@ def with_text(sources: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(whole, "file").withColumn("text", cut).drop("_lines")
 
 
+def _with_attributes_above(of: DataFrame) -> DataFrame:
+    """lines() with `above`: the attributes on the lines before that hold nothing else."""
+    alone = F.col("bare").rlike(r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*$")
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = of.withColumn("alone", alone).withColumn("group", F.coalesce(F.sum(F.when(alone, 0).otherwise(1)).over(before), F.lit(0)))
+    # a group is lines of attributes and the line that they stand before; nothing else of their file is put together
+    within = Window.partitionBy("file", "group").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.when(F.col("alone"), F.regexp_extract_all("bare", F.lit(ATTRIBUTE), F.lit(1)))
+    return own.withColumn("above", F.flatten(F.collect_list(held).over(within))).drop("alone", "group")
+
+
 def declarations(sources: DataFrame) -> DataFrame:
     """id, name, kind, keyword, file, pos, line, end_line, attributes, access_level, inherits, signature, container and text of declarations."""
-    of = lines(sources)
+    of = _with_attributes_above(lines(sources))
     part = lambda i: F.regexp_extract("bare", DECLARATION, i)
     found = of.withColumn("keyword", part(2)).where("keyword <> ''")
     mods, rest = part(1), part(4)
     access = F.initcap(F.regexp_extract(mods, r"\b(public|private|internal|fileprivate|open|package)\b", 1))
     found = found.select(
         "file", "pos", "depth", "after", "opens", "keyword", F.translate(part(3), "`", "").alias("name"),
-        F.regexp_extract_all(mods, F.lit(r"(@\w+(?:\([^)]*\))?|nonisolated(?:\(unsafe\))?)"), F.lit(1)).alias("attributes"),
+        F.concat("above", F.regexp_extract_all(mods, F.lit(ATTRIBUTE), F.lit(1))).alias("attributes"),
         F.when(access == "", "Internal").when(access == "Fileprivate", "FilePrivate").otherwise(access).alias("access_level"),
         F.filter(F.transform(F.split(F.regexp_extract(rest, r"^\s*(?:<[^>]*>)?\s*:\s*([^{]+?)\s*(?:where\b.*)?\{?\s*$", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"[\s<].*$", "")), lambda x: x != "").alias("inherits"),
     )

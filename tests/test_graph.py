@@ -72,6 +72,8 @@ def random_graph(spark, n, links):
 def test_known_graphs(spark):
     ring = random_graph(spark, 3, [(0, 1), (1, 2), (2, 0)])
     assert [len(r.path) for r in ring.cycles().collect()] == [3]
+    long = random_graph(spark, 8, [(i, (i + 1) % 6) for i in range(6)] + [(6, 0), (3, 7)])
+    assert [[p[-7] for p in r.path] for r in long.cycles().collect()] == [list("012345")]
     chain = random_graph(spark, 4, [(0, 1), (1, 2), (2, 3)])
     assert chain.cycles().count() == 0
     shallow, deep = (chain.impact("usr:node_3", d).first().transitive for d in (2, 3))
@@ -104,6 +106,10 @@ def test_random_graphs(spark, seed):
         reach = more
     pairs = spark.createDataFrame(links, "a int, b int")
     assert sorted(r.node for r in traverse.on_cycles(pairs).collect()) == sorted(a for a, b in reach if a == b)
+    of = {a: min(b for b in range(n) if (a, b) in reach and (b, a) in reach) for a in range(n) if (a, a) in reach}
+    assert {r.node: r.component for r in traverse.strong_components(pairs).collect()} == of
+    witnesses = [r.path for r in traverse.cycle_witnesses(pairs).collect()]
+    assert sorted(w[0] for w in witnesses) == sorted(set(of.values())) and all((a, b) in links for w in witnesses for a, b in zip(w, [*w[1:], w[0]]))
     simple = {tuple(r.path) for r in traverse.simple_cycles(pairs, 3).collect()}
     s = {(a, b) for a, b in links if a != b}
     want = {(a, b) for a, b in s if a < b and (b, a) in s} | {(a, b, c) for a, b in s for c in range(n) if a < b and a < c and b != c and (b, c) in s and (c, a) in s}
