@@ -87,10 +87,13 @@ class CodeGraph:
     def dead_code(self, path: str | None = None, include_tests: bool = False, limit: int = 50) -> DataFrame:
         return analytics.dead_code(self.nodes, self.edges, include_tests, path).orderBy("id").limit(limit)
 
-    def cycles(self, max_cycles: int = 20, longest: int = 3) -> DataFrame:
+    def cycles(self, max_cycles: int = 20, longest: int = 3, path: str | None = None) -> DataFrame:
+        """All cycles of files up to that length and, of any length, one for each group of files that depend on each other."""
         of = self.nodes.select("id", "file")
         joined = self.edges.join(of.withColumnsRenamed({"id": "source", "file": "a"}), "source").drop("file").join(of.withColumnsRenamed({"id": "target", "file": "b"}), "target")
-        return traverse.simple_cycles(joined.select("a", "b"), longest).orderBy("edge_count", "path").limit(max_cycles)
+        joined = joined if path is None else joined.where(F.col("a").startswith(path) & F.col("b").startswith(path))
+        found = traverse.simple_cycles(joined.select("a", "b"), longest).unionByName(traverse.cycle_witnesses(joined.select("a", "b"))).distinct()
+        return found.orderBy("edge_count", "path").limit(max_cycles)
 
     def coupling(self, depth: int = 2, source_root: str = "") -> DataFrame:
         return analytics.coupling(self.nodes, self.edges, depth, source_root).orderBy(F.desc("distance"), "module")

@@ -43,7 +43,7 @@ def file_stats(symbols: DataFrame) -> DataFrame:
 
 
 def is_test_file(file: str = "file") -> Column:
-    return F.col(file).contains("/Tests/") | F.col(file).endswith("Tests.swift")
+    return F.col(file).contains("/Tests/") | F.col(file).contains("Tests.swift")
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, include_tests: bool = False, path: str | None = None) -> DataFrame:
@@ -206,13 +206,31 @@ def impact_breakdown(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("target") == symbol).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("source")).alias("sources"))
 
 
-def diff_impact(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """One row for a set of changed files (column file): symbols in them, the sum of their direct impact, and distinct dependents."""
-    seeds = nodes.join(changed_files, "file", "left_semi").select(F.col("id").alias("seed"))
-    direct = seeds.join(edges.select(F.col("target").alias("seed"), "source").distinct(), "seed", "left")
-    out = direct.agg(F.countDistinct("seed").alias("symbols"), F.count("source").alias("total_direct_impact"), F.countDistinct("source").alias("total_transitive_impact"))
+#: Kinds of edges whose sources a change is said to reach: callers, conforming types and subtypes.
+REACHED_BY = ("calls", "conformsTo", "inheritsFrom")
+
+
+def affected_files(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, depth: int = 3) -> DataFrame:
+    """file and is_test of every file with a symbol that depends on one in the changed files (column file)."""
+    seeds = nodes.join(changed_files, "file", "left_semi").select(F.col("id").alias("seed")).distinct()
+    ids = reached(edges, seeds, depth).where("level > 0").select("id").distinct()
+    return nodes.join(ids, "id", "left_semi").select("file", is_test_file().alias("is_test")).distinct()
+
+
+def diff_impact(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, depth: int = 3) -> DataFrame:
+    """One row for a set of changed files (column file): symbols in them, the sum of their direct impact, distinct callers,
+    conforming types and subtypes, affected files and tests, and risk (none, if there is no such symbol)."""
+    changed_files = changed_files.distinct()
+    seeds = nodes.join(changed_files, "file", "left_semi").select(F.col("id").alias("seed")).distinct()
+    into = seeds.join(edges.withColumnRenamed("target", "seed").select("seed", "source", "kind").distinct(), "seed", "left")
+    out = into.agg(
+        F.countDistinct("seed").alias("symbols"),
+        F.countDistinct(F.when(F.col("source") != F.col("seed"), F.struct("seed", "source"))).alias("total_direct_impact"),
+        F.countDistinct(F.when(F.col("kind").isin(*REACHED_BY), F.col("source"))).alias("total_transitive_impact"),
+    )
+    files = affected_files(nodes, edges, changed_files, depth).agg(F.count_if(~F.col("is_test")).alias("files"), F.count_if("is_test").alias("tests"))
     level = F.when(F.col("symbols") == 0, "none").otherwise(risk(F.col("total_transitive_impact"), DIFF_RISK))
-    return out.withColumn("risk", level)
+    return out.join(F.broadcast(files)).withColumn("risk", level)  # one row and one row
 
 
 def context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_nodes: int = 25, include_tests: bool = False, per_node: int | None = None) -> DataFrame:
@@ -256,23 +274,22 @@ def isolation_of(attributes: str = "attributes", signature: str = "signature") -
 
 
 def concurrency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per symbol that calls others: its isolation, its callees', and whether calls cross from one isolation to another."""
-    of = nodes.select("id", "name", "kind", isolation_of().alias("isolation"))
+    """Per symbol: its isolation, whether it conforms to Sendable, its callees' isolations, calls from one isolation to another, and warnings."""
+    of = nodes.select("id", isolation_of().alias("isolation"))
     calls = edges.where("kind = 'calls'").select("source", "target").distinct()
     joined = calls.join(of.select(F.col("id").alias("source"), F.col("isolation").alias("own")), "source")
     joined = joined.join(of.select(F.col("id").alias("target"), F.col("isolation").alias("other")), "target")
     crossing = (F.col("own") != F.col("other")) & (F.col("other") != "unknown") & (F.col("other") != "nonisolated")
-    return joined.groupBy(F.col("source").alias("id"), F.col("own").alias("isolation")).agg(
+    per = joined.groupBy(F.col("source").alias("id")).agg(
         F.count(F.lit(1)).alias("callees"), F.count_if(crossing).alias("cross_actor_calls"), F.array_sort(F.collect_set("other")).alias("callee_isolations")
     )
+    sendable = edges.where("kind = 'conformsTo'").where(F.col("target").contains("Sendable")).select(F.col("source").alias("id"), F.lit(True).alias("sendable")).distinct()
+    out = of.join(per, "id", "left").join(sendable, "id", "left").fillna(0, ["callees", "cross_actor_calls"]).fillna(False, ["sendable"])
+    out = out.withColumn("callee_isolations", F.coalesce("callee_isolations", F.array().cast("array<string>")))
+    return out.withColumn("warnings", concurrency_warnings(F.col("isolation"), F.col("sendable"), F.col("cross_actor_calls")))
 
 
-def concurrency_warnings(isolation: Column, sendable: Column, cross_calls: Column, mutable_state: Column) -> Column:
+def concurrency_warnings(isolation: Column, sendable: Column, cross_calls: Column) -> Column:
     """The texts of what is doubtful about a symbol."""
-    unknown = isolation == "unknown"
-    return F.array_compact(F.array(
-        F.when(unknown & (cross_calls > 0), "calls isolated code without an isolation of its own"),
-        F.when(unknown & (mutable_state > 0), "changes state without an isolation"),
-        F.when(~sendable & (cross_calls > 0), "crosses actors but is not Sendable"),
-        F.when((isolation == "nonisolated") & (mutable_state > 0), "nonisolated but touches mutable state"),
-    ))
+    crossing = F.concat(cross_calls.cast("string"), F.lit(" call(s) into other isolations but not Sendable"))
+    return F.array_compact(F.array(F.when(isolation == "unknown", "no isolation is stated"), F.when(~sendable & (cross_calls > 0), crossing)))

@@ -87,25 +87,61 @@ def simple_cycles(pairs: DataFrame, longest: int = 3) -> DataFrame:
     return out.select("path", F.size("path").alias("edge_count"))
 
 
-def on_cycles(pairs: DataFrame) -> DataFrame:
-    """Every node of pairs (a, b) that lies on a cycle of two nodes or more.
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """node and component (its least node) of every node of pairs (a, b) on a cycle of two nodes or more.
 
-    Nodes that nothing leads to, or that lead nowhere, are peeled off first,
-    again and again; reachability is then closed over what is left, in steps of
-    doubling length.
+    Every node takes the least node that reaches it as its colour; the nodes that
+    reach back to that one along pairs of one colour are its component. What is left of
+    the pairs within a colour goes round again. Each round's tables have at most a row for each pair or node.
     """
-    left = table(pairs.where("a <> b").distinct(), "pairs")
-    size = left.count()
-    while size:
-        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        kept = table(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "pairs")
-        left, before, size = kept, size, kept.count()
-        if size == before:
-            break
-    while size:
-        further = left.alias("x").join(left.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        left, before = table(left.unionByName(further).distinct(), "reach"), size
-        size = left.count()
-        if size == before:
-            break
-    return left.where("a = b").select(F.col("a").alias("node"))
+    live, out = table(pairs.where("a <> b").distinct(), "pairs"), None
+    while not live.isEmpty():
+        colour = table(live.select(F.col("a").alias("node")).unionByName(live.select(F.col("b").alias("node"))).distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            come = live.join(colour, live.a == colour.node).select(F.col("b").alias("node"), "colour")
+            lower = table(colour.unionByName(come).groupBy("node").agg(F.min("colour").alias("colour")), "colours")
+            same = lower.alias("x").join(colour.alias("y"), "node").where("x.colour <> y.colour").isEmpty()
+            colour = lower
+            if same:
+                break
+        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"colour_{c}"))
+        inner = table(live.join(of("a"), "a").join(of("b"), "b").where("colour_a = colour_b").select("a", "b", F.col("colour_a").alias("colour")), "pairs")
+        found = frontier = table(colour.where("node = colour"), "component")
+        while not frontier.isEmpty():
+            back = inner.join(frontier.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "colour").distinct()
+            frontier = table(back.join(found, "node", "left_anti"), "component")
+            found = found.unionByName(frontier)
+        whole = found.join(found.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi")
+        out = whole if out is None else out.unionByName(whole)
+        done = found.select("node")
+        live = table(inner.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "pairs")
+    if out is None:
+        return pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    return out.select("node", F.col("colour").alias("component"))
+
+
+def on_cycles(pairs: DataFrame) -> DataFrame:
+    """Every node of pairs (a, b) that lies on a cycle of two nodes or more."""
+    return strong_components(pairs).select("node")
+
+
+def cycle_witnesses(pairs: DataFrame) -> DataFrame:
+    """For each strong component of pairs (a, b) a shortest cycle through its least node, of any length, as simple_cycles() gives them."""
+    of = table(strong_components(pairs), "components")
+    steps = pairs.where("a <> b").distinct().join(of.select(F.col("node").alias("a"), "component"), "a")
+    steps = table(steps.join(of.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").where("component = other").select("a", "b"), "pairs")
+    paths = of.where("node = component").select(F.col("node").alias("at"), F.array("node").alias("path"))
+    seen, out = None, None
+    while True:
+        went = paths.join(steps, F.col("at") == F.col("a")).select(F.element_at("path", 1).alias("root"), F.col("b").alias("at"), "path")
+        went = table(went.groupBy("root", "at").agg(F.min("path").alias("path")), "paths")
+        closed = went.where("at = root").select("path")
+        out = closed if out is None else out.unionByName(closed)
+        ended = out.select(F.element_at("path", 1).alias("root"))
+        paths = went.join(ended, "root", "left_anti")
+        paths = paths if seen is None else paths.join(seen, ["root", "at"], "left_anti")
+        paths = table(paths.withColumn("path", F.concat("path", F.array("at"))), "paths")
+        if paths.isEmpty():
+            return out.select("path", F.size("path").alias("edge_count"))
+        seen = paths.select("root", "at") if seen is None else seen.unionByName(paths.select("root", "at"))
+        paths = paths.select("at", "path")

@@ -15,6 +15,7 @@ from ravelin.operators import sinks as K
 from ravelin.operators import store as M
 from ravelin.operators import traverse as V
 from ravelin.plans import projection
+from ravelin.plans.tables import table
 from ravelin.sources import index_dump as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,7 +112,7 @@ graph("agg_file_stats", DEGREES + """SELECT file, count(*) AS symbols, round(avg
 )
 DEAD = DEGREES + """, dead AS (SELECT id, name, kind, file FROM deg WHERE fan_in = 0 AND kind NOT IN ('protocol', 'extension', 'import', 'associatedType', 'module')
     AND access_level NOT IN ('Public', 'Open') AND name NOT IN ('body', 'main') AND NOT starts_with(name, 'application(') AND NOT starts_with(name, 'scene(')
-    AND NOT (contains(file, '/Tests/') OR suffix(file, 'Tests.swift')) AND NOT (kind IN ('class', 'struct', 'enum') AND fan_out > 0)) """
+    AND NOT (contains(file, '/Tests/') OR contains(file, 'Tests.swift')) AND NOT (kind IN ('class', 'struct', 'enum') AND fan_out > 0)) """
 graph("dead_code", DEAD + "SELECT id, name, kind, file FROM dead")(lambda n, e: A.dead_code(n, e).select("id", "name", "kind", "file"))
 graph("antijoin_dead", "SELECT id FROM nodes WHERE id NOT IN (SELECT target FROM edges)")(lambda n, e: n.join(e.select(F.col("target").alias("id")), "id", "left_anti").select("id"))
 graph("agg_dead_pct", DEAD + "SELECT (SELECT count(*) FROM nodes) AS total, (SELECT count(*) FROM dead) AS dead, round((SELECT count(*) FROM dead) * 100.0 / (SELECT count(*) FROM nodes), 6)::DOUBLE AS dead_percentage")(
@@ -148,6 +149,8 @@ graph("cycles", CROSS + """SELECT a.source_file || ' > ' || a.target_file AS cyc
 ORACLES["files_on_cycles"] = "WITH RECURSIVE " + projection.SQL.strip().removeprefix("WITH") + CROSS + """, reach(a, b) AS (
     SELECT source_file, target_file FROM crossing UNION SELECT r.a, c.target_file FROM reach r JOIN crossing c ON r.b = c.source_file)
     SELECT a AS node FROM reach WHERE a = b"""
+ORACLES["strong_components"] = ORACLES["files_on_cycles"].replace("SELECT a AS node FROM reach WHERE a = b", "SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+QUERIES["strong_components"] = lambda spark, sf_dir: V.strong_components(pairs(projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)))
 QUERIES["files_on_cycles"] = lambda spark, sf_dir: V.on_cycles(pairs(projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)))
 
 MODULE = "array_to_string(string_split(file, '/')[1:least(2, len(string_split(file, '/')) - 1)], '/')"
@@ -215,8 +218,8 @@ def recursive(name: str, sql: str):
 one = lambda e, symbol: e.sparkSession.createDataFrame([(symbol,)], "seed string")
 recursive("impact_levels", REACH.format(PART) + "SELECT id, lv AS level FROM best")(lambda n, e: V.reached(e, one(e, PART), 3).select("id", "level"))
 recursive("impact", REACH.format(PART) + f"""SELECT '{PART}' AS seed, count(*) FILTER (lv = 1) AS direct, count(*) AS transitive,
-    count(DISTINCT CASE WHEN NOT (contains(n.file, '/Tests/') OR suffix(n.file, 'Tests.swift')) THEN n.file END) AS files,
-    count(DISTINCT CASE WHEN contains(n.file, '/Tests/') OR suffix(n.file, 'Tests.swift') THEN n.file END) AS tests,
+    count(DISTINCT CASE WHEN NOT (contains(n.file, '/Tests/') OR contains(n.file, 'Tests.swift')) THEN n.file END) AS files,
+    count(DISTINCT CASE WHEN contains(n.file, '/Tests/') OR contains(n.file, 'Tests.swift') THEN n.file END) AS tests,
     CASE WHEN count(*) <= 5 THEN 'low' WHEN count(*) <= 20 THEN 'medium' WHEN count(*) <= 50 THEN 'high' ELSE 'critical' END AS risk
     FROM best LEFT JOIN nodes n USING (id) WHERE lv > 0""")(lambda n, e: A.impact(n, e, one(e, PART), 3))
 recursive("transitive_callers", f""", r(id, lv) AS (SELECT '{PART}', 0 UNION SELECT e.source, lv + 1 FROM r JOIN edges e ON e.target = r.id AND e.kind = 'calls' WHERE lv < 3),
@@ -227,22 +230,30 @@ graph("agg_impact_breakdown", f"SELECT kind, count(*) AS n, array_to_string(list
     lambda n, e: A.impact_breakdown(e, PART).withColumn("sources", F.array_join("sources", ","))
 )
 CHANGED = "Sources/Parts/Brand#11/Parts.swift"
-graph("diff_impact", f""", seeds AS (SELECT id FROM nodes WHERE file = '{CHANGED}'), d AS (SELECT DISTINCT target, source FROM edges WHERE target IN (SELECT id FROM seeds))
-SELECT (SELECT count(*) FROM seeds) AS symbols, (SELECT count(*) FROM d) AS total_direct_impact, (SELECT count(DISTINCT source) FROM d) AS total_transitive_impact,
-    CASE WHEN (SELECT count(*) FROM seeds) = 0 THEN 'none' WHEN (SELECT count(DISTINCT source) FROM d) <= 10 THEN 'low' WHEN (SELECT count(DISTINCT source) FROM d) <= 50 THEN 'medium'
-    WHEN (SELECT count(DISTINCT source) FROM d) <= 150 THEN 'high' ELSE 'critical' END AS risk""")(
-    lambda n, e: A.diff_impact(n, e, e.sparkSession.createDataFrame([(CHANGED,)], "file string"))
-)
+DIFF = f""", seeds AS (SELECT id FROM nodes WHERE file = '{CHANGED}'), r(seed, id, lv) AS (SELECT id, id, 0 FROM seeds UNION SELECT r.seed, e.source, lv + 1 FROM r JOIN edges e ON e.target = r.id WHERE lv < 3),
+    hit AS (SELECT DISTINCT n.file, contains(n.file, '/Tests/') OR contains(n.file, 'Tests.swift') AS is_test FROM (SELECT DISTINCT id FROM r WHERE id <> seed) x JOIN nodes n USING (id)),
+    d AS (SELECT DISTINCT target, source, kind FROM edges WHERE target IN (SELECT id FROM seeds)) """
+changed = lambda e: e.sparkSession.createDataFrame([(CHANGED,)], "file string")
+recursive("diff_impact", DIFF + """SELECT (SELECT count(*) FROM seeds) AS symbols, (SELECT count(DISTINCT (target, source)) FROM d WHERE source <> target) AS total_direct_impact,
+    t AS total_transitive_impact, (SELECT count(*) FROM hit WHERE NOT is_test) AS files, (SELECT count(*) FROM hit WHERE is_test) AS tests,
+    CASE WHEN (SELECT count(*) FROM seeds) = 0 THEN 'none' WHEN t <= 10 THEN 'low' WHEN t <= 50 THEN 'medium' WHEN t <= 150 THEN 'high' ELSE 'critical' END AS risk
+    FROM (SELECT count(DISTINCT source) AS t FROM d WHERE kind IN ('calls', 'conformsTo', 'inheritsFrom'))""")(lambda n, e: A.diff_impact(n, e, changed(e)))
+recursive("set_union_affected", DIFF + "SELECT file, is_test FROM hit")(lambda n, e: A.affected_files(n, e, changed(e)))
 graph("semijoin_changed", f"SELECT id, name, kind, file, line FROM nodes WHERE file = '{CHANGED}'")(
     lambda n, e: n.join(e.sparkSession.createDataFrame([(CHANGED,)], "file string"), "file", "left_semi").select(*NODE)
 )
 graph("isolation_of", """SELECT id, CASE WHEN list_contains(attributes, '@MainActor') THEN 'MainActor' WHEN list_contains(attributes, 'nonisolated') THEN 'nonisolated'
     WHEN contains(signature, 'actor ') THEN 'actor' ELSE 'unknown' END AS isolation FROM nodes""")(lambda n, e: n.select("id", A.isolation_of().alias("isolation")))
 graph("concurrency", """, iso AS (SELECT id, CASE WHEN list_contains(attributes, '@MainActor') THEN 'MainActor' WHEN list_contains(attributes, 'nonisolated') THEN 'nonisolated'
-    WHEN contains(signature, 'actor ') THEN 'actor' ELSE 'unknown' END AS i FROM nodes), c AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'calls')
-    SELECT c.source AS id, s.i AS isolation, count(*) AS callees, count(*) FILTER (s.i <> t.i AND t.i <> 'unknown' AND t.i <> 'nonisolated') AS cross_actor_calls,
-    array_to_string(list_sort(list(DISTINCT t.i)), ',') AS callee_isolations FROM c JOIN iso s ON c.source = s.id JOIN iso t ON c.target = t.id GROUP BY c.source, s.i""")(
-    lambda n, e: A.concurrency(n, e).withColumn("callee_isolations", F.array_join("callee_isolations", ","))
+    WHEN contains(signature, 'actor ') THEN 'actor' ELSE 'unknown' END AS i FROM nodes), c AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'calls'),
+    p AS (SELECT c.source AS id, count(*) AS callees, count(*) FILTER (s.i <> t.i AND t.i <> 'unknown' AND t.i <> 'nonisolated') AS crossing,
+        array_to_string(list_sort(list(DISTINCT t.i)), ',') AS others FROM c JOIN iso s ON c.source = s.id JOIN iso t ON c.target = t.id GROUP BY c.source),
+    sent AS (SELECT DISTINCT source AS id FROM edges WHERE kind = 'conformsTo' AND contains(target, 'Sendable'))
+    SELECT iso.id, iso.i AS isolation, coalesce(callees, 0) AS callees, coalesce(crossing, 0) AS cross_actor_calls, coalesce(others, '') AS callee_isolations, sent.id IS NOT NULL AS sendable,
+        array_to_string(list_filter([CASE WHEN iso.i = 'unknown' THEN 'no isolation is stated' END,
+            CASE WHEN sent.id IS NULL AND crossing > 0 THEN crossing || ' call(s) into other isolations but not Sendable' END], lambda x: x IS NOT NULL), '; ') AS warnings
+    FROM iso LEFT JOIN p ON iso.id = p.id LEFT JOIN sent ON iso.id = sent.id""")(
+    lambda n, e: A.concurrency(n, e).withColumn("callee_isolations", F.array_join("callee_isolations", ",")).withColumn("warnings", F.array_join("warnings", "; "))
 )
 
 TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -301,10 +312,10 @@ def _documents(query):
 
 
 QUERIES["keyword_extract"] = _documents(
-    lambda d: d.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("task")).select("doc_id", F.array_join(S.keywords(F.col("task")), " ").alias("keywords"))
+    lambda d: d.select("doc_id", F.array_join(S.keywords(F.coalesce("text", F.lit(""))), " ").alias("keywords"))
 )
 ORACLES["keyword_extract"] = (
-    r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(string_split(text, chr(10))[1], '[^\p{L}\p{N}_]+'), lambda w: strlen(w) >= 3 AND lower(w) NOT IN ("
+    r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda w: strlen(w) >= 3 AND lower(w) NOT IN ("
     + ", ".join(f"'{w}'" for w in S.STOP_WORDS)
     + ")), ' ') AS keywords FROM documents"
 )
@@ -453,7 +464,7 @@ ORACLES["sink_sarif"] = ALL_LINES + "SELECT DISTINCT rule, severity FROM found W
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most depended-on symbols with their blast radius within two steps and its risk."""
     n, e = projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir)
-    top = A.complexity(n, e, limit=10)
+    top = table(A.complexity(n, e, limit=10), "top")  # read three times
     return top.join(A.impact(n, e, top.select(F.col("id").alias("seed")), 2).withColumnRenamed("seed", "id"), "id").orderBy(F.desc("score"), "id")
 
 
@@ -462,8 +473,8 @@ ORACLES["flagship"] = RECURSIVE + DEGREES + """, top AS (SELECT id, name, kind,
     r(seed, id, lv) AS (SELECT id, id, 0 FROM top UNION SELECT r.seed, e.source, lv + 1 FROM r JOIN edges e ON e.target = r.id WHERE lv < 2),
     best AS (SELECT seed, id, min(lv) AS lv FROM r GROUP BY seed, id),
     agg AS (SELECT seed, count(*) FILTER (lv = 1) AS direct, count(*) FILTER (lv > 0) AS transitive,
-        count(DISTINCT CASE WHEN lv > 0 AND NOT (contains(n.file, '/Tests/') OR suffix(n.file, 'Tests.swift')) THEN n.file END) AS files,
-        count(DISTINCT CASE WHEN lv > 0 AND (contains(n.file, '/Tests/') OR suffix(n.file, 'Tests.swift')) THEN n.file END) AS tests
+        count(DISTINCT CASE WHEN lv > 0 AND NOT (contains(n.file, '/Tests/') OR contains(n.file, 'Tests.swift')) THEN n.file END) AS files,
+        count(DISTINCT CASE WHEN lv > 0 AND (contains(n.file, '/Tests/') OR contains(n.file, 'Tests.swift')) THEN n.file END) AS tests
         FROM best LEFT JOIN nodes n USING (id) GROUP BY seed)
     SELECT top.*, direct, transitive, files, tests,
         CASE WHEN transitive <= 5 THEN 'low' WHEN transitive <= 20 THEN 'medium' WHEN transitive <= 50 THEN 'high' ELSE 'critical' END AS risk
