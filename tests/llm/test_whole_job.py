@@ -71,8 +71,25 @@ def test_large_buckets_give_few_pairs():
         pairs = near_copies.bucket_pairs(np.arange(n), signs[:n])
         assert len(pairs) == n - 1 and set(pairs.ravel().tolist()) == set(range(n))
     two = np.array([0] * 1990 + [5] * 4 + [7] * 6)
-    crossing = near_copies.cross_pairs(np.arange(2000), signs, two)
-    assert len(np.unique(crossing, axis=0)) == len(crossing) == 1990 * 10 + 24
+    every = [near_copies.cross_pairs(np.arange(2000), signs, two, band) for band in range(near_copies.BANDS)]
+    crossing, joined = np.concatenate(every), 1990 * 10 + 24
+    assert len(np.unique(crossing, axis=0)) == len(crossing)
+    agree = (signs[crossing[:, 0]] == signs[crossing[:, 1]]).reshape(-1, near_copies.BANDS, near_copies.ROWS).all(axis=2)
+    assert agree.any(axis=1).all() and joined * 0.99 < len(crossing) <= joined
+
+
+def test_one_bucket_over_many_batches():
+    """A bucket that fills whole batches, alone and with others after it."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    bucket = np.array([16] * 100 + [32] * 3 + [48])
+    signs = [x.tobytes() for x in r.integers(0, 2**32, (104, 64)).astype(np.uint32)]
+    rows = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(104)), pa.array(signs, pa.binary())], ["bucket", "set_hash", "signature"])
+    for size in (7, 50, 104):
+        got = list(near_copies._by_bucket(rows.slice(at, size) for at in range(0, 104, size)))
+        assert [(int(b[0][0]), len(b[0])) for b in got] == [(16, 100), (32, 3)] and np.concatenate([b[1] for b in got]).tolist() == list(range(103))
+        assert list(near_copies._by_bucket(rows.slice(0, 100).slice(at, size) for at in range(0, 100, size)))[0][1].tolist() == list(range(100))
 
 
 def test_forest_and_cross_pairs_link_what_all_pairs_link(spark):
