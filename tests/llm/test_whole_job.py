@@ -113,6 +113,53 @@ def test_forest_and_cross_pairs_link_what_all_pairs_link(spark):
     assert {g.doc_id: g.component_id for g in got} == dict(enumerate(label)) and len(set(label)) > 1
 
 
+def test_sketches_decide_small_sets_and_estimate_large_ones():
+    r = np.random.default_rng(5)
+    for n, spread in ((100, 0.0), (5000, near_copies.MARGIN)):
+        base = r.permutation(np.unique(r.integers(0, 2**63, n).astype(np.uint64)))
+        sets = [np.unique(np.concatenate([base[: int(n * keep)], r.integers(0, 2**63, n - int(n * keep)).astype(np.uint64)])) for keep in (0.5, 0.7, 0.89, 0.95, 1)]
+        for one in sets:
+            true = [len(np.intersect1d(one, x)) / len(np.union1d(one, x)) for x in sets]
+            got = near_copies.shares(one[: near_copies.SKETCH], [x[: near_copies.SKETCH] for x in sets])
+            assert (np.abs(got - true) <= spread).all()
+
+
+def test_links_between_components_are_whole_whatever_the_blocks(spark, monkeypatch):
+    """Small and large sets, buckets in several blocks and parts: components as from all pairs, no block over its bound, each pair met once."""
+    r = random.Random(6)
+    texts = []
+    for size, n in ((60, 120), (700, 40)):
+        base = [f"w{r.randrange(9000)}" for _ in range(size)]
+        for i in range(n):
+            words = list(base)
+            for j in r.sample(range(size), size // 60 * (1 + i % 4)):
+                words[j] = f"x{r.randrange(9000)}"
+            texts.append(" ".join(words))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                least, other = sorted((label[i], label[j]))
+                label = [least if x == other else x for x in label]
+    assert 10 < len(set(label)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot, block in ((8192, 512), (20, 7)):
+        monkeypatch.setattr(near_copies, "HOT", hot)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        got = near_copies.near_groups(docs).collect()
+        assert {g.doc_id: g.component_id for g in got} == dict(enumerate(label))
+    rows = [(b, i, i % 3 if i % 2 else 1) for b in (1, 2) for i in range(40)] + [(3, i, 0) for i in range(20)]
+    dealt = near_copies.blocks(spark.createDataFrame(rows, "bucket long, set_hash long, root long")).collect()
+    met = []
+    for part in {d.part for d in dealt}:
+        mine = [d for d in dealt if d.part == part]
+        assert len({d.set_hash for d in mine}) == len(mine) and len({d.bucket for d in mine}) == 1
+        met += [(d.bucket, *sorted((d.set_hash, e.set_hash))) for d in mine if d.left for e in mine if e.right and d.root != e.root and not (d.right and e.left and d.set_hash > e.set_hash)]
+    true = [(b, i, j) for b, i, x in rows for c, j, y in rows if b == c and i < j and x != y]
+    assert sorted(met) == sorted(true)
+
+
 def test_shouting_is_a_third_of_the_whole_text():
     for n in (512, 700, 1000, 1023, 1024, 5000):
         for share in (0.18, 0.25, 0.32, 0.34, 0.5):
