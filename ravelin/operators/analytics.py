@@ -111,10 +111,9 @@ def imports_by_file(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.orderBy(F.desc("module_count"), "file").limit(limit)
 
 
-def architecture_signals(nodes: DataFrame) -> DataFrame:
-    """One row of ten counts over lower-case names."""
+def _signals() -> dict[str, Column]:
     n = F.lower("name")
-    tests = {  # fixed values
+    return {  # fixed values
         "viewmodels": n.contains("viewmodel") | n.endswith("vm"),
         "coordinators": n.contains("coordinator"),
         "routers": n.contains("router") & ~n.contains("nsurlrouter"),
@@ -126,7 +125,23 @@ def architecture_signals(nodes: DataFrame) -> DataFrame:
         "views": n.endswith("view") | n.endswith("screen"),
         "controllers": n.contains("viewcontroller") | n.contains("controller"),
     }
-    return nodes.agg(*(F.count_if(test).alias(name) for name, test in tests.items()))
+
+
+def architecture_signals(nodes: DataFrame) -> DataFrame:
+    """One row of ten counts over lower-case names."""
+    return nodes.agg(*(F.count_if(test).alias(name) for name, test in _signals().items()))
+
+
+#: The signals that examples are given for.
+WITH_EXAMPLES = ("viewmodels", "coordinators", "presenters", "interactors", "reducers", "views", "controllers")
+
+
+def architecture_examples(nodes: DataFrame, most: int = 5) -> DataFrame:
+    """signal, nth and file: the files of the first symbols (by file and id) that show a signal, once for each symbol."""
+    tests = _signals()
+    shown = F.explode(F.array_compact(F.array(*(F.when(tests[name], F.lit(name)) for name in WITH_EXAMPLES)))).alias("signal")
+    nth = F.row_number().over(Window.partitionBy("signal").orderBy("file", "id"))  # cut to `most` before the shuffle
+    return nodes.select(shown, "file", "id").withColumn("nth", nth).where(F.col("nth") <= most).select("signal", "nth", "file")
 
 
 #: The signals of each pattern.

@@ -108,6 +108,14 @@ def resolve_symbol(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("id") == name) if "::" in name else search(nodes, name, limit=1).select(*nodes.columns)
 
 
+def resolve_symbol_conc(nodes: DataFrame, name: str) -> DataFrame:
+    """The node of that id or, if there is none, the best match by ranked words or, if there is none, the first name that holds it."""
+    own, terms = nodes.where(F.col("id") == name), query_terms(name)
+    if own.isEmpty() and terms:
+        own = bm25(nodes, terms, 1).select(*nodes.columns)
+    return nodes.where(contains_text("name", name)).orderBy("id").limit(1) if own.isEmpty() else own
+
+
 def seeds(nodes: DataFrame, words: list[str], per_word: int = 10) -> DataFrame:
     """The best symbols for each word by exact words, each once: column id."""
     out = None

@@ -186,6 +186,12 @@ SIGNALS = """, low AS (SELECT lower(name) AS x FROM nodes), sig AS (SELECT
     count(*) FILTER (contains(x, 'reducer') OR contains(x, 'composable')) AS reducers, count(*) FILTER (contains(x, 'store') AND NOT contains(x, 'restore')) AS stores,
     count(*) FILTER (suffix(x, 'view') OR suffix(x, 'screen')) AS views, count(*) FILTER (contains(x, 'controller')) AS controllers FROM low) """
 graph("agg_arch_signals", SIGNALS + "SELECT * FROM sig")(lambda n, e: A.architecture_signals(n))
+_shown = {
+    "viewmodels": "contains(x, 'viewmodel') OR suffix(x, 'vm')", "coordinators": "contains(x, 'coordinator')", "presenters": "contains(x, 'presenter')",
+    "interactors": "contains(x, 'interactor')", "reducers": "contains(x, 'reducer') OR contains(x, 'composable')", "views": "suffix(x, 'view') OR suffix(x, 'screen')", "controllers": "contains(x, 'controller')",
+}
+graph("agg_arch_examples", ", low AS (SELECT id, file, lower(name) AS x FROM nodes), shown AS (" + " UNION ALL ".join(f"SELECT '{s}' AS signal, file, id FROM low WHERE {t}" for s, t in _shown.items()) + """),
+    numbered AS (SELECT signal, file, row_number() OVER (PARTITION BY signal ORDER BY file, id) AS nth FROM shown) SELECT signal, nth, file FROM numbered WHERE nth <= 5""")(lambda n, e: A.architecture_examples(n))
 _w = lambda c: f"(CASE WHEN {c} > 0 THEN ln({c}) + 1 ELSE 0 END)"
 _score = lambda cs: f"({' + '.join(map(_w, cs))}) * ({' + '.join(f'CAST({c} > 0 AS INTEGER)' for c in cs)}) / {len(cs)}.0"
 graph("architecture", SIGNALS + ", sc AS (" + " UNION ALL ".join(f"SELECT '{p}' AS pattern, CAST({_score(cs)} AS DOUBLE) AS score FROM sig" for p, cs in A.PATTERNS.items()) + """)
@@ -278,6 +284,7 @@ graph("fts_trigram", "SELECT id, name FROM nodes WHERE contains(lower(name), 'co
 graph("trigram_index", "SELECT id, name FROM nodes WHERE contains(lower(name), 'coord')")(lambda n, e: S.indexed_substring(n, S.trigram_postings(n), "coord").select("id", "name"))
 graph("search_chain", "SELECT id, name FROM nodes WHERE contains(lower(name), 'ordinator')")(lambda n, e: S.search(n, "ordinator").select("id", "name"))
 graph("resolve_symbol", bm25_sql("supplier7", True) + "SELECT id FROM ranked ORDER BY score DESC, id LIMIT 1")(lambda n, e: S.resolve_symbol(n, "supplier7").select("id"))
+graph("resolve_symbol_conc", "SELECT id FROM nodes WHERE contains(lower(name), 'ordinator') ORDER BY id LIMIT 1")(lambda n, e: S.resolve_symbol_conc(n, "ordinator").select("id"))
 recursive("context_score", bm25_sql("supplier1coordinator", False) + """, seeds AS (SELECT id FROM ranked ORDER BY score DESC, id LIMIT 10),
     und AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
     h(id, hop) AS (SELECT id, 0 FROM seeds UNION SELECT b, hop + 1 FROM h JOIN und ON a = id WHERE hop < 2), near AS (SELECT id, min(hop) AS hop FROM h GROUP BY id),
