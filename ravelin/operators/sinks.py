@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions.paths import basename
-from ravelin.operators.rules import ORDER, by_severity, severity_rank
+from ravelin.operators.rules import ORDER, by_severity, capped, severity_rank
 
 #: SARIF's levels.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
@@ -46,8 +46,14 @@ def sarif_results(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), fixes.alias("fixes"))).alias("json"))
 
 
-def sarif(issues: DataFrame, tool: str = "ravelin") -> str:
-    """A SARIF 2.1.0 document of a report that was capped to what a reader takes in."""
+def write_sarif_results(issues: DataFrame, folder: str) -> None:
+    """Writes every finding as a SARIF result, one to a line, from the executors."""
+    sarif_results(issues).write.text(folder)
+
+
+def sarif(issues: DataFrame, tool: str = "ravelin", most: int = 10_000) -> str:
+    """A SARIF 2.1.0 document for a reader, capped() to `most` findings, so that the driver's share is bounded; all of them: write_sarif_results()."""
+    issues = capped(issues, most)
     rules = [{"id": r.rule, "shortDescription": {"text": r.message}} for r in sarif_rules(issues).orderBy("rule").collect()]
     results = [json.loads(r.json) for r in sarif_results(issues.orderBy(F.desc(severity_rank()), *ORDER)).collect()]
     run = {"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}

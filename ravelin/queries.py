@@ -464,6 +464,10 @@ ORACLES["topk_per_category"] = ALL_LINES + """, f AS (SELECT * FROM found WHERE
     ORDER BY s DESC, category, file, line, rule LIMIT CASE WHEN (SELECT count(*) FROM f) <= 40 THEN 1000000 ELSE 40 END"""
 QUERIES["sink_text"] = lambda spark, sf_dir: K.text_lines(R.findings(sources(spark, sf_dir), _chosen("SEC-004")))
 ORACLES["sink_text"] = LINES + f"SELECT '[HIGH] SEC-004 ' || list_last(string_split(file, '/')) || ':' || line || ' an address without TLS' || chr(10) || '    Fix: Use https' AS line FROM ({LINE_SQL['SEC-004']})"
+QUERIES["sink_sarif_results"] = lambda spark, sf_dir: K.sarif_results(R.findings(sources(spark, sf_dir), _chosen("SEC-004")))
+ORACLES["sink_sarif_results"] = LINES + f"""SELECT CAST(json_object('ruleId', 'SEC-004', 'level', '{K.LEVELS["high"]}', 'message', json_object('text', 'an address without TLS'),
+    'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file), 'region', json_object('startLine', line)))),
+    'fixes', json_array(json_object('description', json_object('text', 'Use https')))) AS VARCHAR) AS json FROM ({LINE_SQL['SEC-004']})"""
 QUERIES["sink_sarif"] = lambda spark, sf_dir: K.sarif_rules(R.findings(sources(spark, sf_dir), _chosen("SEC-001", "SEC-004"))).select("rule", "severity")
 ORACLES["sink_sarif"] = ALL_LINES + "SELECT DISTINCT rule, severity FROM found WHERE rule IN ('SEC-001', 'SEC-004')"
 

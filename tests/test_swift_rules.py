@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def test_every_rule_is_there():
     assert per == {"concurrency": 7, "memory": 6, "security": 6, "swift-performance": 6, "swiftui-performance": 6, "swiftui-architecture": 5, "networking": 6, "codable": 5, "energy": 8, "storage": 4, "accessibility": 4, "testing": 5, "modernization": 5}
 
 
-def test_audit_options_and_sinks(sources):
+def test_audit_options_and_sinks(sources, tmp_path):
     issues = rules.audit(sources, "security,memory", "medium", fixes=True)
     rows = issues.collect()
     assert {r.category for r in rows} <= {"security", "memory"} and all(r.severity != "low" for r in rows)
@@ -118,7 +120,12 @@ def test_audit_options_and_sinks(sources):
     assert c.total == len(rows)
     assert sinks.text_header(issues).startswith(f"{len(rows)} issues")
     assert sinks.text_lines(issues).count() == len(rows)
-    assert '"version": "2.1.0"' in sinks.sarif(issues)
+    whole = json.loads(sinks.sarif(issues))
+    assert whole["version"] == "2.1.0" and len(whole["runs"][0]["results"]) == issues.count()
+    assert len(json.loads(sinks.sarif(issues, most=1))["runs"][0]["results"]) == 1
+    sinks.write_sarif_results(issues, str(tmp_path / "sarif"))
+    written = [json.loads(r.value) for r in issues.sparkSession.read.text(str(tmp_path / "sarif")).collect()]
+    assert sorted(map(str, written)) == sorted(map(str, whole["runs"][0]["results"]))
 
 
 def test_line_split(spark):
