@@ -11,9 +11,12 @@ position, and the first document of each hash streams down the sorted rows.
 A hash that holds more than one in `HOT_SHARE` of all lines would make one
 range too long; there are at most `HOT_SHARE` such hashes, so their first
 documents come from a pre-aggregated minimum and go to the lines by a
-broadcast of at most that many rows. What comes back is no text but the keep
-bitmap of each document that loses a line: words of 64 lines, a set bit for a
-line that stays. A document without a row keeps all its lines.
+broadcast of at most that many rows. What comes back is no text but the
+compressed keep bitmap of each document that loses a line. A bitmap has words
+of 64 lines, a set bit for a line that stays; it is stored as runs, each a
+number of words that are all ones and then one word that is not, and all words
+after the last run are ones. So it grows with the words that lose a line, not
+with the document. A document without a row keeps all its lines.
 
 Defined cases: a null or empty text is one empty line. A null doc_id counts
 as larger than any other. Rows that share a doc_id are one document. Columns
@@ -59,7 +62,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """doc_id, text_hash, n_dropped and the keep bitmap (array of 64-bit words) of each document that loses a line.
+    """doc_id, text_hash, n_dropped and the compressed keep bitmap (runs) of each document that loses a line.
 
     text_hash tells rows of one doc_id with different texts apart.
     """
@@ -83,34 +86,34 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     dropped = streamed.where(later).unionByName(marked.where("hot").drop("hot").where(later))
     words = (
         dropped.repartition("doc_id", "text_hash")
-        .groupBy("doc_id", "text_hash", "n_lines", F.expr("pos div 64").cast("int").alias("word"))
+        .groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     )
-    per_doc = words.groupBy("doc_id", "text_hash", "n_lines").agg(
-        F.sum(F.bit_count("bits")).alias("n_dropped"),
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"),
+    before = F.lag("word", 1, -1).over(Window.partitionBy("doc_id", "text_hash").orderBy("word"))
+    run = F.struct("word", (F.col("word") - before - 1).alias("whole"), F.bitwise_not("bits").alias("keep"))
+    per_doc = words.withColumn("run", run).groupBy("doc_id", "text_hash").agg(
+        F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.sort_array(F.collect_list("run")).alias("runs")
     )
-    keep = F.transform(
-        F.sequence(F.lit(0), F.expr("cast((n_lines - 1) div 64 as int)")),
-        lambda w: F.bitwise_not(F.coalesce(F.try_element_at("gone", w), F.lit(0).cast("long"))),
-    )
-    return per_doc.select("doc_id", "text_hash", F.col("n_dropped").cast("long").alias("n_dropped"), keep.alias("keep"))
+    bare = F.transform("runs", lambda r: F.struct(r["whole"].alias("whole"), r["keep"].alias("keep")))
+    return per_doc.select("doc_id", "text_hash", "n_dropped", bare.alias("runs"))
+
+
+def unpacked(runs: Column) -> Column:
+    """A bitmap's words up to its last run's; all after them are ones."""
+    ones = F.lit(-1).cast("long")
+    return F.flatten(F.transform(runs, lambda r: F.concat(F.array_repeat(ones, r["whole"]), F.array(r["keep"]))))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs' doc_id, n_lines, n_dropped and kept text, after keep_bitmaps' result."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("t")
-    maps = bitmaps.alias("b")
+    maps = bitmaps.withColumn("keep", unpacked(F.col("runs"))).drop("runs").alias("b")
     same = F.col("t.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t.text_hash") == F.col("b.text_hash"))
     both = texts.join(maps, same, "left")
     lines = split_lines(F.col("t.text"))
-    stays = F.filter(
-        lines,
-        lambda _, i: F.expr("b.keep").getItem(F.floor(i / 64).cast("int")).bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
-        )
-        != 0,
-    )
+    word = lambda i: F.coalesce(F.get("b.keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
+    stays = F.filter(lines, lambda _, i: word(i).bitwiseAND(bit(i)) != 0)
     return both.select(
         F.col("t.doc_id").alias("doc_id"),
         F.size(lines).cast("long").alias("n_lines"),

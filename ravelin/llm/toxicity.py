@@ -7,12 +7,13 @@ of a word; they come from the labelled texts, as the words and stems that are
 on the rows it may be learned from, since it can be wrong too.
 
 The label model says that each text is toxic or not, unseen, and that each
-voter fires with a rate of its own for either. Expectation maximisation
-estimates those rates (the accuracies; a voter that does not fire abstains); what voters share beyond that
-(correlations within either class) is estimated from the posteriors, and a
-voter's weight is divided by one plus its correlations, so that voters
-that say the same count about once. The classifier is a logistic regression
-of the posteriors on what the lexicon and pattern voters see in a text.
+voter fires with a rate of its own for either (its accuracy). Voters are
+correlated within a class too: the model is a forest in which a voter's rate
+also depends on what one other voter says, the one it shares most information
+with beyond the class. So a voter that repeats its parent adds almost nothing
+to the likelihood. Expectation maximisation estimates rates and forest. The
+classifier is a logistic regression of the posteriors on what the lexicon and
+pattern voters see in a text.
 
 Voters, label model and classifier are fitted on at most `max_rows` labelled
 rows, taken by a hash of doc_id; scores then cover every whole text in one pass
@@ -48,6 +49,8 @@ MAX_LEXICON, LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 200, 0.02, 3, 25.0
 STEMS = (4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = 4
+#: Twice the texts times the information that two voters must share to depend on each other (chi square of 2 degrees, 1 in 1,000).
+LEAST_DEPENDENCE = 13.8
 CAPITALS, BEYOND_ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(r"[^\x00-\x7f]")
 
 
@@ -97,33 +100,52 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights, -30, 30)))
 
 
+def depends_on(votes: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each voter the one that it depends on beyond the class, or -1: a spanning forest of greatest mutual information within the classes.
+
+    sides: the probabilities of either class. Dependences that chance explains (LEAST_DEPENDENCE) are none.
+    """
+    n, known = len(votes), np.zeros((votes.shape[1],) * 2)
+    for p in sides:
+        for one in (votes, 1 - votes):
+            for other in (votes, 1 - votes):
+                both = ((one * p[:, None]).T @ other + 1e-9) / n
+                apart = np.outer(p @ one + 1e-9, p @ other + 1e-9) / n / max(p.sum(), 1e-9)
+                known += both * np.log(both / apart)
+    parent, best, left = np.full(len(known), -1), np.full(len(known), LEAST_DEPENDENCE / 2 / n), np.ones(len(known), bool)
+    for _ in range(len(known)):  # the voter nearest to those that have a place comes next
+        j = np.argmax(np.where(left, best, -np.inf))
+        left[j] = False
+        nearer = left & (known[j] > best)
+        parent[nearer], best[nearer] = j, known[j][nearer]
+    return parent
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior probabilities that texts are toxic, and the model: prior, rates in either class, correlations and weights.
+    """Posterior probabilities that texts are toxic, and the model: prior, parents, and rates by class, what the parent says, and voter.
 
     votes: texts by voters, 1 where a voter fires. gold: the given labels.
     """
-    seen = np.column_stack([votes, gold]).astype(np.float64)
-    posterior, weight = np.where(gold > 0, 0.9, 0.05), np.ones(seen.shape[1])
+    votes = votes.astype(np.float64)
+    posterior = np.where(gold > 0, 0.9, 0.05)
     prior = (gold.sum() + 1) / (len(gold) + 2)  # the classes' balance is the labels'
     for _ in range(rounds):
-        mass = np.clip([posterior.sum(), (1 - posterior).sum()], 1e-9, None)
-        fires = [(seen.T @ p + 0.5) / (m + 2) for p, m in zip((posterior, 1 - posterior), mass, strict=True)]
-        rates = np.clip(np.array(fires), 1e-4, 1 - 1e-4)
-        shared = np.zeros((seen.shape[1],) * 2)
-        for p, m, rate in zip((posterior, 1 - posterior), mass, rates, strict=True):
-            off = seen - rate
-            both = (off * p[:, None]).T @ off / m
-            spread = np.sqrt(np.clip(np.diag(both), 1e-9, None))
-            shared += m / mass.sum() * both / np.outer(spread, spread)
-        correlation = np.clip(shared, 0, 1)
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.where(correlation > 0.3, correlation, 0).sum(axis=1))
-        weight[-1] = 1  # the label is given by someone, not read off the text
-        yes, no = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
-        no[:-1] = 0  # a rule that does not fire abstains; a label says one or the other
-        logit = np.log(prior / (1 - prior)) + (seen * (weight * yes) + (1 - seen) * (weight * no)).sum(axis=1)
+        sides = posterior, 1 - posterior
+        parent = depends_on(votes, sides)
+        above = np.where(parent >= 0, votes[:, parent], 0)
+        rates, label = np.zeros((2, 2, votes.shape[1])), np.zeros(2)
+        for y, p in enumerate(sides):
+            alone = (p @ votes + 0.5) / (p.sum() + 2)
+            for said, where in ((0, 1 - above), (1, above)):  # few texts say little, and leave the rate near that of the class
+                rates[y, said] = (p @ (votes * where) + 2 * alone) / (p @ where + 2)
+            label[y] = (p @ gold + 0.5) / (p.sum() + 2)
+        rates, label = np.clip(rates, 1e-4, 1 - 1e-4), np.clip(label, 1e-4, 1 - 1e-4)
+        says, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
+        given = np.where(gold > 0, np.log(label[0] / label[1]), np.log((1 - label[0]) / (1 - label[1])))  # a label says one or the other
+        heard = np.where(votes > 0, np.where(above > 0, says[1], says[0]), np.where(above > 0, silent[1], silent[0]))
+        logit = np.log(prior / (1 - prior)) + given + heard.sum(axis=1)
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior, {"prior": np.array(prior), "rates": rates, "correlation": correlation, "weight": weight}
+    return posterior, {"prior": np.array(prior), "parent": parent, "rates": rates, "label": label}
 
 
 def regression(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:

@@ -117,6 +117,20 @@ def test_line_dedup(spark, hot_least):
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == want
 
 
+def test_bitmaps_are_runs(spark):
+    """A long document that loses few lines has a short bitmap, and only its words with losses are kept."""
+    lines = [f"a line of its own {i}" for i in range(64 * 500)]
+    lines[5] = lines[64 * 300 + 63] = lines[64 * 301] = "a line that both hold"
+    d = spark.createDataFrame([(1, "x\nA line that both hold "), (2, "\n".join(lines)), (2, "another text\na line that both hold")], "doc_id long, text string")
+    maps = line_dedup.keep_bitmaps(d)
+    runs = {r.n_dropped: [(x.whole, x.keep) for x in r.runs] for r in maps.collect()}
+    ones = -1
+    assert runs == {3: [(0, ones ^ 1 << 5), (299, (1 << 63) - 1), (0, ones ^ 1)], 1: [(0, ones ^ 1 << 1)]}
+    kept = sorted(line_dedup.apply_bitmaps(d, maps).collect(), key=lambda r: (r.doc_id, r.n_lines))
+    assert [(r.doc_id, r.n_lines, r.n_dropped) for r in kept] == [(1, 2, 0), (2, 2, 1), (2, 64 * 500, 3)]
+    assert kept[2].text.split("\n") == [x for x in lines if x != "a line that both hold"]
+
+
 def test_running_totals(spark):
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 5])) for i in range(300)]
     got = running_totals(spark.createDataFrame(rows, "g string, i long, v long").repartition(5), ["g"], ["i"], ["v"]).collect()
@@ -190,6 +204,37 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), toxicity.fit(d, lab)).count() == 0
 
 
+def test_label_model_counts_copies_once():
+    """A voter said five times over by copies weighs as one; independent voters add up, and wrong labels are outvoted."""
+    r = np.random.default_rng(5)
+    truth = r.random(6000) < 0.2
+    voter = lambda hit, miss: r.random(6000) < np.where(truth, hit, miss)
+    noisy, good = voter(0.4, 0.1), [voter(0.6, 0.02) for _ in range(3)]
+    gold = np.where(r.random(6000) < 0.05, ~truth, truth).astype(int)
+    apart = np.column_stack([noisy, *good]).astype(np.float32)
+    copies = np.column_stack([noisy, *good, *[noisy] * 4]).astype(np.float32)
+    alone, _ = toxicity.label_model(apart, gold)
+    shared, model = toxicity.label_model(copies, gold)
+    assert np.abs(alone - shared).max() < 0.1
+    same = {0, 4, 5, 6, 7}
+    assert sum(model["parent"][j] in same for j in same) == 4  # copies hang on one another
+    assert ((shared > 0.5) != truth).mean() < (gold != truth).mean()
+
+
+def test_toxicity_held_out(spark):
+    """Held-out precision, recall and ranking on texts whose labels are wrong in one of twenty."""
+    toxic = [i % 7 == 0 for i in range(3000)]
+    slurs = ["vilething", "scumling", "grossard", "mudface"]
+    docs = [(i, text(25) + (f" {rng.choice(slurs)} {rng.choice(slurs)}" if t else "")) for i, t in enumerate(toxic)]
+    labels = [(i, int(t != (i % 20 == 3))) for i, t in enumerate(toxic)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = toxicity.score(d, toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))).where(toxicity.held_out(F.col("doc_id")))
+    got = [(r.score, toxic[r.doc_id]) for r in scored.collect()]
+    hit = sum(s >= 0.3 and t for s, t in got)
+    assert hit >= 0.98 * sum(t for _, t in got) and hit >= 0.98 * sum(s >= 0.3 for s, _ in got) > 0
+    assert min(s for s, t in got if t) > max(s for s, t in got if not t)
+
+
 def test_warc(spark):
     big, rows = "<p>" + "ünï " * 30_000, []
     for i in range(12):

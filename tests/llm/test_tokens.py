@@ -102,6 +102,25 @@ def test_histogram(spark, direct):
         assert r.tokens_within == sum(x for x in lengths if x <= r.n_tokens)
 
 
+def test_limits_and_quantiles(spark, direct):
+    """Any limit, between lengths and beyond them, and any share, against brute force."""
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    histogram, lengths = token_counts.length_histogram(docs, tokenizer_path()), sorted(map(len, direct))
+    asked = sorted({0, 1, 10**12, *lengths, *(x + 1 for x in lengths)})
+    got = token_counts.at_limits(histogram, [None, -5, *asked, asked[-1]]).collect()
+    assert [r["limit"] for r in got] == asked
+    for r in got:
+        short = [x for x in lengths if x <= r["limit"]]
+        assert (r.docs_within, r.docs_beyond, r.tokens_within) == (len(short), len(lengths) - len(short), sum(short))
+        assert r.truncated_tokens == sum(min(x, r["limit"]) for x in lengths)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.share: r.n_tokens for r in token_counts.quantiles(histogram, [*shares, 1.5, -1]).collect()}
+    assert got == {q: next(x for x in lengths if sum(y <= x for y in lengths) >= q * len(lengths)) for q in shares}
+    empty = histogram.limit(0)
+    assert token_counts.quantiles(empty, shares).count() == 0
+    assert [tuple(r) for r in token_counts.at_limits(empty, [7]).collect()] == [(7, 0, 0, 0, 0)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(token_files.write(docs, tokenizer_path())).count() == 0
