@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import ann, decontaminate, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
+from ravelin.llm import ann, conversation_trie, decontaminate, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 
 #: A file of the installed tokenizers, by name; executors have the same package.
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_read(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -150,4 +155,46 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
         FROM cut""",
+    "op12_conversation_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, count(*) AS size,
+                   xor(list_reduce(
+                       list_transform(range(8 * strlen(CAST(conv_id AS VARCHAR))),
+                           lambda i: CAST((ascii(CAST(conv_id AS VARCHAR)[CAST(i // 8 AS BIGINT) + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)),
+                       lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                       4294967295), 4294967295) % 9 AS h
+            FROM t GROUP BY conv_id),
+        borrowed AS (
+            SELECT c.conv_id, c.h, c.conv_id - c.conv_id % 5 AS lender, least(c.h, coalesce(l.size, 0)) AS taken
+            FROM convs c LEFT JOIN convs l ON l.conv_id = c.conv_id - c.conv_id % 5),
+        rebuilt AS (
+            SELECT b.conv_id, t.pos AS depth, t.role, t.said FROM borrowed b JOIN t ON t.conv_id = b.lender AND t.pos <= b.taken
+            UNION ALL
+            SELECT b.conv_id, t.pos - b.h + b.taken, t.role, t.said FROM borrowed b JOIN t ON t.conv_id = b.conv_id AND t.pos > b.h),
+        whole AS (
+            SELECT c.conv_id, coalesce(list({'role': r.role, 'said': r.said} ORDER BY r.depth) FILTER (WHERE r.depth IS NOT NULL), []) AS seq
+            FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+        members AS (SELECT conv_id, len(seq) AS length, unnest(range(len(seq) + 1)) AS depth, seq FROM whole),
+        nodes AS (
+            SELECT depth, seq[1:depth] AS key, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth), '') AS ends
+            FROM members GROUP BY depth, seq[1:depth]),
+        children AS (SELECT depth - 1 AS depth, key[1:depth - 1] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (
+            SELECT n.*, coalesce(c.n, 0) AS n_children,
+                   (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE strlen(n.key[n.depth].said) END AS saved
+            FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key),
+        above AS (SELECT *, unnest(range(depth + 1)) AS up FROM full_nodes),
+        sums AS (
+            SELECT up AS depth, key[1:up] AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+            FROM above GROUP BY up, key[1:up])
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+               sha256(n.ends) AS ends_sha256
+        FROM full_nodes n JOIN sums s ON s.depth = n.depth AND s.key = n.key
+        LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.key[1:n.depth - 1]""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ravelin.llm.scratch import table
 
 
-def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], values: list[str]) -> DataFrame:
+def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], values: list[str], keep_slice: bool = False) -> DataFrame:
     """rows with before_{value}: the sum of value over the rows of the same `by` that come earlier in `order`.
 
     Rows are range-partitioned by (by, order), so that a group with most of
@@ -17,7 +17,7 @@ def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], va
     same for every later reader. Each slice adds up its own groups; a window
     over those few sums (one for each slice and group in it) gives what every
     slice starts from. Nulls in `by` are a group of their own; null values
-    count as 0.
+    count as 0. keep_slice: the number of a row's slice comes too, as `slice`.
     """
     slices = rows.repartitionByRange(*by, *order).withColumn("slice", F.spark_partition_id())
     slices = table(slices, "slices")
@@ -38,5 +38,5 @@ def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], va
         same = same & F.col(b).eqNullSafe(F.col(f"{b}_"))
     out = local.join(starts, same)
     return out.select(
-        *(c for c in rows.columns), *((F.col(f"start_{v}") + F.col(f"in_{v}")).alias(f"before_{v}") for v in values)
+        *(["slice"] if keep_slice else []), *(c for c in rows.columns), *((F.col(f"start_{v}") + F.col(f"in_{v}")).alias(f"before_{v}") for v in values)
     )
