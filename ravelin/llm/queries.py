@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import ann, conversation_trie, decontaminate, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
+from ravelin.llm import ann, conversation_trie, decontaminate, language, lexical, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_files, toxicity, warc
 
 #: A file of the installed tokenizers, by name; executors have the same package.
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,10 +71,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_read(spark, sf_dir, "conversations")).drop("node", "parent")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -86,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_ranked_search": op11_ranked_search,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
@@ -155,6 +167,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
         FROM cut""",
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        words AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM d),
+        tfs AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY r, doc_id, term),
+        sizes AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+        whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tfs, whole GROUP BY term, n_docs),
+        lengths AS (SELECT r, 50 + (50 * n * n_docs) // n_terms AS m FROM sizes, whole),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        scored AS (
+            SELECT a.item_id, t.r, t.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * l.m))) AS BIGINT) AS score
+            FROM asked a JOIN tfs t ON t.term = a.term JOIN weights w ON w.term = a.term JOIN lengths l ON l.r = t.r
+            GROUP BY a.item_id, t.r, t.doc_id),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op12_conversation_trie": r"""
         WITH t AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said,
