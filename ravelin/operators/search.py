@@ -46,6 +46,16 @@ def query_terms(query: str) -> list[tuple[str, bool]]:
     return terms
 
 
+def rarity(n: int, df: int) -> Column:
+    """What a term that df of n symbols hold is worth."""
+    return F.greatest(F.ln(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
+
+
+def saturation(weight: Column, length: Column, average: float) -> Column:
+    """How much of that a symbol gets in which the term has a weight, by the symbol's length in words."""
+    return weight * (K1 + 1) / (weight + K1 * (1 - B + B * length / F.lit(float(average))))
+
+
 def bm25(nodes: DataFrame, terms: list[tuple[str, bool]], limit: int | None = None) -> DataFrame:
     """nodes that hold every term, with their score (greater is better)."""
     words = nodes.select("*", *(tokens(F.col(f)).alias(f"_{f}") for f in FIELDS))
@@ -60,10 +70,8 @@ def bm25(nodes: DataFrame, terms: list[tuple[str, bool]], limit: int | None = No
     n, average = s[0], s[1] or 1.0
     score, every = F.lit(0.0), F.lit(bool(terms))
     for i in range(len(terms)):
-        df = s[2 + i]
-        rarity = F.greatest(F.ln(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
         w = F.col(f"_w{i}")
-        score = score + rarity * w * (K1 + 1) / (w + K1 * (1 - B + B * F.col("_len") / F.lit(float(average))))
+        score = score + rarity(n, s[2 + i]) * saturation(w, F.col("_len"), average)
         every = every & (w > 0)
     out = counted.where(every).select(*nodes.columns, score.alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.plans.tables import table
+from ravelin.plans.tables import drop, table
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -87,37 +87,120 @@ def simple_cycles(pairs: DataFrame, longest: int = 3) -> DataFrame:
     return out.select("path", F.size("path").alias("edge_count"))
 
 
+def _least(rows: DataFrame, near: str, far: str) -> DataFrame:
+    """node and colour of every node of rows: the least node, by hash, that leads to it along (near, far); itself counts.
+
+    A node also takes the colour of its colour, so what it knows doubles with each round.
+    """
+    key = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("node"))
+    nodes = rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
+    now = table(nodes.select("node", key("node").alias("colour"), F.lit(True).alias("new")), "colours")
+    while not now.where("new").isEmpty():
+        own = now.select("node", "colour")
+        come = rows.select(F.col(near).alias("node"), F.col(far).alias("to")).join(own, "node").select(F.col("to").alias("node"), "colour")
+        jump = now.select("node", F.col("colour.node").alias("to")).join(own.withColumnRenamed("node", "to"), "to").select("node", "colour")
+        old = own.withColumn("old", F.col("colour"))
+        least = old.unionByName(come.unionByName(jump), allowMissingColumns=True).groupBy("node").agg(F.min("colour").alias("colour"), F.max("old").alias("old"))
+        now, before = table(least.select("node", "colour", (F.col("colour.node") != F.col("old.node")).alias("new")), "colours"), now
+        drop(before)
+    return now.select("node", F.col("colour.node").alias("colour"))
+
+
+def _trimmed(live: DataFrame) -> DataFrame:
+    """live without what a node without a way in, or without a way out, is part of."""
+    entered, left = live.select(F.col("b").alias("a")).distinct(), live.select(F.col("a").alias("b")).distinct()
+    return live.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b")
+
+
+def _shortened(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """live with each path through nodes of one way in and one way out as one pair; these nodes with the path's ends; and rings of such nodes.
+
+    Pointers along the paths double in each round. None if there is no such node.
+    """
+    ways = live.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("prev")), allowMissingColumns=True)
+    ways = ways.groupBy("node").agg(F.count("prev").alias("n_in"), F.count("next").alias("n_out"), F.min("prev").alias("prev"), F.min("next").alias("next"))
+    inner = table(ways.where("n_in = 1 AND n_out = 1").select("node", "prev", "next", F.col("node").alias("least")), "inner")
+    n = inner.count()
+    if not n:
+        drop(inner)
+        return None
+    nodes = table(inner.select("node"), "inner_nodes")
+    for _ in range(n.bit_length() + 1):
+        on = inner.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"))
+        back = inner.select(F.col("node").alias("prev"), F.col("prev").alias("prev2"))
+        jumped = inner.join(on, "next", "left").join(back, "prev", "left")
+        jumped = jumped.select("node", F.coalesce("prev2", "prev").alias("prev"), F.coalesce("next2", "next").alias("next"), F.least("least", F.coalesce("least2", "least")).alias("least"), (F.col("next2").isNotNull() | F.col("prev2").isNotNull()).alias("moved"))
+        inner, before = table(jumped, "inner"), inner
+        drop(before)
+        if inner.where("moved").isEmpty():
+            break
+    rings = inner.join(nodes.withColumnRenamed("node", "next"), "next", "left_semi").select("node", F.col("least").alias("component"))
+    hung = inner.join(nodes.withColumnRenamed("node", "next"), "next", "left_anti").select("node", F.col("prev").alias("a"), F.col("next").alias("b"))
+    rest = live.join(nodes.withColumnRenamed("node", "a"), "a", "left_anti").join(nodes.withColumnRenamed("node", "b"), "b", "left_anti")
+    short = rest.select("a", "b").unionByName(hung.where("a <> b").select("a", "b")).distinct()
+    return short, hung, rings
+
+
+#: Rounds of trimming and shortening before pairs are told apart by colours.
+TRIMS = 6
+
+
 def strong_components(pairs: DataFrame) -> DataFrame:
     """node and component (its least node) of every node of pairs (a, b) on a cycle of two nodes or more.
 
-    Every node takes the least node that reaches it as its colour; the nodes that
-    reach back to that one along pairs of one colour are its component. What is left of
-    the pairs within a colour goes round again. Each round's tables have at most a row for each pair or node.
+    Pairs shrink by three steps. Nodes without a way in or out go. Paths through
+    nodes of one way in and out become one pair, by pointers that double. Where
+    that is not enough, every node takes the least node that reaches it, then,
+    among pairs of one such colour, the least that it reaches: those that reach
+    their colour are its component, and pairs that differ in either go. So a
+    chain or tree takes a number of rounds that grows with the logarithm of its
+    length. Each round's tables have at most a row for each pair or node, and go
+    when the next are written.
     """
-    live, out = table(pairs.where("a <> b").distinct(), "pairs"), None
+    live = table(pairs.where("a <> b").select("a", "b").distinct(), "pairs")
+    found, paths, trims = [], [], 0
     while not live.isEmpty():
-        colour = table(live.select(F.col("a").alias("node")).unionByName(live.select(F.col("b").alias("node"))).distinct().withColumn("colour", F.col("node")), "colours")
-        while True:
-            come = live.join(colour, live.a == colour.node).select(F.col("b").alias("node"), "colour")
-            lower = table(colour.unionByName(come).groupBy("node").agg(F.min("colour").alias("colour")), "colours")
-            same = lower.alias("x").join(colour.alias("y"), "node").where("x.colour <> y.colour").isEmpty()
-            colour = lower
-            if same:
-                break
-        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"colour_{c}"))
-        inner = table(live.join(of("a"), "a").join(of("b"), "b").where("colour_a = colour_b").select("a", "b", F.col("colour_a").alias("colour")), "pairs")
-        found = frontier = table(colour.where("node = colour"), "component")
-        while not frontier.isEmpty():
-            back = inner.join(frontier.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "colour").distinct()
-            frontier = table(back.join(found, "node", "left_anti"), "component")
-            found = found.unionByName(frontier)
-        whole = found.join(found.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi")
-        out = whole if out is None else out.unionByName(whole)
-        done = found.select("node")
-        live = table(inner.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "pairs")
-    if out is None:
+        n = live.count()
+        trimmed = table(_trimmed(live), "pairs")
+        shortened = _shortened(trimmed)
+        drop(live)
+        if shortened:
+            live, (hung, rings) = table(shortened[0], "pairs"), (table(x, "paths") for x in shortened[1:])
+            drop(trimmed)
+            paths.append(hung)
+            found.append(rings)
+        else:
+            live = trimmed
+        trims += 1
+        if live.count() < n and trims < TRIMS:
+            continue
+        trims = 0
+        of = lambda colour, c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"colour_{c}"))
+        forth = _least(live, "a", "b")
+        inner = table(live.join(of(forth, "a"), "a").join(of(forth, "b"), "b").where("colour_a = colour_b").select("a", "b"), "pairs")
+        back = _least(inner, "b", "a")
+        whole = forth.join(back.withColumnRenamed("colour", "reaches"), "node").where("colour = reaches").select("node", F.col("colour").alias("component"))
+        whole = table(whole, "component")
+        found.append(whole)
+        done = whole.select("node")
+        rest = inner.join(of(back, "a"), "a").join(of(back, "b"), "b").where("colour_a = colour_b").select("a", "b")
+        rest = rest.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+        before, live = live, table(rest, "pairs")
+        drop(before, inner)
+    drop(live)
+    if not found:
         return pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    return out.select("node", F.col("colour").alias("component"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    for hung in reversed(paths):  # a path belongs to the component that both of its ends are in
+        loops = hung.where("a = b").select(F.col("a").alias("node")).distinct().join(out, "node", "left_anti").withColumn("component", F.col("node"))
+        out = table(out.unionByName(loops), "component")
+        ends = lambda c: out.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))  # noqa: B023, E731
+        own = hung.join(ends("a"), "a").join(ends("b"), "b").where("component_a = component_b").select("node", F.col("component_a").alias("component"))
+        out = table(out.unionByName(own), "component")
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    return out.join(sizes, "component").select("node", F.col("least").alias("component"))
 
 
 def on_cycles(pairs: DataFrame) -> DataFrame:

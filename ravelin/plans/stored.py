@@ -1,12 +1,19 @@
 """A graph kept in files: indexed from Swift sources, whole at first and then by what has changed.
 
-The three tables lie in one folder, each in `parts` parts by the hash of the
-file that a row is from. An update parses the files whose hash is not stored,
-and writes anew only the parts that hold rows of these files: a stored row of
-a part stays unless its file was parsed again. `files` is written last, so an
-update that breaks off is done again by the next one. Edges to `name::X` stay
-as parsed; `graph()` leads them to symbols, so a changed file never leaves
-edges to symbols that are gone.
+All tables are layers (plans.layers), so an update writes only the rows of the
+files that it parsed, is seen as a whole, and can break off without harm. The
+same rows lie in several orders, each for one kind of question:
+
+  files, nodes, edges               by file: what an update replaces
+  nodes_by_id, names                by id and by name: one symbol
+  edges_by_source, edges_by_target  a symbol's relations, either way
+  degrees, counts                   relations of each symbol and totals, as differences
+  postings and so on                words and parts of names (plans.search_index)
+
+A question about one symbol reads the row groups that hold its key. Edges to
+`name::X` stay as parsed; `graph()` leads them to symbols, so a changed file
+never leaves edges to symbols that are gone. After MOST layers an update writes
+all of them as one.
 
 Defined cases: a folder without tables is an empty graph. A path that occurs
 twice counts by its last row (greatest text). Files that are no more stay
@@ -15,72 +22,134 @@ unless `purge` is set. Null texts are empty ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ravelin.operators.store import changed_files, keep_last, missing_files, resolve_names, with_hash
+from ravelin.operators.store import CALLABLE, changed_files, keep_last, missing_files, resolve_names, with_hash
+from ravelin.plans import search_index
+from ravelin.plans.layers import Layers, Layout, columns
 from ravelin.plans.tables import drop, table
 from ravelin.schema import EDGES, FILES, NODES
 from ravelin.sources import swift
 from ravelin.streaming import watch
 
-PART = "part"
+#: Layers before an update writes one of them all. Files of an update whose names are pushed to the scan.
+MOST, PUSHED = 12, 200
+#: Rows of an update that one task sorts.
+FEW = 50_000
+LAYOUTS = {
+    "files": Layout(StructType([*FILES.fields, StructField("file", StringType())]), ("path",)),
+    "nodes": Layout(NODES, ("file", "id")),
+    "edges": Layout(EDGES, ("file", "source")),
+    "nodes_by_id": Layout(NODES, ("id",)),
+    "names": Layout(columns("name string, id string, kind string, file string"), ("name", "id")),
+    "edges_by_source": Layout(EDGES, ("source", "target")),
+    "edges_by_target": Layout(EDGES, ("target", "source")),
+    "degrees": Layout(columns("id string, fan_in long, fan_out long"), ("id",), ("fan_in", "fan_out")),
+    "counts": Layout(columns("what string, n long"), ("what",), ("n",)),
+} | search_index.LAYOUTS
 
 
-class StoredGraph:
-    """files, nodes and edges in a folder that the driver and all executors share. One update runs at a time."""
+def _degrees(edges: DataFrame, sign: int) -> DataFrame:
+    one, none = F.lit(sign).cast("long"), F.lit(0).cast("long")
+    return edges.select(F.col("source").alias("id"), none.alias("fan_in"), one.alias("fan_out")).unionByName(
+        edges.select(F.col("target").alias("id"), one.alias("fan_in"), none.alias("fan_out"))
+    )
+
 
-    def __init__(self, spark: SparkSession, folder: str, parts: int = 64):
-        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
+def _counts(tables: dict[str, DataFrame], sign: int) -> DataFrame:
+    parts = [rows.agg((sign * F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("what"), "n") for name, rows in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    def _stored(self, name: str, schema: StructType) -> DataFrame:
-        at = f"{self.folder}/{name}"
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema).withColumn(PART, F.lit(0))
-        return self.spark.read.schema(StructType([*schema.fields, StructField(PART, IntegerType())])).parquet(at)
+
+class StoredGraph:
+    """Files, nodes, edges and what finds them, in a folder that the driver and all executors share. One update runs at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.layers = Layers(spark, folder, LAYOUTS)
+        self.search = search_index.SearchIndex(self.layers)
 
     @property
     def files(self) -> DataFrame:
-        return self._stored("files", FILES).drop(PART)
+        return self.layers.live("files").drop("file")
 
     @property
     def nodes(self) -> DataFrame:
-        return self._stored("nodes", NODES).drop(PART)
+        return self.layers.live("nodes")
 
     @property
     def edges(self) -> DataFrame:
         """Edges as parsed, those to `name::X` not led to symbols yet."""
-        return self._stored("edges", EDGES).drop(PART)
+        return self.layers.live("edges")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """nodes, and edges led to the symbols that they name."""
         return self.nodes, resolve_names(self.edges, self.nodes)
 
-    def _part(self, file: str) -> Column:
-        return F.pmod(F.hash(F.coalesce(F.col(file), F.lit(""))), F.lit(self.parts))
-
-    def _write(self, name: str, schema: StructType, file: str, new: DataFrame, gone: DataFrame, touched: DataFrame, whole: bool) -> None:
-        """Puts new in place of the rows of the files in gone; only the parts in touched are read and written, or all of them."""
-        new = new.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).withColumn(PART, self._part(file))
-        if not whole:
-            old = self._stored(name, schema).join(F.broadcast(touched), PART, "left_semi")  # at most as many rows as there are parts
-            new = old.join(gone.withColumnRenamed("file", file), file, "left_anti").unionByName(new)
-        rows = table(new, f"new_{name}")  # read in full before its parts are replaced
-        laid = rows.repartition(self.parts, PART).sortWithinPartitions(PART, file)
-        mode = "static" if whole else "dynamic"
-        laid.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(PART).parquet(f"{self.folder}/{name}")
-        if not whole:
-            self._empty_parts(name, touched, rows)
-        drop(rows)
-
-    def _empty_parts(self, name: str, touched: DataFrame, rows: DataFrame) -> None:
-        """Deletes touched parts that hold no row any more, which an overwrite by parts leaves as they were."""
-        context = self.spark.sparkContext
-        for r in touched.join(rows.select(PART).distinct(), PART, "left_anti").collect():  # at most as many as there are parts
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{PART}={r[0]}")
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    # one symbol
+
+    def node(self, symbol: str) -> DataFrame:
+        """The node of an id, from the row groups of nodes_by_id that may hold it."""
+        return self.layers.live("nodes_by_id", F.col("id") == symbol)
+
+    def outgoing(self, symbol: str, *kinds: str) -> DataFrame:
+        """Edges from a symbol, as parsed."""
+        where = F.col("source") == symbol
+        return self.layers.live("edges_by_source", where & F.col("kind").isin(*kinds) if kinds else where)
+
+    def incoming(self, symbol: str, *kinds: str) -> DataFrame:
+        """Edges to a symbol, and those of other symbols to its name (if it can be called)."""
+        own = self.node(symbol).where(F.col("kind").isin(*CALLABLE)).select("name").first()
+        where = F.col("target").isin(symbol, f"name::{own.name}") if own else F.col("target") == symbol
+        where = where & ((F.col("target") == symbol) | (F.col("source") != symbol))
+        found = self.layers.live("edges_by_target", where & F.col("kind").isin(*kinds) if kinds else where)
+        return found.withColumn("target", F.lit(symbol)).distinct()
+
+    def callees(self, symbol: str) -> DataFrame:
+        """Calls from a symbol, those to a name led to each symbol of that name."""
+        calls = self.outgoing(symbol, "calls")
+        names = [r[0] for r in calls.where(F.col("target").startswith("name::")).select(F.expr("substring(target, 7)")).distinct().limit(PUSHED + 1).collect()]
+        own = F.col("kind").isin(*CALLABLE)
+        symbols = self.layers.live("names", own & F.col("name").isin(*names) if names and len(names) <= PUSHED else own)
+        return resolve_names(calls, symbols)
+
+    def degrees(self, symbol: str | None = None) -> DataFrame:
+        """id, fan_in and fan_out of symbols with relations, or of one."""
+        return self.layers.live("degrees", None if symbol is None else F.col("id") == symbol)
+
+    def counts(self) -> DataFrame:
+        """One row: the numbers of files, nodes and edges, from what updates have added and taken."""
+        n = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+        return self.layers.live("counts").agg(n("files"), n("nodes"), n("edges"))
+
+    # updates
+
+    def _of_files(self, name: str, gone: DataFrame) -> DataFrame:
+        """The rows of a table that belong to files in gone; few names are pushed to the scan."""
+        few = [r[0] for r in gone.limit(PUSHED + 1).collect()]
+        rows = self.layers.live(name, F.col("file").isin(*few) if 0 < len(few) <= PUSHED else None)
+        return rows.join(gone, "file", "left_semi")
+
+    def apply(self, files: DataFrame, nodes: DataFrame, edges: DataFrame, gone: DataFrame, whole: bool = False) -> None:
+        """Puts files, nodes and edges in place of all rows of the files in gone (column file). whole: in place of everything.
+
+        files has the columns of schema.FILES. An edge belongs to its file.
+        """
+        files = files.withColumn("file", F.col("path"))
+        whole = whole or not self.layers.committed()
+        removed = None if whole else {name: table(self._of_files(name, gone), "removed") for name in ("files", "nodes", "edges")}
+        degrees, counts = _degrees(edges, 1), _counts({"files": files, "nodes": nodes, "edges": edges}, 1)
+        if removed:
+            degrees, counts = degrees.unionByName(_degrees(removed["edges"], -1)), counts.unionByName(_counts(removed, -1))
+        rows = {"files": files, "nodes": nodes, "edges": edges, "nodes_by_id": nodes, "names": nodes, "edges_by_source": edges, "edges_by_target": edges, "degrees": degrees, "counts": counts}
+        few = sum(t.count() for t in (files, nodes, edges, *(removed or {}).values())) <= FEW
+        self.layers.add(rows | search_index.rows(nodes, removed["nodes"] if removed else None), gone, whole, few)
+        if removed:
+            drop(*removed.values())
+        if len(self.layers.committed()) > MOST:
+            self.layers.compact(search_index.rows(self.nodes))
 
     def index(self, sources: DataFrame, force: bool = False, purge: bool = False) -> dict[str, int]:
         """Brings the tables up to date with sources (path, text) and returns how many files were seen and indexed, nodes and edges written.
@@ -105,9 +174,7 @@ class StoredGraph:
         files = fresh.join(counts, fresh.path == counts.file, "left").select(
             "path", F.lit("swift").alias("language"), "hash", F.current_timestamp().alias("last_indexed"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count")
         )
-        touched = gone.select(self._part("file").alias(PART)).distinct()
-        for name, schema, file, rows in (("nodes", NODES, "file", nodes), ("edges", EDGES, "file", edges), ("files", FILES, "path", files)):
-            self._write(name, schema, file, rows, gone, touched, force)
+        self.apply(files, nodes, edges, gone, force)
         done = {"files_scanned": seen, "files_indexed": fresh.count(), "nodes_added": nodes.count(), "edges_added": edges.count()}
         drop(current, gone, fresh, nodes, edges)
         return done

@@ -1,9 +1,9 @@
 """Swift source files as rows: lines, declarations with their spans, and call sites, by DataFrame operations.
 
-The scanner is lexical. Strings and line comments are blanked, braces counted
-by a running sum over a file's lines, and a block ends at the first line that
-brings the depth back: openings and closings meet in one window over (file,
-depth), so no line is compared with every other.
+The scanner reads code without comments and literals (sources.syntax). Braces
+are counted by a running sum over a file's lines, and a block ends at the first
+line that brings the depth back: openings and closings meet in one window over
+(file, depth), so no line is compared with every other.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions.paths import should_include, truncated_signature
+from ravelin.sources.syntax import lexed
 
 #: Folders that are left out unless a configuration says otherwise.
 EXCLUDE = ["**/Generated/**", "**/Pods/**", "**/.build/**", "**/DerivedData/**"]
@@ -39,10 +40,9 @@ def split_lines(text: Column) -> Column:
 
 
 def lines(sources: DataFrame) -> DataFrame:
-    """file, pos (from 0), line, bare (without strings and comments), depth before and after."""
-    own = sources.select(F.col("path").alias("file"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    bare = F.regexp_replace(F.regexp_replace("line", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'), r"//.*$", "")
-    own = own.withColumn("bare", bare)
+    """file, pos (from 0), line, bare (the code of it, strings being ""), depth before and after."""
+    both = F.arrays_zip(split_lines(F.col("text")).alias("line"), split_lines(F.col("code")).alias("bare"))
+    own = lexed(sources).select(F.col("path").alias("file"), F.posexplode(both).alias("pos", "x")).select("file", "pos", "x.line", F.regexp_replace("x.bare", r'#*"+ *"+#*', '""').alias("bare"))
     up, down = F.regexp_count("bare", F.lit(r"\{")), F.regexp_count("bare", F.lit(r"\}"))
     run = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("opens", up).withColumn("after", F.sum(up - down).over(run))
@@ -106,8 +106,9 @@ def declarations(sources: DataFrame) -> DataFrame:
 
 def calls(sources: DataFrame) -> DataFrame:
     """file, line and name of call sites; names of one letter or with a leading underscore are left out."""
-    of = lines(sources).where(~F.col("bare").rlike(r"^\s*(?:\w+\s+)*func\s"))
-    names = F.explode(F.regexp_extract_all("bare", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("name")
+    of = lines(sources)
+    undeclared = F.regexp_replace("bare", r"\bfunc\s+[^\s(<]+(?:<[^>]*>)?", "")
+    names = F.explode(F.regexp_extract_all(undeclared, F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("name")
     found = of.select("file", (F.col("pos") + 1).alias("line"), names)
     return found.where((F.length("name") >= 2) & ~F.col("name").startswith("_") & ~F.col("name").isin(*_NOT_CALLS))
 

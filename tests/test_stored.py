@@ -40,7 +40,7 @@ def calls(graph):
 
 
 def test_index_then_what_changed(spark, sources, tmp_path):
-    graph = StoredGraph(spark, str(tmp_path / "graph"), parts=5)
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
     assert graph.nodes.count() == graph.edges.count() == graph.files.count() == 0
     first = graph.index(sources(FILES))
     assert first["files_scanned"] == first["files_indexed"] == 3 and first["nodes_added"] == graph.nodes.count() and first["edges_added"] == graph.edges.count() > 0
@@ -53,14 +53,14 @@ def test_index_then_what_changed(spark, sources, tmp_path):
     renamed = {"Sources/Factory.swift": FILES["Sources/Factory.swift"].replace("makeUser", "buildUser"), "Sources/New.swift": "enum Mode { case on }\n"}
     assert graph.index(sources(renamed))["files_indexed"] == 2
     assert ("fetch", "makeUser") not in calls(graph) and {"buildUser", "Mode"} <= {n.name for n in graph.nodes.collect()}
-    whole = StoredGraph(spark, str(tmp_path / "whole"), parts=3)
+    whole = StoredGraph(spark, str(tmp_path / "whole"))
     whole.index(sources({}))
     assert state(graph) == state(whole)  # as if indexed at once
     assert graph.index(sources({}), force=True)["files_indexed"] == 4 and state(graph) == state(whole)
 
 
 def test_files_that_are_no_more(spark, sources, tmp_path):
-    graph = StoredGraph(spark, str(tmp_path / "graph"), parts=64)
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
     every = sources(FILES)
     graph.index(every)
     rest = every.where(~F.col("path").endswith("Factory.swift"))
@@ -71,7 +71,7 @@ def test_files_that_are_no_more(spark, sources, tmp_path):
 
 
 def test_odd_sources(spark, tmp_path):
-    graph = StoredGraph(spark, str(tmp_path / "graph"), parts=2)
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
     empty = spark.createDataFrame([], "path string, text string")
     assert graph.index(empty)["files_indexed"] == 0 and graph.index(empty, force=True)["files_indexed"] == 0
     rows = [("a.swift", None), ("b.swift", "struct A {}"), ("b.swift", "struct B {}"), ("c.swift", "")]
@@ -80,7 +80,7 @@ def test_odd_sources(spark, tmp_path):
 
 
 def test_watch_indexes_what_changes(spark, tmp_path):
-    graph = StoredGraph(spark, str(tmp_path / "graph"), parts=2)
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
     landing, schema = tmp_path / "landing", "path string, text string, load_seq long"
     for rows in ([("a.swift", "struct A {}", 1), ("b.swift", "struct B {}", 1)], [("a.swift", "struct C {}", 2), ("note.md", "x", 2)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(landing))
@@ -97,3 +97,113 @@ def test_resolving_by_three_ways(spark, sources, tmp_path):
     assert search.resolve_symbol_conc(nodes, "makeUser").first().name == "makeUser"
     assert search.resolve_symbol_conc(nodes, "etworkUser").first().name == "NetworkUserService"
     assert search.resolve_symbol_conc(nodes, "nothing").isEmpty()
+
+
+def word_index(graph):
+    """All that counts in the search index."""
+    rows = lambda df: sorted(map(str, df.collect()))
+    return [rows(graph.layers.live(t)) for t in ("postings", "dictionary", "totals", "names", "degrees", "counts")]
+
+
+def many(seed, n=12):
+    return {f"Sources/F{i}.swift": f"struct Thing{i + seed} {{\n    let part{seed}: Int\n    func run{i}() {{\n        run{(i + seed) % n}()\n        help()\n    }}\n}}\n" for i in range(n)}
+
+
+def test_updates_equal_a_rebuild(spark, sources, tmp_path, monkeypatch):
+    """Postings, dictionary, totals, degrees and counts after any updates, and after layers became one."""
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
+    graph.index(sources(many(1)))
+    monkeypatch.setattr("ravelin.plans.stored.MOST", 3)
+    for files in ({"Sources/F3.swift": "enum Mode { case on }\n"}, {"Sources/F4.swift": "// nothing\n", "Sources/New.swift": "func help() {}\n"}, {"Sources/F3.swift": many(5)["Sources/F3.swift"]}):
+        graph.index(sources(files))
+        whole = StoredGraph(spark, str(tmp_path / f"whole{len(files)}{len(graph.layers.committed())}"))
+        whole.index(sources({}))
+        assert word_index(graph) == word_index(whole) and state(graph) == state(whole)
+        assert sorted(map(str, graph.search.substring("THING1").collect())) == sorted(map(str, whole.search.substring("THING1").collect()))
+    assert len(graph.layers.committed()) == 1  # the fourth layer made it one
+    gone = graph.nodes.where("name = 'help'").select("file").distinct()
+    graph.apply(graph.files.limit(0), graph.nodes.limit(0), graph.edges.limit(0), gone)
+    assert graph.search.document_frequency("help") == 0 and graph.counts().first().files == 12
+
+
+def test_an_update_that_breaks_off_is_not_seen(spark, sources, tmp_path):
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
+    graph.index(sources(many(1)))
+    before = state(graph), word_index(graph)
+    nodes = graph.nodes.where("name = 'run1'").withColumn("name", F.lit("broken"))
+    rows = {"nodes": nodes, "nodes_by_id": nodes, "names": nodes}
+    kept = graph.layers._path
+    graph.layers._path = lambda *parts: (_ for _ in ()).throw(OSError("lost")) if parts[0] == "log" and len(parts) == 2 else kept(*parts)
+    with pytest.raises(OSError, match="lost"):
+        graph.layers.add(rows, nodes.select("file"))
+    graph.layers._path = kept
+    assert (state(graph), word_index(graph)) == before
+    graph.index(sources({"Sources/F1.swift": "struct Other {}\n"}))  # takes the place of what was left
+    assert "broken" not in {n.name for n in graph.nodes.collect()} and "Other" in {n.name for n in graph.nodes.collect()}
+
+
+def test_stored_search_equals_the_scan(spark, sources, tmp_path):
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
+    graph.index(sources(FILES | many(2)))
+    graph.index(sources({"Sources/F5.swift": "final class RunnerService: UserService {\n    func run5() { makeUser(1) }\n}\n"}))
+    rows = lambda df: sorted((r.id, round(r.score, 9)) for r in df.collect())
+    for query in ("run", "run5", "thing7 part", "user*", '"service"', "fetch id", "nothing", "userservice"):
+        for kind in (None, "class", "method"):
+            terms = search.query_terms(query)
+            own = graph.nodes if kind is None else graph.nodes.where(F.col("kind") == kind)
+            assert rows(graph.search.bm25(terms, kind)) == rows(search.bm25(own, terms)), (query, kind)
+    assert rows(graph.search.bm25([("run", True)], limit=3)) == rows(search.bm25(graph.nodes, [("run", True)], 3)) and graph.search.bm25([]).isEmpty()
+    for text in ("Serv", "run1", "THING", "thing1", "zzz", "ru", "user"):
+        assert {r.id for r in graph.search.substring(text).collect()} == {r.id for r in search.trigram(graph.nodes, text).collect()}, text
+
+
+def test_bitmaps():
+    import numpy as np
+
+    from ravelin.plans.search_index import LISTED, _pack, _unpack
+
+    for n in (1, LISTED, LISTED + 1, 1 << 16):
+        numbers = np.random.default_rng(n).choice(1 << 16, n, replace=False)
+        packed = _pack(numbers)
+        assert len(packed) == (2 * n if n <= LISTED else 8192) and np.array_equal(_unpack(n, packed), np.sort(numbers))
+
+
+def test_one_symbol(spark, sources, tmp_path):
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
+    graph.index(sources(FILES | many(2)))
+    graph.index(sources({"Sources/F5.swift": "func help() {\n    run1()\n}\n"}))
+    nodes, edges = graph.graph()
+    key = lambda df: sorted((e.source, e.target, e.kind, e.line) for e in df.collect())
+    for name in ("help", "run1", "makeUser", "User", "NetworkUserService"):
+        own = nodes.where(F.col("name") == name).first().id
+        assert [r.name for r in graph.node(own).collect()] == [name]
+        assert key(graph.incoming(own, "calls")) == key(edges.where((F.col("target") == own) & (F.col("kind") == "calls")))
+        assert key(graph.callees(own)) == key(edges.where((F.col("source") == own) & (F.col("kind") == "calls")))
+        assert key(graph.outgoing(own)) == key(graph.edges.where(F.col("source") == own))
+    assert graph.counts().first().asDict() == {"files": graph.files.count(), "nodes": graph.nodes.count(), "edges": graph.edges.count()}
+
+
+def test_a_key_reads_what_may_hold_it(spark, tmp_path):
+    """The condition reaches the scan, and of the files of a table sorted by id all but one are left out by their bounds."""
+    import pyarrow.parquet as pq
+
+    graph = StoredGraph(spark, str(tmp_path / "graph"))
+    rows = [(f"n{i:05}", "struct A {}") for i in range(10)]
+    graph.index(spark.createDataFrame(rows, "path string, text string"))
+    plan = graph.node("x")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,x)]" in plan
+    plan = graph.search.postings([("view", True)])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(term,view)" in plan and "LessThanOrEqual(term,view" in plan
+    nodes = spark.range(20_000).select(F.concat(F.lit("id"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.lit("f").alias("file"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        graph.layers.add({"nodes_by_id": nodes.select(*(F.col(f.name) if f.name in ("id", "file") else F.lit("0" if f.dataType.simpleString() == "string" else None).cast(f.dataType).alias(f.name) for f in graph.layers.layouts["nodes"].schema))})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "graph" / "nodes_by_id" / "layer=2").glob("*.parquet"))
+    holds = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups = [meta.row_group(g).column(meta.schema.to_arrow_schema().get_field_index("id")).statistics for g in range(meta.num_row_groups)]
+        holds += any(s.min <= "id012345" <= s.max for s in groups)
+    assert len(files) > 1 and holds == 1 and graph.node("id012345").count() == 1
