@@ -31,6 +31,9 @@ Ranks are 64-bit hashes, compared only among positions of one first rank, so a
 stretch or window must agree in two of them. Spans come together by document, and a
 document's bytes are cut in one pass. Texts are shuffled compressed.
 
+Rows are told apart by doc_id and 128 bits of their text, so that rows without
+a doc_id, or under one, keep their own spans.
+
 Defined cases: a null text has no bytes. Texts shorter than length lose
 nothing. Rows that share a doc_id are documents of their own; equal rows
 repeat each other and lose the same bytes. A null doc_id is returned as null.
@@ -46,7 +49,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.scratch import table
@@ -107,8 +110,13 @@ def compressed(docs: DataFrame) -> DataFrame:
             data = [squeeze.compress(t.as_buffer()) if t.is_valid else squeeze.compress(b"") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["doc_id", "text_hash", "data"])
 
-    rows = docs.select("doc_id", F.hash("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, f"doc_id {_kind(docs)}, text_hash int, data binary")
+    rows = docs.select("doc_id", _name(), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(work, f"doc_id {_kind(docs)}, text_hash binary, data binary")
+
+
+def _name() -> Column:
+    """What tells texts of one doc_id apart: 128 bits."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("text_hash")
 
 
 def _kind(docs: DataFrame) -> str:
@@ -149,8 +157,8 @@ def positions(docs: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64)), *who.columns, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known)]
                 yield pa.RecordBatch.from_arrays(columns, ["gram", "whole", "doc_id", "text_hash", "first", "n", "known"])
 
-    rows = docs.select("doc_id", F.hash("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, f"gram long, whole long, doc_id {_kind(docs)}, text_hash int, first int, n int, known boolean")
+    rows = docs.select("doc_id", _name(), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(work, f"gram long, whole long, doc_id {_kind(docs)}, text_hash binary, first int, n int, known boolean")
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +296,7 @@ def _windows_by_rank(left: DataFrame, length: int, kind: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), *who.columns, pa.array(first.astype(np.int32)), pa.array(open_)], ["rank", "gram", "doc_id", "text_hash", "first", "open"])
                 at = end
 
-    windows = left.mapInArrow(work, f"rank long, gram long, doc_id {kind}, text_hash int, first int, open boolean")
+    windows = left.mapInArrow(work, f"rank long, gram long, doc_id {kind}, text_hash binary, first int, open boolean")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of ranks that more than one row has; the last row of a batch waits for the next one's first."""
@@ -312,12 +320,12 @@ def _windows_by_rank(left: DataFrame, length: int, kind: str) -> DataFrame:
             yield chosen(held, np.array([before == (held.column("rank")[0].as_py(), held.column("gram")[0].as_py())]))
 
     dealt = windows.repartition("rank").sortWithinPartitions("rank", "gram")
-    return dealt.mapInArrow(twice, f"doc_id {kind}, text_hash int, first int").withColumn("n", F.lit(1))
+    return dealt.mapInArrow(twice, f"doc_id {kind}, text_hash binary, first int").withColumn("n", F.lit(1))
 
 
 def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str, at_home: int) -> DataFrame:
     """Round 3: doc_id, text_hash, first and n of the windows of OPEN stretches that start anywhere else, too."""
-    per_doc = left.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "first", "n", "state")).alias("found"))
+    per_doc = left.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("gram", "first", "n", "state")).alias("found"))
     both = _with_texts(texts, per_doc, "inner")
     names = ["gram", "doc_id", "text_hash", "first", "n", "state", "data"]
 
@@ -330,7 +338,7 @@ def repeated_windows(texts: DataFrame, left: DataFrame, length: int, kind: str,
                 who = batch.select(["doc_id", "text_hash"]).take(pa.array(np.full(len(parts), i)))
                 yield pa.RecordBatch.from_arrays([gram, *who.columns, first, n, state, pa.array(parts, pa.binary())], names)
 
-    schema = f"gram long, doc_id {kind}, text_hash int, first int, n int, state int, data binary"
+    schema = f"gram long, doc_id {kind}, text_hash binary, first int, n int, state int, data binary"
     dealt = both.mapInArrow(work, schema).repartition("gram").sortWithinPartitions("gram")
     ranked = table(dealt.mapInArrow(lambda batches: _windows_at_home(batches, length, at_home), schema), "windows")
     large = ranked.where(F.col("data").isNotNull())
@@ -358,11 +366,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, at_home: int = AT_HOME
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (kept) of each row of docs."""
     kind = _kind(docs)
     ranks = positions(docs, length).repartition("gram").sortWithinPartitions("gram", "whole")
-    stay = table(ranks.mapInArrow(_ranked, f"gram long, doc_id {kind}, text_hash int, first int, n int, state int"), "positions")
+    stay = table(ranks.mapInArrow(_ranked, f"gram long, doc_id {kind}, text_hash binary, first int, n int, state int"), "positions")
     texts = compressed(docs)
     windows = repeated_windows(texts, stay.where(F.col("state") != DONE), length, kind, at_home)
     spans = stay.where(F.col("state") == DONE).select("doc_id", "text_hash", "first", "n").unionByName(windows)
-    per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("found"))
+    per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

@@ -162,13 +162,13 @@ def regression(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """text and toxic of up to about max_rows learnable rows, the same on every run."""
+    """text and toxic of learnable rows, max_rows at most, the same on every run: those whose doc_id has the least hashes."""
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    given = table(given, "labels")
-    share = min(1.0, max_rows / max(1, given.count()))
-    taken = given.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    taken = table(given.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_rows), "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # bounded by max_rows
+    if rows.count() > max_rows:  # a doc_id has several rows
+        rows = rows.orderBy(F.xxhash64(F.lit(7), "doc_id", "text"), "doc_id", "text").limit(max_rows)
     return table(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
 
 
@@ -205,7 +205,7 @@ def lexicon(texts: DataFrame) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
-    """The classifier, from learnable labels of at most about max_rows rows."""
+    """The classifier, from learnable labels of max_rows rows at most."""
     texts = labelled_texts(docs, labels, max_rows)
     scorer = Scorer(words := lexicon(texts), np.zeros(0))
 
