@@ -49,6 +49,8 @@ BUCKETS, LEXICON, LEAST = 1 << 15, 20_000, 5
 ROUNDS, STEP, RATE, RIDGE = 3, 256, 0.5, 1e-6
 #: Bytes of texts that are one chain, code points that get features at once, and words of a block.
 AT_ONCE, CODES, BLOCK = 4_000_000, 1_000_000, 96
+#: Parts of a language whose least keys are found apart.
+SHARES = 16
 UNKNOWN = "und"
 BEGIN, END = 1, 2
 AFFIXES = (2, 3, 4)
@@ -314,7 +316,9 @@ def sampled(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, list[s
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
-    least = rows.select("lang", "key").withColumn("i", F.row_number().over(by_lang)).where(F.col("i") <= each)
+    shares = Window.partitionBy("lang", F.pmod("key", F.lit(SHARES))).orderBy("key")  # so no task sees more of a language than SHARES * each keys
+    least = rows.select("lang", "key").withColumn("i", F.row_number().over(shares)).where(F.col("i") <= each)
+    least = least.withColumn("i", F.row_number().over(by_lang)).where(F.col("i") <= each)
     bounds = least.where(F.col("lang").isin([r[0] for r in counts])).groupBy("lang").agg(F.max("key").alias("most"))
     taken = rows.join(F.broadcast(bounds), "lang").where(F.col("key") <= F.col("most")).select("lang", "key", "text")  # MAX_LANGUAGES rows
 

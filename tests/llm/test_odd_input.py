@@ -6,6 +6,7 @@ from math import ceil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ravelin.llm import decontaminate, line_dedup, mixing, near_copies, simhash, suffix_dedup, token_files, toxicity, warc
@@ -163,3 +164,24 @@ def test_revisits_name_records_that_exist(spark):
     names = {h["WARC-Record-ID"] for h in heads}
     assert len(names) == len(heads) and sum("WARC-Refers-To" in h for h in heads) == 4
     assert all(h["WARC-Refers-To"] in names for h in heads if "WARC-Refers-To" in h)
+
+
+def test_texts_of_one_32_bit_hash_keep_their_own_spans(spark):
+    """Without a doc_id rows are told apart by their text alone; a text without a repeat loses nothing."""
+    plain = spark.range(200_000).select(F.concat_ws(" ", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256) for i in range(5))).alias("text"))
+    pair = plain.groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("t")).where(F.size("t") > 1).orderBy("t").first().t[:2]
+    with_repeat, without = pair
+    docs = spark.createDataFrame([(None, with_repeat), (None, without), (7, with_repeat[:300]), (None, with_repeat), (None, with_repeat)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect())
+    n = len(with_repeat.encode())
+    assert got == Counter({(None, n, n, b""): 3, (None, n, 0, without.encode()): 1, (7, 300, 300, b""): 1})
+
+
+def test_labelled_rows_are_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(300)] + [(9, "same")] * 300 + [(i, "x") for i in range(400)], "doc_id long, text string")
+    for most in (1, 50, 120, 100_000):
+        texts = toxicity.labelled_texts(docs, labels, most)
+        again = toxicity.labelled_texts(docs, labels, most)
+        assert texts.count() <= most and sorted(texts.collect()) == sorted(again.collect())
+    assert texts.count() > 300 and toxicity.labelled_texts(docs, labels, 120).count() == 120
