@@ -144,6 +144,18 @@ def architecture_examples(nodes: DataFrame, most: int = 5) -> DataFrame:
     return nodes.select(shown, "file", "id").withColumn("nth", nth).where(F.col("nth") <= most).select("signal", "nth", "file")
 
 
+#: The layers that statistics are given for, in their order, and the signals that count them.
+LAYERS = {"Views": "views", "ViewModels": "viewmodels", "Coordinators": "coordinators", "Presenters": "presenters", "Interactors": "interactors", "Reducers": "reducers", "Controllers": "controllers"}
+
+
+def architecture_layers(nodes: DataFrame, most: int = 5) -> DataFrame:
+    """place, layer, symbols (how many show its signal; a layer without any has no row) and examples (files of the first of them)."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("layer"), F.lit(signal).alias("signal"), F.col(signal).alias("symbols")) for i, (name, signal) in enumerate(LAYERS.items())))).alias("l")
+    counts = architecture_signals(nodes).select(each).select("l.*").where("symbols > 0")
+    files = architecture_examples(nodes, most).groupBy("signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "file"))), lambda x: x["file"]).alias("examples"))
+    return counts.join(files, "signal", "left").select("place", "layer", "symbols", "examples")
+
+
 #: The signals of each pattern.
 PATTERNS = {
     "MVVM": ("viewmodels", "views"),
@@ -288,9 +300,18 @@ def isolation_of(attributes: str = "attributes", signature: str = "signature") -
     )
 
 
+def mutable_state(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and mutable_state: the properties that a symbol changes or refers to, each once, with whether they are published and have an actor."""
+    of = nodes.where("kind = 'property'").select(F.col("id").alias("target"), "name", F.exists(F.coalesce("attributes", F.array().cast("array<string>")), lambda a: a.contains("Published")).alias("is_published"), isolation_of().alias("isolation"))
+    used = edges.where("kind IN ('mutates', 'references')").select(F.col("source").alias("id"), "target").distinct().join(of, "target")
+    access = F.struct(F.col("name").alias("property"), "is_published", (~F.col("isolation").isin("unknown", "nonisolated")).alias("is_protected"))
+    return used.groupBy("id").agg(F.array_sort(F.collect_set(access)).alias("mutable_state"))
+
+
 def concurrency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per symbol: its isolation, whether it conforms to Sendable, its callees' isolations, calls from one isolation to another, and warnings."""
-    of = nodes.select("id", isolation_of().alias("isolation"))
+    """Per symbol: its isolation, whether it is Sendable, its callees' isolations, calls from one isolation to another, the mutable state it uses, and warnings."""
+    attributes = F.coalesce("attributes", F.array().cast("array<string>"))
+    of = nodes.select("id", isolation_of().alias("isolation"), F.exists(attributes, lambda a: a.contains("Sendable")).alias("marked"))
     calls = edges.where("kind = 'calls'").select("source", "target").distinct()
     joined = calls.join(of.select(F.col("id").alias("source"), F.col("isolation").alias("own")), "source")
     joined = joined.join(of.select(F.col("id").alias("target"), F.col("isolation").alias("other")), "target")
@@ -299,12 +320,23 @@ def concurrency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("callees"), F.count_if(crossing).alias("cross_actor_calls"), F.array_sort(F.collect_set("other")).alias("callee_isolations")
     )
     sendable = edges.where("kind = 'conformsTo'").where(F.col("target").contains("Sendable")).select(F.col("source").alias("id"), F.lit(True).alias("sendable")).distinct()
-    out = of.join(per, "id", "left").join(sendable, "id", "left").fillna(0, ["callees", "cross_actor_calls"]).fillna(False, ["sendable"])
+    out = of.join(per, "id", "left").join(sendable, "id", "left").join(mutable_state(nodes, edges), "id", "left")
+    out = out.fillna(0, ["callees", "cross_actor_calls"]).withColumn("sendable", F.coalesce("sendable", "marked")).drop("marked")
     out = out.withColumn("callee_isolations", F.coalesce("callee_isolations", F.array().cast("array<string>")))
-    return out.withColumn("warnings", concurrency_warnings(F.col("isolation"), F.col("sendable"), F.col("cross_actor_calls")))
+    out = out.withColumn("mutable_state", F.coalesce("mutable_state", F.array().cast(out.schema["mutable_state"].dataType)))
+    return out.withColumn("warnings", concurrency_warnings(F.col("isolation"), F.col("sendable"), F.col("cross_actor_calls"), F.col("mutable_state")))
 
 
-def concurrency_warnings(isolation: Column, sendable: Column, cross_calls: Column) -> Column:
+def concurrency_warnings(isolation: Column, sendable: Column, cross_calls: Column, state: Column) -> Column:
     """The texts of what is doubtful about a symbol."""
     crossing = F.concat(cross_calls.cast("string"), F.lit(" call(s) into other isolations but not Sendable"))
-    return F.array_compact(F.array(F.when(isolation == "unknown", "no isolation is stated"), F.when(~sendable & (cross_calls > 0), crossing)))
+    open_ = F.filter(state, lambda s: ~s["is_protected"])
+    outside = F.concat(F.lit("mutable state outside any actor: "), F.array_join(F.transform(open_, lambda s: s["property"]), ", "))
+    return F.array_compact(
+        F.array(
+            F.when(isolation == "unknown", "no isolation is stated"),
+            F.when(~sendable & (cross_calls > 0), crossing),
+            F.when(F.size(open_) > 0, outside),
+            F.when(F.exists(open_, lambda s: s["is_published"]), "published properties outside the main actor"),
+        )
+    )

@@ -31,11 +31,13 @@ from ravelin.plans import search_index
 from ravelin.plans.layers import Layers, Layout, columns
 from ravelin.plans.tables import drop, table
 from ravelin.schema import EDGES, FILES, NODES
-from ravelin.sources import swift
+from ravelin.sources import index_dump, swift
 from ravelin.streaming import watch
 
 #: Layers before an update writes one of them all. Files of an update whose names are pushed to the scan.
 MOST, PUSHED = 12, 200
+#: Fixed value: what stands for the hash of a file that came from a compiler's index.
+FROM_INDEX = "indexstore"
 #: Rows of an update that one task sorts.
 FEW = 50_000
 LAYOUTS = {
@@ -158,7 +160,9 @@ class StoredGraph:
         """
         last = keep_last(sources.select("path", "text", F.coalesce("text", F.lit("")).alias("load_seq")), "path").select("path", F.coalesce("text", F.lit("")).alias("text"))
         current = table(with_hash(last, "text"), "sources")
-        stored = self.files.limit(0) if force else self.files
+        few = [] if force or purge else [r[0] for r in current.select("path").limit(PUSHED + 1).collect()]
+        stored = self.layers.live("files", F.col("path").isin(*few) if 0 < len(few) <= PUSHED else None).drop("file")
+        stored = stored.limit(0) if force else stored
         changed = changed_files(current.select("path", "hash"), stored)
         gone = changed.select(F.col("path").alias("file"))
         if purge and not force:
@@ -179,6 +183,27 @@ class StoredGraph:
         drop(current, gone, fresh, nodes, edges)
         return done
 
+    def index_store(self, occurrences: DataFrame, sources: DataFrame | None = None) -> dict[str, int | str]:
+        """Puts a compiler's index (rows as in sources.index_dump) in place of what is stored of its files; other files of sources are parsed.
+
+        Files from the index have no hash of their own, so the next index() of sources parses those that it is given.
+        """
+        null = lambda f: F.lit([] if f.name == "attributes" else None).cast(f.dataType)
+        full = lambda rows, schema, more: rows.select(*(more.get(f.name, F.col(f.name) if f.name in rows.columns else null(f)).alias(f.name) for f in schema))
+        named = {"qualified_name": F.col("name"), "attributes": F.array().cast("array<string>")}
+        nodes = table(keep_last(full(index_dump.definitions(occurrences), NODES, named).withColumn("load_seq", F.lit(0)), "id").drop("load_seq"), "parsed")
+        edges = table(full(index_dump.relations(occurrences), EDGES, {"is_implicit": F.lit(False)}).distinct(), "parsed")
+        counts = nodes.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("symbol_count"))
+        files = table(counts.select("path", F.lit("swift").alias("language"), F.lit(FROM_INDEX).alias("hash"), F.current_timestamp().alias("last_indexed"), "symbol_count"), "files")
+        covered = nodes.select("file").unionByName(edges.select("file")).distinct()
+        self.apply(files, nodes, edges, covered)
+        done = {"files_indexed": files.count(), "nodes_added": nodes.count(), "edges_added": edges.count(), "strategy": "index-store"}
+        rest = None if sources is None else sources.join(covered.withColumnRenamed("file", "path"), "path", "left_anti")
+        if rest is not None and not rest.isEmpty():
+            parsed = self.index(rest)
+            done = {k: v + parsed[k] for k, v in done.items() if k != "strategy"} | {"strategy": "hybrid"}
+        return done
+
     def watch(self, stream: DataFrame, checkpoint: str, **how: object) -> object:
         """Starts a watch (streaming.watch) that indexes what a stream of (path, text, load_seq) changes."""
-        return watch.start(stream, lambda: self.files, lambda rows, number: self.index(rows), checkpoint, **how)
+        return watch.start(stream, lambda rows, number: self.index(rows), checkpoint, **how)

@@ -259,7 +259,7 @@ graph("concurrency", """, iso AS (SELECT id, CASE WHEN list_contains(attributes,
         array_to_string(list_filter([CASE WHEN iso.i = 'unknown' THEN 'no isolation is stated' END,
             CASE WHEN sent.id IS NULL AND crossing > 0 THEN crossing || ' call(s) into other isolations but not Sendable' END], lambda x: x IS NOT NULL), '; ') AS warnings
     FROM iso LEFT JOIN p ON iso.id = p.id LEFT JOIN sent ON iso.id = sent.id""")(
-    lambda n, e: A.concurrency(n, e).withColumn("callee_isolations", F.array_join("callee_isolations", ",")).withColumn("warnings", F.array_join("warnings", "; "))
+    lambda n, e: A.concurrency(n, e).drop("mutable_state").withColumn("callee_isolations", F.array_join("callee_isolations", ",")).withColumn("warnings", F.array_join("warnings", "; "))
 )
 
 TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -490,3 +490,18 @@ ORACLES["flagship"] = RECURSIVE + DEGREES + """, top AS (SELECT id, name, kind,
     SELECT top.*, direct, transitive, files, tests,
         CASE WHEN transitive <= 5 THEN 'low' WHEN transitive <= 20 THEN 'medium' WHEN transitive <= 50 THEN 'high' ELSE 'critical' END AS risk
     FROM top JOIN agg ON top.id = agg.seed"""
+
+graph("architecture_layers", """, n AS (SELECT lower(name) AS n, file, id FROM nodes),
+    shown AS (SELECT 0 AS place, 'Views' AS layer, file, id FROM n WHERE n LIKE '%view' OR n LIKE '%screen' UNION ALL SELECT 1, 'ViewModels', file, id FROM n WHERE contains(n, 'viewmodel') OR n LIKE '%vm'
+        UNION ALL SELECT 2, 'Coordinators', file, id FROM n WHERE contains(n, 'coordinator') UNION ALL SELECT 3, 'Presenters', file, id FROM n WHERE contains(n, 'presenter')
+        UNION ALL SELECT 4, 'Interactors', file, id FROM n WHERE contains(n, 'interactor') UNION ALL SELECT 5, 'Reducers', file, id FROM n WHERE contains(n, 'reducer') OR contains(n, 'composable')
+        UNION ALL SELECT 6, 'Controllers', file, id FROM n WHERE contains(n, 'viewcontroller') OR contains(n, 'controller')),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY file, id) AS nth FROM shown)
+    SELECT place, layer, count(*) AS symbols, string_agg(file, ',' ORDER BY nth) FILTER (nth <= 5) AS examples FROM ranked GROUP BY place, layer""")(
+    lambda n, e: A.architecture_layers(n).withColumn("examples", F.array_join("examples", ","))
+)
+graph("sink_json", "SELECT CAST(to_json({'id': id, 'kind': kind, 'line': line}) AS VARCHAR) AS json FROM nodes")(lambda n, e: K.as_json(n.select("id", "kind", "line")))
+graph("search_chain_words", bm25_sql("supplier1", True) + "SELECT id, round(score, 6) AS score FROM ranked")(lambda n, e: S.search(n, "supplier1").select("id", F.round("score", 6).alias("score")))
+graph("search_chain_all", "SELECT id, name FROM nodes WHERE kind = 'class'")(lambda n, e: S.search(n, "*", "class").select("id", "name"))
+graph("resolve_symbol_conc_id", f"SELECT id, name FROM nodes WHERE id = '{SUPPLIER}'")(lambda n, e: S.resolve_symbol_conc(n, SUPPLIER).select("id", "name"))
+graph("resolve_symbol_conc_words", bm25_sql("supplier7", True) + "SELECT id FROM ranked ORDER BY score DESC, id LIMIT 1")(lambda n, e: S.resolve_symbol_conc(n, "supplier7").select("id"))

@@ -7,7 +7,9 @@ import subprocess
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from ravelin.sources.swift import EXCLUDE
+from pyspark.sql import DataFrame, SparkSession
+
+from ravelin.sources.swift import EXCLUDE, read
 
 
 @dataclass
@@ -36,6 +38,12 @@ class Config:
             path.write_text(json.dumps(self.__dict__, indent=2))
 
 
+def sources(spark: SparkSession, root: Path | str, config: Config | None = None) -> DataFrame:
+    """path, hash and text of a project's Swift files, those that its configuration takes."""
+    config = config or Config()
+    return read(spark, str(root), config.include or None, config.exclude)
+
+
 def project_type(root: Path) -> str:
     """tuist, xcodegen, xcode-workspace, xcode or spm, by the first marker found in that order; FileNotFoundError without any."""
     root = Path(root)
@@ -52,3 +60,15 @@ def changed(root: Path, ref: str = "unstaged") -> list[str]:
     extra = {"unstaged": [], "staged": ["--cached"]}.get(ref, [ref])
     out = subprocess.run(["git", "diff", "--name-only", "--diff-filter=ACMR", *extra], cwd=root, capture_output=True, text=True, check=True).stdout
     return [f for f in out.splitlines() if f.endswith(".swift")]
+
+
+def index_store(root: Path, home: Path | None = None) -> Path | None:
+    """Where a project's index store is: in its build folder (spm) or under the derived data of its name, newer layouts first; None without one."""
+    root = Path(root)
+    if project_type(root) == "spm":
+        found = [root / ".build/index/store"]
+    else:
+        derived = (Path.home() if home is None else Path(home)) / "Library/Developer/Xcode/DerivedData"
+        folders = sorted(f for f in derived.glob("*") if f.name.startswith(root.resolve().name)) if derived.is_dir() else []
+        found = [f / store for f in folders for store in ("Index.noindex/DataStore", "Index/DataStore")]
+    return next((f for f in found if f.is_dir()), None)

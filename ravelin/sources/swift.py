@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions.paths import should_include, truncated_signature
+from ravelin.plans.tables import table
 from ravelin.sources.syntax import lexed
 
 #: Folders that are left out unless a configuration says otherwise.
@@ -40,9 +41,9 @@ def split_lines(text: Column) -> Column:
 
 
 def lines(sources: DataFrame) -> DataFrame:
-    """file, pos (from 0), line, bare (the code of it, strings being ""), depth before and after."""
+    """file, pos (from 0), line, code (of the same length), bare (code, strings being ""), depth before and after."""
     both = F.arrays_zip(split_lines(F.col("text")).alias("line"), split_lines(F.col("code")).alias("bare"))
-    own = lexed(sources).select(F.col("path").alias("file"), F.posexplode(both).alias("pos", "x")).select("file", "pos", "x.line", F.regexp_replace("x.bare", r'#*"+ *"+#*', '""').alias("bare"))
+    own = lexed(sources).select(F.col("path").alias("file"), F.posexplode(both).alias("pos", "x")).select("file", "pos", "x.line", F.col("x.bare").alias("code"), F.regexp_replace("x.bare", r'#*"+ *"+#*', '""').alias("bare"))
     up, down = F.regexp_count("bare", F.lit(r"\{")), F.regexp_count("bare", F.lit(r"\}"))
     run = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("opens", up).withColumn("after", F.sum(up - down).over(run))
@@ -113,11 +114,45 @@ def calls(sources: DataFrame) -> DataFrame:
     return found.where((F.length("name") >= 2) & ~F.col("name").startswith("_") & ~F.col("name").isin(*_NOT_CALLS))
 
 
+#: Calls on a collection that change it.
+CHANGING = ("append", "insert", "remove", "removeAll", "removeLast", "removeFirst", "sort", "reverse", "merge", "formUnion", "subtract", "toggle")
+
+
+def uses(sources: DataFrame) -> DataFrame:
+    """file, line, name, own (written with self.) and changes of each name that a line uses: assigned to, or changed by a call."""
+    name, change = r"(?<![\w.])((?:self\.)?[A-Za-z_]\w*)\b(?!\s*\()", rf"(?<![\w.])((?:self\.)?[A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?:(?:[-+*/%&|^]|<<|>>)?=(?!=)|\.(?:{'|'.join(CHANGING)})\s*\()"
+    # what is declared, and labels of arguments, are no uses
+    bare = F.regexp_replace(F.regexp_replace("bare", r"\b(?:let|var|func|case|for)\s+\w+", " "), r"\b\w+\s*:(?!:)", " ")
+    found = lines(sources).select("file", (F.col("pos") + 1).alias("line"), F.regexp_extract_all(bare, F.lit(name), F.lit(1)).alias("all"), F.regexp_extract_all(bare, F.lit(change), F.lit(1)).alias("changed"))
+    each = found.select("file", "line", F.explode(F.array_distinct(F.concat("all", "changed"))).alias("text"), "changed")
+    return each.select("file", "line", F.regexp_replace("text", r"^self\.", "").alias("name"), F.col("text").startswith("self.").alias("own"), F.array_contains("changed", F.col("text")).alias("changes"))
+
+
+def state_edges(sources: DataFrame, d: DataFrame) -> DataFrame:
+    """source, target, kind, file and line of each use of a property in a function of its type: `mutates` if it changes it, else `references`.
+
+    d: declarations. A name that the function declares itself is its own, unless written with self.
+    """
+    from ravelin.operators.store import enclosing
+
+    functions = d.where("keyword = 'func'").select("file", "id", "line", "end_line", "container")
+    properties = d.where("keyword IN ('var', 'let') AND container IS NOT NULL").select("container", "name", F.col("id").alias("target"))
+    used = uses(sources).groupBy("file", "line", "name").agg(F.bool_or("own").alias("own"), F.bool_or("changes").alias("changes"))
+    named = used.join(properties.select("name").distinct(), "name", "left_semi")
+    within = enclosing(named.select("file", "line", "name"), functions).join(named, ["file", "line", "name"])
+    within = within.join(functions.select(F.col("id").alias("caller"), "container"), "caller")
+    local = properties.select(F.col("container").alias("caller"), "name", F.lit(True).alias("local")).distinct()
+    within = within.join(local, ["caller", "name"], "left").where("own OR local IS NULL")
+    kind = F.when(F.col("changes"), "mutates").otherwise("references")
+    return within.join(properties, ["container", "name"]).select(F.col("caller").alias("source"), "target", kind.alias("kind"), "file", "line")
+
+
 def graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of source files: containment, conformance, extension, and calls to `name::X`."""
+    """nodes and edges of source files: containment, conformance, extension, calls to `name::X`, and what functions do with the properties of their types."""
     from ravelin.operators.store import enclosing, keep_first_edges
 
-    d = declarations(sources)
+    sources = table(lexed(sources), "code")  # read by each of the passes below
+    d = table(declarations(sources), "declarations")
     null = lambda kind: F.lit(None).cast(kind)
     nodes = d.select(
         "id", "name", F.col("name").alias("qualified_name"), "kind", null("string").alias("sub_kind"), "file", "line", F.lit(1).alias("col"), "end_line",
@@ -125,8 +160,9 @@ def graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         null("int").alias("lines"), null("int").alias("complexity"), null("int").alias("parameter_count"),
     )
 
-    def edge(rows: DataFrame, source: str, target: Column, kind: str, line: Column) -> DataFrame:
-        return rows.select(F.col(source).alias("source"), target.alias("target"), F.lit(kind).alias("kind"), "file", line.cast("int").alias("line"), null("int").alias("col"), F.lit(False).alias("is_implicit"))
+    def edge(rows: DataFrame, source: str, target: Column, kind: Column | str, line: Column) -> DataFrame:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return rows.select(F.col(source).alias("source"), target.alias("target"), kind.alias("kind"), "file", line.cast("int").alias("line"), null("int").alias("col"), F.lit(False).alias("is_implicit"))
 
     types = d.where("keyword IN ('class', 'struct', 'enum', 'actor')").select("id", "file", "line", F.explode("inherits").alias("parent"))
     called = enclosing(calls(sources), d.where("keyword = 'func'").select("file", "id", "line", "end_line"))
@@ -135,6 +171,7 @@ def graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(types, "id", F.concat(F.lit("synthetic::"), F.col("parent")), "conformsTo", F.col("line")))
         .unionByName(edge(d.where("keyword = 'extension'"), "id", F.concat(F.lit("synthetic::"), F.col("name")), "extendsType", F.col("line")))
         .unionByName(edge(called, "caller", F.concat(F.lit("name::"), F.col("name")), "calls", F.col("line")))
+        .unionByName(edge(state_edges(sources, d), "source", F.col("target"), F.col("kind"), F.col("line")))
     )
     return nodes, keep_first_edges(edges.withColumn("load_seq", F.lit(0))).drop("load_seq")
 

@@ -63,3 +63,32 @@ def test_reading_files(spark, tmp_path):
     assert [r.path.split("/")[-1] for r in got] == ["A.swift"] and got[0].text == "struct A {}\n"
     one = swift.snippet(swift.read(spark, str(tmp_path)), got[0].path, 1).first()
     assert one.snippet == "struct A {}"
+
+
+def test_index_store_of_a_project(tmp_path):
+    root, home = tmp_path / "App", tmp_path / "home"
+    root.mkdir()
+    (root / "project.yml").write_text("")
+    assert project.index_store(root, home) is None
+    old = home / "Library/Developer/Xcode/DerivedData/App-abc/Index/DataStore"
+    old.mkdir(parents=True)
+    assert project.index_store(root, home) == old
+    new = old.parent.parent / "Index.noindex/DataStore"
+    new.mkdir(parents=True)
+    assert project.index_store(root, home) == new
+    (root / "project.yml").unlink()
+    (root / "Package.swift").write_text("")
+    assert project.index_store(root, home) is None
+    (root / ".build/index/store").mkdir(parents=True)
+    assert project.index_store(root, home) == root / ".build/index/store"
+
+
+def test_sources_of_a_project(spark, tmp_path):
+    for path in ("Sources/A.swift", "Sources/B.swift", "Pods/C.swift", "Sources/notes.md"):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("let x = 1")
+    names = lambda config: {r.path.split("/")[-1] for r in project.sources(spark, tmp_path, config).collect()}
+    assert names(None) == {"A.swift", "B.swift"}
+    assert names(project.Config(exclude=[])) == {"A.swift", "B.swift", "C.swift"}
+    assert names(project.Config(include=["**/A.swift"])) == {"A.swift"}

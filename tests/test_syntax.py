@@ -107,45 +107,51 @@ def test_nearest_view_and_words_of_a_block(spark):
 FAR = "\n".join(f"    step({i})" for i in range(60))
 
 
-@pytest.mark.parametrize(
-    ("rule", "text", "lines"),
-    [
-        ("PERF-004", f"func f() {{\n    out.reserveCapacity(9)\n{FAR}\n    for x in xs {{\n        out.append(x)\n    }}\n}}", []),
-        ("PERF-004", "func g() {\n    out.reserveCapacity(9)\n}\nfunc f() {\n    for x in xs {\n        out.append(x)\n    }\n}", [5]),
-        ("SUI-005", f"LazyVStack {{\n{FAR}\n    ForEach(xs) {{ row($0) }}\n}}", []),
-        ("SUI-005", "List {\n    a\n}\nVStack {\n    ForEach(xs) { row($0) }\n}", [5]),
-        ("SUI-005", "VStack {\n    List {\n        ForEach(xs) { row($0) }\n    }\n}", []),
-        ("A11Y-001", f"VStack {{\n    Image(a)\n{FAR}\n    x.accessibilityLabel(b)\n}}", []),
-        ("A11Y-001", "VStack {\n    Image(a)\n}\nText(b).accessibilityLabel(c)", [2]),
-        ("A11Y-001", "VStack {\n    Image(a)\n        .accessibilityLabel(b)\n    Image(c).resizable()\n}", [4]),
-        ("A11Y-004", f"VStack {{\n    Button(a)\n{FAR}\n    x.frame(height: 20)\n}}", [1, 63]),
-        ("A11Y-004", "func f() {\n    Button(a)\n}\nfunc g() {\n    x.frame(height: 20)\n}", []),
-        ("MEM-001", "let completion = 1\nrun {\n    self.go()\n}", []),
-        ("MEM-001", "load(handler:\n    {\n        self.go()\n    })", [2]),
-        ("NET-001", "let s: CFSocket = a\nlet t = 1", [1]),
-        ("STR-001", 'func f() {\n    let d = at(.documentDirectory)\n    put(d, "cache")\n}', [1]),
-        ("STR-001", 'while a {\n    put(.documentDirectory, "temp")\n}', [1, 2]),
-        ("NET-003", 'let u = """\nftp://10.1.2.3/x\n"""', []),
-    ],
-)
-def test_rules_see_the_tree(spark, rule, text, lines):
-    sources = spark.createDataFrame([("Sources/A.swift", text)], "path string, text string")
-    got = rules.findings(sources, [r for r in rules.RULES if r.id == rule])
-    assert sorted({r.line for r in got.collect()}) == lines
-
-
-def test_no_findings_in_comments(spark):
-    bad = "class A: ObservableObject {\n    var delegate: D?\n    func f() {\n        for x in xs {\n            out.append(await x.y)\n        }\n        let c = try? decoder.decode(A.self)\n        NavigationView { }\n    }\n}"
-    blocks = [r for r in rules.RULES if r.kinds != rules.LINE]
-    for text in (f"/*\n{bad}\n/* nested */\n{bad}\n*/\nlet x = 1", f'let s = """\n{bad}\n"""', "\n".join("// " + x for x in bad.split("\n"))):
-        assert rules.findings(spark.createDataFrame([("A.swift", text)], "path string, text string"), blocks).isEmpty()
-    assert rules.findings(spark.createDataFrame([("A.swift", bad)], "path string, text string"), blocks).count() >= 6
-
-
-def test_awaits_are_counted(spark):
-    text = "func f() {\n    for x in xs {\n        await a.b()\n        await c.d()\n    }\n}"
-    got = rules.findings(spark.createDataFrame([("A.swift", text)], "path string, text string"), [r for r in rules.RULES if r.id == "PERF-005"]).collect()
-    assert ["2 await" in r.message for r in got] == [True]
+CASES = [
+    ("PERF-004", f"func f() {{\n    out.reserveCapacity(9)\n{FAR}\n    for x in xs {{\n        out.append(x)\n    }}\n}}", []),
+    ("PERF-004", "func g() {\n    out.reserveCapacity(9)\n}\nfunc f() {\n    for x in xs {\n        out.append(x)\n    }\n}", [5]),
+    ("SUI-005", f"LazyVStack {{\n{FAR}\n    ForEach(xs) {{ row($0) }}\n}}", []),
+    ("SUI-005", "List {\n    a\n}\nVStack {\n    ForEach(xs) { row($0) }\n}", [5]),
+    ("SUI-005", "VStack {\n    List {\n        ForEach(xs) { row($0) }\n    }\n}", []),
+    ("A11Y-001", f"VStack {{\n    Image(a)\n{FAR}\n    x.accessibilityLabel(b)\n}}", []),
+    ("A11Y-001", "VStack {\n    Image(a)\n}\nText(b).accessibilityLabel(c)", [2]),
+    ("A11Y-001", "VStack {\n    Image(a)\n        .accessibilityLabel(b)\n    Image(c).resizable()\n}", [4]),
+    ("A11Y-004", f"VStack {{\n    Button(a)\n{FAR}\n    x.frame(height: 20)\n}}", [1, 63]),
+    ("A11Y-004", "func f() {\n    Button(a)\n}\nfunc g() {\n    x.frame(height: 20)\n}", []),
+    ("MEM-001", "let completion = 1\nrun {\n    self.go()\n}", []),
+    ("MEM-001", "load(handler:\n    {\n        self.go()\n    })", [2]),
+    ("NET-001", "let s: CFSocket = a\nlet t = 1", [1]),
+    ("STR-001", 'func f() {\n    let d = at(.documentDirectory)\n    put(d, "cache")\n}', [1]),
+    ("STR-001", 'while a {\n    put(.documentDirectory, "temp")\n}', [1, 2]),
+    ("NET-003", 'let s = """\nftp://10.1.2.3/x\n"""\nlet t = """\n10.1.2.3\n"""', [1]),
+    ("MEM-001", "class A {\n    func f() {\n        completion = 1\n        self.go()\n    }\n}", []),
+    ("PERF-005", "func f() {\n    for x in xs {\n        await a.b()\n        await c.d()\n    }\n}", [2]),
+]
+BAD = "class A: ObservableObject {\n    var delegate: D?\n    func f() {\n        for x in xs {\n            out.append(await x.y)\n        }\n        let c = try? decoder.decode(A.self)\n        NavigationView { }\n    }\n}"
+HIDDEN = {"comment": f"/*\n{BAD}\n/* nested */\n{BAD}\n*/\nlet x = 1", "string": f'let s = """\n{BAD}\n"""', "slashes": "\n".join("// " + x for x in BAD.split("\n")), "code": BAD}
+
+
+@pytest.fixture(scope="module")
+def issues(spark):
+    """What all rules find in all texts."""
+    texts = [(f"case{i}.swift", text) for i, (_, text, _) in enumerate(CASES)] + [(f"{name}.swift", text) for name, text in HIDDEN.items()]
+    return rules.findings(spark.createDataFrame(texts, "path string, text string")).collect()
+
+
+@pytest.mark.parametrize("i", range(len(CASES)))
+def test_rules_see_the_tree(issues, i):
+    rule, _, lines = CASES[i]
+    assert sorted({r.line for r in issues if r.rule == rule and r.file == f"case{i}.swift"}) == lines
+
+
+def test_no_findings_in_comments(issues):
+    of_lines = {r.id for r in rules.RULES if r.kinds == rules.LINE}
+    count = {name: sum(r.file == f"{name}.swift" and r.rule not in of_lines for r in issues) for name in HIDDEN}
+    assert count.pop("code") >= 6 and set(count.values()) == {0}
+
+
+def test_awaits_are_counted(issues):
+    assert ["2 await" in r.message for r in issues if r.rule == "PERF-005" and r.file == f"case{len(CASES) - 1}.swift"] == [True]
 
 
 def test_declarations_in_comments_and_strings(spark):
