@@ -16,7 +16,8 @@ inner products of the original vectors in double precision.
 `bits`, `flips` and `substrings` are measured, not fixed: up to MEASURED queries
 get their true neighbours by one scan, and of all plans that retrieve RECALL
 of these the one with the least work is taken. So they follow
-the table, at any size.
+the table, at any size. If no plan retrieves that, every query is answered by scans of
+all vectors, exactly.
 
 The index is cut by rows: vectors are dealt into shards of about SHARD rows by a
 hash, and a task builds the buckets of its shard (each piece's rows in the
@@ -152,11 +153,10 @@ def plans(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, o
             yield m * (values * n_shards(n_rows) + n_rows / max(1, n_queries)) + PAIR * pairs, float(recall[m - 1]), float(met.any(axis=2).mean()), Plan(bits, flips, m)
 
 
-def best_plan(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Plan:
-    """The cheapest plan with RECALL on the measured queries; where none has it, that with the highest."""
-    found = list(plans(codes, queries, near, of, others, n_rows, n_queries))
-    enough = [f for f in found if f[1] >= RECALL] or [max(found, key=lambda f: f[1])]
-    return min(enough)[3]
+def best_plan(codes: Codes, queries: np.ndarray, near: np.ndarray, of: np.ndarray, others: np.ndarray, n_rows: int, n_queries: int) -> Plan | None:
+    """The cheapest plan with RECALL on the measured queries; None if no plan has it."""
+    enough = [f for f in plans(codes, queries, near, of, others, n_rows, n_queries) if f[1] >= RECALL]
+    return min(enough)[3] if enough else None
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -287,7 +287,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def _fitted(groups: DataFrame, units: DataFrame, n_rows: int, n_units: int, longest: float, k: int) -> tuple[Codes, Plan]:
+def _fitted(groups: DataFrame, units: DataFrame, n_rows: int, n_units: int, longest: float, k: int) -> tuple[Codes, Plan | None]:
     """Codes learned on a sample of vectors and the plan measured on a sample of queries."""
     by_hash = lambda df, n: df.orderBy(F.xxhash64("embedding"), *df.columns[:1]).limit(n)
     sample = _matrix(by_hash(groups.select("no", "embedding"), SAMPLE).toArrow().column("embedding"))
@@ -323,15 +323,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan | None
     count = n_shards(n_rows)
     shards = groups.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "no"), F.lit(count)))
     first, rest = shards.where(F.col("shard") < ceil(count / FIRST)), shards.where(F.col("shard") >= ceil(count / FIRST))
-    rounds, near = ceil(n_units * width * 8 / QUERY_BYTES), None
-    for r in range(rounds):
+    rounds = ceil(n_units * width * 8 / QUERY_BYTES)
+    near = rows.sparkSession.createDataFrame([], FOUND)
+    for r in range(rounds if plan else 0):
         part = units.where(F.pmod(F.xxhash64("u"), F.lit(rounds)) == r).select("u", "embedding", "own")
         found = table(_top(probed(first, part.toArrow(), codes, plan, k), k), "near")
         if count > 1:
             kth = found.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
             told = part.join(kth, "u", "left").select(*part.columns, F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
             found = table(_top(found.unionByName(probed(rest, told.toArrow(), codes, plan, k)), k), "near")
-        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(found)
     enough = near.groupBy("u").count().where(F.col("count") >= min(k, n_rows - 1)).select("u")
     short = table(units.join(enough, "u", "left_anti"), "short")
     n_short = short.count()
