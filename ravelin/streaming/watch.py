@@ -4,8 +4,7 @@ The trigger's interval gathers changes, as a debounce would. Of each file the
 hash of what was seen last is kept as state by its path, in the checkpoint: a
 row goes on only if its text is another one. So a batch costs what has changed,
 not a look at all files that are stored, and a restart does not index anything
-twice. State of a file that nothing was heard of for `keep` goes; its next row
-goes on and is compared with what is stored.
+twice. A hash is kept for as long as the checkpoint is.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ravelin.operators.store import with_hash
 
-#: Milliseconds for which a file's hash is kept: 30 days.
-KEEP = 30 * 24 * 3600 * 1000
 CHANGED = "path string, text string, load_seq long, hash string"
 
 
@@ -31,13 +28,10 @@ def watched(files: DataFrame) -> DataFrame:
     return files.where(path.endswith(".swift") & ~F.concat(F.lit("/"), path).rlike("/(\\.build|DerivedData)/"))
 
 
-def changed(stream: DataFrame, keep: int = KEEP) -> DataFrame:
+def changed(stream: DataFrame) -> DataFrame:
     """Of each batch of a stream the last row of each file (by load_seq, then text) whose text is not the one seen last."""
 
     def work(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = None
         for frame in frames:
             best = frame.sort_values(["load_seq", "text"]).iloc[-1:]
@@ -45,16 +39,15 @@ def changed(stream: DataFrame, keep: int = KEEP) -> DataFrame:
                 last = best
         known = state.get[0] if state.exists else None
         state.update((last.hash.iloc[0],))
-        state.setTimeoutDuration(keep)
         if last.hash.iloc[0] != known:
             yield last[["path", "text", "load_seq", "hash"]]
 
     rows = watched(stream).select("path", F.coalesce("text", F.lit("")).alias("text"), F.col("load_seq").cast("long").alias("load_seq"))
     by_path = with_hash(rows, "text").groupBy("path")
-    return by_path.applyInPandasWithState(work, CHANGED, "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return by_path.applyInPandasWithState(work, CHANGED, "hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def start(stream: DataFrame, reindex: Callable[[DataFrame, int], object], checkpoint: str, every: str = "2 seconds", once: bool = False, keep: int = KEEP) -> StreamingQuery:
+def start(stream: DataFrame, reindex: Callable[[DataFrame, int], object], checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
     """Starts the watch; reindex gets each batch's changed files (path, text, load_seq, hash) and its number."""
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -63,5 +56,5 @@ def start(stream: DataFrame, reindex: Callable[[DataFrame, int], object], checkp
             reindex(rows, number)
         rows.unpersist()
 
-    writer = changed(stream, keep).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = changed(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
