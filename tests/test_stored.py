@@ -110,7 +110,7 @@ def test_index_store_and_the_rest_parsed(spark, sources, tmp_path):
     ]
     dump = spark.createDataFrame(rows, "usr string, name string, kind int, properties long, roles long, file string, line int, col int, relations array<struct<usr:string,kind:int,roles:long>>")
     done = graph.index_store(dump, code)
-    assert done == {"files_indexed": 1, "nodes_added": 2, "edges_added": 2, "strategy": "index-store"}  # B.swift was stored already
+    assert done == {"files_indexed": 1, "nodes_added": 2, "edges_added": 2, "strategy": "hybrid"}  # B.swift was stored already
     assert sorted(n.name for n in graph.nodes.collect()) == ["A", "B", "f", "g"]
     whole = StoredGraph(spark, str(tmp_path / "whole"))
     assert whole.index_store(dump, code)["strategy"] == "hybrid" and state(whole)[1:] == state(graph)[1:]
