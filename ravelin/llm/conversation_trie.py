@@ -6,8 +6,9 @@ prefixes made, one for each turn of a different sequence:
 
   places     the place of each turn, a running count over (conv_id, turn)
   prefixes   a prefix is named by its depth and sums of its turns' hashes (each
-             with its place), which are running totals too: a conversation with
-             most of all turns lies in many slices, and no task holds it
+             with its place), which are running totals too, over the slices of
+             the places: a conversation with most of all turns lies in many of
+             them, and no task holds it
   sequences  conversations of equal last prefix are one, with weight and ends
   leaves     sequences that are no proper prefix of another, by an anti-join
   nodes      sums over the weighted prefixes that share a name
@@ -30,9 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,8 @@ from ravelin.llm.scratch import drop, table
 GROUP, MOST = 5, 9
 #: Of m rows fewer than HOT share a value with more than m / HOT others each, so a table of such values is broadcast.
 HOT = 4096
-#: Characters of a list of ends that are held at once.
-CHUNK = 1 << 20
+#: A piece of a list of ends holds those of at most so many neighbouring conv_ids (rounded down to a power of two).
+CHUNK = 1 << 12
 SUMS = ("k1", "k2", "k3", "k4")
 
 
@@ -71,13 +70,15 @@ def by_slice(rows: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def rebuilt(rows: DataFrame) -> DataFrame:
-    """conv_id, depth, name and n_bytes of every turn of the rebuilt conversations.
+    """slice, conv_id, depth, name and n_bytes of every turn of the rebuilt conversations, and of their empty starts (depth 0).
 
     rows: turns(). Conversation c begins with the first borrows(c) turns of
-    c - c % GROUP, and goes on with its own after as many.
+    c - c % GROUP, and goes on with its own after as many. Its own turns stay
+    in the slices in which they were counted; the borrowed ones, fewer than
+    MOST, are the slice before them.
     """
     placed = table(
-        running_totals(rows.withColumn("one", F.lit(1)), ["conv_id"], ["turn", "name"], ["one"], keep_slice=True).drop("turn", "one"), "places"
+        running_totals(rows.withColumn("one", F.lit(1)), ["conv_id"], ["turn", "name"], ["one"], keep_slice=True, nulls=False).drop("turn", "one"), "places"
     )
     sizes = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
     lenders = sizes.select(F.col("conv_id").alias("lender"), "size")
@@ -91,9 +92,11 @@ def rebuilt(rows: DataFrame) -> DataFrame:
     own = placed.where((F.col("conv_id") % GROUP != 0) & (F.col("before_one") >= borrows(F.col("conv_id"))))
     depth = F.col("before_one") + 1
     return (
-        placed.where(F.col("conv_id") % GROUP == 0).select("conv_id", depth.alias("depth"), "name", "n_bytes")
-        .unionByName(begun.select("conv_id", depth.alias("depth"), "name", "n_bytes"))
-        .unionByName(by_slice(own, takes).select("conv_id", (depth - borrows(F.col("conv_id")) + F.col("taken")).alias("depth"), "name", "n_bytes"))
+        placed.where(F.col("conv_id") % GROUP == 0).select("slice", "conv_id", depth.alias("depth"), "name", "n_bytes")
+        .unionByName(placed.where("before_one = 0").select(F.lit(-1).alias("slice"), "conv_id", F.lit(0).alias("depth"), F.lit(None).cast("binary").alias("name"), F.lit(0).alias("n_bytes")))
+        .unionByName(begun.select(F.lit(-1).alias("slice"), "conv_id", depth.alias("depth"), "name", "n_bytes"))
+        .unionByName(by_slice(own, takes).select("slice", "conv_id", (depth - borrows(F.col("conv_id")) + F.col("taken")).alias("depth"), "name", "n_bytes"))
+        .repartition("slice", "conv_id")
     )
 
 
@@ -101,43 +104,22 @@ def _node(depth: Column, sums: list[Column]) -> Column:
     return F.unhex(F.left(F.sha2(F.concat_ws(",", depth.cast("string"), *(s.cast("string") for s in sums)).cast("binary"), 256), F.lit(32)))
 
 
-def prefixes(sequence_rows: DataFrame, conv_ids: DataFrame) -> DataFrame:
-    """slice, conv_id, depth, node, parent, n_bytes and before_n_bytes of every prefix, the empty one (of all conv_ids) included."""
+def prefixes(sequence_rows: DataFrame) -> DataFrame:
+    """slice, conv_id, depth, node, parent (of the empty one null), n_bytes and before_n_bytes of every prefix. sequence_rows: rebuilt()."""
     low = F.lit(0xFFFFFFFF)
     pieces = {}
     for i, seed in enumerate((1, 2)):
         h = F.xxhash64(F.lit(seed), F.col("depth"), F.col("name"))
+        h = F.when(F.col("depth") > 0, h).otherwise(0)
         pieces |= {SUMS[2 * i]: F.shiftrightunsigned(h, 32), SUMS[2 * i + 1]: h.bitwiseAND(low)}
-    summed = running_totals(sequence_rows.withColumns(pieces).drop("name"), ["conv_id"], ["depth"], [*SUMS, "n_bytes"], keep_slice=True)
+    summed = running_totals(sequence_rows.withColumns(pieces).drop("name"), ["conv_id"], ["depth"], [*SUMS, "n_bytes"], keep_slice=True, nulls=False, sliced=True)
     own = [F.col(f"before_{k}") + F.col(k) for k in SUMS]
     above = [F.col(f"before_{k}") for k in SUMS]
-    rows = summed.select(
+    return summed.select(
         F.col("slice").cast("int").alias("slice"), "conv_id", F.col("depth").cast("long").alias("depth"), _node(F.col("depth"), own).alias("node"),
-        _node(F.col("depth") - 1, above).alias("parent"), "n_bytes", F.col("before_n_bytes").cast("long").alias("before_n_bytes"),
+        F.when(F.col("depth") > 0, _node(F.col("depth") - 1, above)).alias("parent"), F.col("n_bytes").cast("long").alias("n_bytes"),
+        F.col("before_n_bytes").cast("long").alias("before_n_bytes"),
     )
-    zero = F.lit(0)
-    empty = conv_ids.select(
-        F.lit(-1).alias("slice"), "conv_id", F.lit(0).cast("long").alias("depth"), _node(zero, [zero] * len(SUMS)).alias("node"),
-        F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("before_n_bytes"),
-    )
-    return rows.unionByName(empty)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node and conv_id, as pieces of lists: node, its depth and total, the first conv_id, how many, and their decimals joined by commas."""
-    names = ["node", "depth", "total", "conv_id", "n", "ids"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = batch.column("node")
-        other = pc.not_equal(node.slice(1), node.slice(0, len(node) - 1)).to_numpy(zero_copy_only=False)
-        ids = pc.cast(batch.column("conv_id"), pa.string())
-        ends = np.cumsum(pc.binary_length(ids).to_numpy() + 1)
-        starts = np.union1d(np.flatnonzero(np.concatenate(([True], other))), np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)))
-        bounds = pa.array(np.append(starts, len(node)).astype(np.int32))
-        lists = pc.binary_join(pa.ListArray.from_arrays(bounds, ids), ",")
-        first = batch.select(["node", "depth", "total", "conv_id"]).take(pa.array(starts))
-        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(np.diff(np.append(starts, len(node)))), lists], names)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +150,17 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sequences(rows: DataFrame) -> DataFrame:
     """The different sequences: node, depth and total (bytes) of the whole one, its least conv_id, weight, and ends_sha256.
 
-    rows: prefixes(). The lists are sorted in slices, which pack them into
-    pieces, so that one of any length passes through memory piece by piece.
+    rows: prefixes(). Each list is cut into pieces of neighbouring conv_ids, so
+    that one of any length passes through memory piece by piece.
     """
     last = rows.groupBy("conv_id").agg(F.max(F.struct("depth", "node")).alias("last"), F.sum("n_bytes").alias("total"))
-    ends = last.select("last.node", "last.depth", "total", "conv_id")
-    pieces = ends.repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id")
-    kinds = "node binary, depth long, total long, conv_id long"
-    packed = pieces.mapInArrow(_chunks, f"{kinds}, n long, ids string")
-    return packed.repartition("node").sortWithinPartitions("node", "conv_id").mapInArrow(_ends, f"{kinds}, weight long, ends_sha256 string")
+    ends = last.select("last.node", "last.depth", "total", "conv_id", F.shiftright("conv_id", CHUNK.bit_length() - 1).alias("piece"))
+    ids = F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",")
+    pieces = ends.groupBy("node", "piece").agg(
+        F.max("depth").alias("depth"), F.max("total").alias("total"), F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n"), ids.alias("ids")
+    ).drop("piece")
+    kinds = "node binary, depth long, total long, conv_id long, weight long, ends_sha256 string"
+    return pieces.repartition("node").sortWithinPartitions("node", "conv_id").mapInArrow(_ends, kinds)
 
 
 def trie(conversations: DataFrame) -> DataFrame:
@@ -188,7 +172,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     """
     rows = table(turns(conversations), "turns")
     sequence_rows = rebuilt(rows)
-    every = table(prefixes(sequence_rows, rows.select("conv_id").distinct()), "prefixes")
+    every = table(prefixes(sequence_rows), "prefixes")
     whole = table(sequences(every), "sequences")
     paths = by_slice(every, whole.select("conv_id", "weight", "total", F.col("depth").alias("length")))
     paths = table(paths, "weighted_prefixes")
