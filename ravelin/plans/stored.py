@@ -206,4 +206,4 @@ class StoredGraph:
 
     def watch(self, stream: DataFrame, checkpoint: str, **how: object) -> object:
         """Starts a watch (streaming.watch) that indexes what a stream of (path, text, load_seq) changes."""
-        return watch.start(stream, lambda rows, number: self.index(rows), checkpoint, **how)
+        return watch.start(stream, None, lambda rows, number: self.index(rows), checkpoint, **how)

@@ -4,7 +4,8 @@ The trigger's interval gathers changes, as a debounce would. Of each file the
 hash of what was seen last is kept as state by its path, in the checkpoint: a
 row goes on only if its text is another one. So a batch costs what has changed,
 not a look at all files that are stored, and a restart does not index anything
-twice. A hash is kept for as long as the checkpoint is.
+twice. A hash is kept for as long as the checkpoint is. A new checkpoint knows no
+file yet: what `stored` has with the same hash is left out of a batch as well.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ravelin.operators.store import with_hash
+from ravelin.operators.store import changed_files, with_hash
 
 CHANGED = "path string, text string, load_seq long, hash string"
 
@@ -47,11 +48,16 @@ def changed(stream: DataFrame) -> DataFrame:
     return by_path.applyInPandasWithState(work, CHANGED, "hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def start(stream: DataFrame, reindex: Callable[[DataFrame, int], object], checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
-    """Starts the watch; reindex gets each batch's changed files (path, text, load_seq, hash) and its number."""
+def start(
+    stream: DataFrame, stored: Callable[[], DataFrame] | None, reindex: Callable[[DataFrame, int], object], checkpoint: str, every: str = "2 seconds", once: bool = False
+) -> StreamingQuery:
+    """Starts the watch; reindex gets each batch's changed files (path, text, load_seq, hash) and its number.
+
+    stored() gives (path, hash) of what is stored as of now; None if reindex compares with that itself.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
+        rows = (changed_files(rows, stored()).select(*rows.columns) if stored else rows).persist()
         if not rows.isEmpty():
             reindex(rows, number)
         rows.unpersist()
