@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravelin.functions.paths import glob_regex, module_of_path
-from ravelin.operators.traverse import k_hops, reached
+from ravelin.operators.traverse import held, k_hops, numbered, reached, reaching_others
+from ravelin.plans.tables import drop, table
 
 
 def _count(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -237,25 +238,46 @@ def impact_breakdown(edges: DataFrame, symbol: str) -> DataFrame:
 REACHED_BY = ("calls", "conformsTo", "inheritsFrom")
 
 
+def _places(nodes: DataFrame, changed_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables: id and file of all symbols, and those in the changed files as numbered seeds."""
+    places = table(nodes.select("id", "file"), "places")
+    return places, numbered(places.join(changed_files, "file", "left_semi").withColumnRenamed("id", "seed"))
+
+
+def _files_of(places: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """A table of file and is_test of the symbols whose ids are in the tables found, which go."""
+    ids = places.limit(0).select("id")
+    for rows in found:
+        ids = ids.unionByName(rows.select("id"))
+    ids, how = held(ids)
+    out = table(places.join(ids, "id", "left_semi").select("file", is_test_file().alias("is_test")).distinct(), "affected_files", how)
+    drop(*found)
+    return out
+
+
 def affected_files(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, depth: int = 3) -> DataFrame:
     """file and is_test of every file with a symbol that depends on one in the changed files (column file)."""
-    seeds = nodes.join(changed_files, "file", "left_semi").select(F.col("id").alias("seed")).distinct()
-    ids = reached(edges, seeds, depth).where("level > 0").select("id").distinct()
-    return nodes.join(ids, "id", "left_semi").select("file", is_test_file().alias("is_test")).distinct()
+    places, seeds = _places(nodes, changed_files)
+    back = table(edges.select("source", "target").where("source IS NOT NULL"), "edges")
+    out = _files_of(places, reaching_others(back, seeds, depth))
+    drop(places, seeds, back)
+    return out
 
 
 def diff_impact(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, depth: int = 3) -> DataFrame:
     """One row for a set of changed files (column file): symbols in them, the sum of their direct impact, distinct callers,
     conforming types and subtypes, affected files and tests, and risk (none, if there is no such symbol)."""
-    changed_files = changed_files.distinct()
-    seeds = nodes.join(changed_files, "file", "left_semi").select(F.col("id").alias("seed")).distinct()
-    into = seeds.join(edges.withColumnRenamed("target", "seed").select("seed", "source", "kind").distinct(), "seed", "left")
-    out = into.agg(
-        F.countDistinct("seed").alias("symbols"),
-        F.countDistinct(F.when(F.col("source") != F.col("seed"), F.struct("seed", "source"))).alias("total_direct_impact"),
-        F.countDistinct(F.when(F.col("kind").isin(*REACHED_BY), F.col("source"))).alias("total_transitive_impact"),
-    )
-    files = affected_files(nodes, edges, changed_files, depth).agg(F.count_if(~F.col("is_test")).alias("files"), F.count_if("is_test").alias("tests"))
+    places, seeds = _places(nodes, changed_files)
+    back = table(edges.select("source", "target", F.coalesce(F.col("kind").isin(*REACHED_BY), F.lit(False)).alias("by")).where("source IS NOT NULL"), "edges")
+    own, how = held(seeds, "seed")
+    into = back.join(own, F.col("target") == F.col("seed")).groupBy("source", "number").agg(F.bool_or("by").alias("by"), F.bool_or(F.col("source") != F.col("seed")).alias("other"))
+    near = into.groupBy(F.col("source").alias("id")).agg(F.min("number").alias("low"), F.max("number").alias("high"), F.bool_or("by").alias("by"), F.count_if("other").alias("direct"))
+    near = table(near, "near", how)  # the first level of the walk
+    files = _files_of(places, reaching_others(back, seeds, depth, near.select("id", "low", "high")))
+    out = near.agg(F.coalesce(F.sum("direct"), F.lit(0)).alias("total_direct_impact"), F.count_if("by").alias("total_transitive_impact"))
+    out = table(out.select(F.lit(seeds.count()).cast("long").alias("symbols"), "*"), "impact")
+    drop(places, seeds, back, near)
+    files = files.agg(F.count_if(~F.col("is_test")).alias("files"), F.count_if("is_test").alias("tests"))
     level = F.when(F.col("symbols") == 0, "none").otherwise(risk(F.col("total_transitive_impact"), DIFF_RISK))
     return out.join(F.broadcast(files)).withColumn("risk", level)  # one row and one row
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ravelin.plans.tables import drop, table
 
+#: Bytes that are broadcast to a join; of larger tables, those that one task holds while the other side passes; those of a row besides its key.
+SENT, HELD, ROW = 32 << 20, 24 << 20, 64
+
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seed, id and level of every symbol that reaches a seed in up to depth steps, level being the fewest; seeds at 0.
@@ -32,6 +35,56 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def held(rows: DataFrame, key: str = "id") -> tuple[DataFrame, dict[str, str]]:
+    """rows of a table (few of any one key) as the side of a join that is kept in memory, so that the other one is not sorted, and the settings to write the join with.
+
+    With these no task keeps more than about HELD bytes; what is read against them can still be split, where one key has much of it.
+    """
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
+    if size + ROW * n <= SENT:
+        return F.broadcast(rows), {}
+    partitions = "spark.sql.shuffle.partitions"
+    parts = max(int(rows.sparkSession.conf.get(partitions)), (size + ROW * n) // HELD + 1)
+    return rows.hint("shuffle_hash"), {partitions: str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def numbered(seeds: DataFrame) -> DataFrame:
+    """A table of the different seeds (column seed) with a number each."""
+    ids = seeds.select("seed").where("seed IS NOT NULL").distinct()
+    return table(ids.select("seed", F.monotonically_increasing_id().alias("number")), "seeds")
+
+
+def reaching_others(edges: DataFrame, seeds: DataFrame, depth: int, first: DataFrame | None = None) -> list[DataFrame]:
+    """Tables whose ids together (some twice) are the symbols that reach a seed other than themselves in up to depth steps.
+
+    edges: a table of source and target. seeds: a table as of numbered(). first:
+    id, low and high of the sources of edges into seeds, the least and the
+    greatest number of these, if they are known.
+
+    Two different seeds are enough to know of a symbol: one of them is not the
+    symbol itself, and that holds for all that lead to it. So a symbol is
+    walked from when its first seed is found and once more when a second is,
+    and rows grow with the symbols, not with pairs of symbol and seed.
+    """
+    frontier = seeds.select(F.col("seed").alias("id"), F.col("number").alias("low"), F.col("number").alias("high"))
+    seen, found = frontier, []
+    for level in range(1, depth + 1):
+        if first is not None and level == 1:
+            step, how = first, {}
+        else:
+            near, how = held(frontier)
+            step = edges.join(near, F.col("id") == F.col("target")).select(F.col("source").alias("id"), "low", "high")
+        known = F.when(F.col("low") == F.col("high"), 1).otherwise(2)
+        both = step.withColumn("known", F.lit(0)).unionByName(seen.withColumn("known", known)).groupBy("id")
+        both = both.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("known").alias("known"))
+        frontier = table(both.where("known = 0 OR known = 1 AND low <> high").select("id", "low", "high"), "level", how)
+        found.append(frontier)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return found
+
+
 def transitive_callers(edges: DataFrame, symbol: str, depth: int | None = None, limit: int | None = None) -> DataFrame:
     """level, source, target and line of every call on the way to symbol, those back to visited callers included."""
     calls = table(edges.where("kind = 'calls'").select("source", "target", "line"), "calls")

@@ -41,25 +41,28 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _no_shuffle_files_stay(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it the session has these settings."""
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and returns it read back.
 
     This cuts the lineage as checkpoint() does (a lost executor costs no
     recomputation of what came before) and keeps columns prunable. The shuffle
-    files behind it go as soon as it is written.
+    files behind it go as soon as it is written. more: settings while it is.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    with _no_shuffle_files_stay(spark):
+    with settings(spark, {CLEANUP: "true"} | (more or {})):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
