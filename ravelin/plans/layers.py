@@ -11,10 +11,16 @@ An update is seen as a whole or not at all: its last step is an empty file in
 `log` that names the layer. What an update left behind that broke off is
 written over by the next one. compact() writes all that counts as one layer.
 One update runs at a time.
+
+A layer can also be put off (add_later): each of its tables is written when it
+is first read, so a question costs the tables that it reads and no others.
+Only the Layers that put it off can write them; to another one a table that was
+not asked for yet is a missing folder, an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
@@ -22,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ravelin.plans.tables import CLEANUP, settings
+
 LAYER, GONE = "layer", "gone"
 #: Tables of a layer that are written at the same time.
 AT_ONCE = 4
@@ -45,6 +53,7 @@ class Layers:
     def __init__(self, spark: SparkSession, folder: str, layouts: dict[str, Layout]):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.layouts = layouts | {GONE: Layout(columns("file string"), ("file",))}
+        self._later: dict[str, tuple[int, Callable[[], DataFrame]]] = {}
 
     def _path(self, *parts: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
@@ -57,33 +66,56 @@ class Layers:
         base = max((i for i, n in enumerate(names) if n.endswith("-base")), default=0)
         return [int(n.split("-")[0]) for n in names[base:]]
 
+    def _write(self, name: str, number: int, new: DataFrame | None, few: bool = False) -> None:
+        layout = self.layouts[name]
+        if new is None:
+            new = self.spark.createDataFrame([], layout.schema)
+        new = new.select(*(F.col(f.name).cast(f.dataType) for f in layout.schema))
+        if layout.sums:
+            new = new.groupBy(*layout.key).agg(*(F.sum(c).alias(c) for c in layout.sums))
+            new = new.where(" OR ".join(f"{c} <> 0" for c in layout.sums)).select(*layout.schema.names)
+        elif name == GONE:
+            new = new.distinct()
+        laid = (new.coalesce(1) if few else new.repartitionByRange(*layout.key)).sortWithinPartitions(*layout.key)
+        laid.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/{LAYER}={number}")
+
+    def _commit(self, number: int, base: bool) -> None:
+        files, log = self._path("log", f"{number:08d}{'-base' if base else ''}")
+        files.create(log, False).close()
+        if base:
+            self._delete_before(number)
+
     def add(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, base: bool = False, few: bool = False) -> None:
         """Adds a layer of rows, in place of those of the files in gone (column file). base: in place of everything.
 
         few: the rows are known to fit one task, which sorts each table; no ranges are looked for.
         """
         number = max(self.committed(), default=0) + 1
-
-        def write(name: str) -> None:
-            layout = self.layouts[name]
-            new = gone if name == GONE else rows.get(name)
-            if new is None:
-                new = self.spark.createDataFrame([], layout.schema)
-            new = new.select(*(F.col(f.name).cast(f.dataType) for f in layout.schema))
-            if layout.sums:
-                new = new.groupBy(*layout.key).agg(*(F.sum(c).alias(c) for c in layout.sums))
-                new = new.where(" OR ".join(f"{c} <> 0" for c in layout.sums)).select(*layout.schema.names)
-            elif name == GONE:
-                new = new.distinct()
-            laid = (new.coalesce(1) if few else new.repartitionByRange(*layout.key)).sortWithinPartitions(*layout.key)
-            laid.write.mode("overwrite").parquet(f"{self.folder}/{name}/{LAYER}={number}")
-
-        with ThreadPoolExecutor(AT_ONCE) as pool:  # tables do not wait for each other
-            list(pool.map(write, self.layouts))
-        files, log = self._path("log", f"{number:08d}{'-base' if base else ''}")
-        files.create(log, False).close()
+        with settings(self.spark, {CLEANUP: "true"}), ThreadPoolExecutor(AT_ONCE) as pool:  # tables do not wait for each other; their shuffle files go with them
+            list(pool.map(lambda name: self._write(name, number, gone if name == GONE else rows.get(name), few), self.layouts))
+        self._commit(number, base)
         if base:
-            self._delete_before(number)
+            self._later.clear()
+
+    def add_later(self, rows: dict[str, Callable[[], DataFrame]]) -> None:
+        """Adds a layer in place of everything, whose tables are written when they are first read, from what their functions return then."""
+        number = max(self.committed(), default=0) + 1
+        self._write(GONE, number, None, True)
+        self._commit(number, True)
+        self._later = {name: (number, rows[name]) for name in self.layouts if name != GONE}
+
+    def _lay(self, name: str) -> None:
+        if name in self._later:
+            number, rows = self._later[name]
+            new = rows()
+            with settings(self.spark, {CLEANUP: "true"}):
+                self._write(name, number, new)
+            del self._later[name]
+
+    def first(self, name: str) -> DataFrame:
+        """A table's rows in the first of the layers that count."""
+        self._lay(name)
+        return self.spark.read.schema(self.layouts[name].schema).parquet(f"{self.folder}/{name}/{LAYER}={self.committed()[0]}")
 
     def _delete_before(self, number: int) -> None:
         for name in self.layouts:
@@ -93,6 +125,7 @@ class Layers:
 
     def every(self, name: str) -> DataFrame:
         """The rows of all layers, with the number of theirs."""
+        self._lay(name)
         schema = StructType([*self.layouts[name].schema.fields, StructField(LAYER, IntegerType())])
         at = [f"{self.folder}/{name}/{LAYER}={n}" for n in self.committed()]
         if not at:

@@ -18,7 +18,7 @@ block, however frequent a trigram is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,24 +84,36 @@ def grams(symbols: DataFrame) -> DataFrame:
     return blocks.mapInArrow(work, "trigram string, block long, n int, bits binary").withColumn("file", F.lit(None).cast("string"))
 
 
-def rows(added: DataFrame, removed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What an update that adds nodes and removes others brings to the tables."""
-    numbered = added.sortWithinPartitions("file", "id").select(F.monotonically_increasing_id().alias("number"), "id", "kind", "file", "name")
-    symbols, new = table(numbered, "symbols"), table(words(added), "postings")
+def _numbered(nodes: DataFrame) -> DataFrame:
+    return nodes.sortWithinPartitions("file", "id").select(F.monotonically_increasing_id().alias("number"), "id", "kind", "file", "name")
+
+
+def _dictionary(postings: DataFrame, sign: int = 1) -> DataFrame:
+    return postings.groupBy("term", "kind").agg((sign * F.count(F.lit(1))).alias("df"))
+
 
-    def counted(postings: DataFrame, nodes: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
-        length = sum((F.size(search.tokens(F.col(f))) for f in search.FIELDS), F.lit(0))
-        return postings.groupBy("term", "kind").agg((sign * F.count(F.lit(1))).alias("df")), nodes.groupBy("kind").agg(
-            (sign * F.count(F.lit(1))).alias("n"), (sign * F.sum(length)).alias("length")
-        )
+def _totals(nodes: DataFrame, sign: int = 1) -> DataFrame:
+    length = sum((F.size(search.tokens(F.col(f))) for f in search.FIELDS), F.lit(0))
+    return nodes.groupBy("kind").agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.sum(length)).alias("length"))
 
-    dictionary, totals = counted(new, added, 1)
+
+def rows(added: DataFrame, removed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What an update that adds nodes and removes others brings to the tables. postings and symbols are tables that go when it is there."""
+    symbols, new = table(_numbered(added), "symbols"), table(words(added), "postings")
+    dictionary, totals = _dictionary(new), _totals(added)
     if removed is not None:
-        d, t = counted(words(removed), removed, -1)
-        dictionary, totals = dictionary.unionByName(d), totals.unionByName(t)
+        dictionary, totals = dictionary.unionByName(_dictionary(words(removed), -1)), totals.unionByName(_totals(removed, -1))
     return {"postings": new, "dictionary": dictionary, "totals": totals, "symbols": symbols, "grams": grams(symbols)}
 
 
+def rows_later(layers: Layers, nodes: Callable[[], DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """The same for a first layer whose tables are written when they are read. nodes: returns a table."""
+    return {
+        "postings": lambda: words(nodes()), "dictionary": lambda: _dictionary(layers.first("postings")), "totals": lambda: _totals(nodes()),
+        "symbols": lambda: _numbered(nodes()), "grams": lambda: grams(layers.first("symbols")),
+    }
+
+
 class SearchIndex:
     """Searches over the tables of LAYOUTS."""
 

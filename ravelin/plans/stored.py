@@ -22,6 +22,8 @@ unless `purge` is set. Null texts are empty ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -113,9 +115,10 @@ class StoredGraph:
         """Calls from a symbol, those to a name led to each symbol of that name."""
         calls = self.outgoing(symbol, "calls")
         names = [r[0] for r in calls.where(F.col("target").startswith("name::")).select(F.expr("substring(target, 7)")).distinct().limit(PUSHED + 1).collect()]
+        if not names:  # all calls lead to symbols
+            return resolve_names(calls, self.spark.createDataFrame([], LAYOUTS["names"].schema))
         own = F.col("kind").isin(*CALLABLE)
-        symbols = self.layers.live("names", own & F.col("name").isin(*names) if names and len(names) <= PUSHED else own)
-        return resolve_names(calls, symbols)
+        return resolve_names(calls, self.layers.live("names", own & F.col("name").isin(*names) if len(names) <= PUSHED else own))
 
     def degrees(self, symbol: str | None = None) -> DataFrame:
         """id, fan_in and fan_out of symbols with relations, or of one."""
@@ -147,11 +150,23 @@ class StoredGraph:
             degrees, counts = degrees.unionByName(_degrees(removed["edges"], -1)), counts.unionByName(_counts(removed, -1))
         rows = {"files": files, "nodes": nodes, "edges": edges, "nodes_by_id": nodes, "names": nodes, "edges_by_source": edges, "edges_by_target": edges, "degrees": degrees, "counts": counts}
         few = sum(t.count() for t in (files, nodes, edges, *(removed or {}).values())) <= FEW
-        self.layers.add(rows | search_index.rows(nodes, removed["nodes"] if removed else None), gone, whole, few)
-        if removed:
-            drop(*removed.values())
+        found = search_index.rows(nodes, removed["nodes"] if removed else None)
+        self.layers.add(rows | found, gone, whole, few)
+        drop(found["symbols"], found["postings"], *(removed or {}).values())
         if len(self.layers.committed()) > MOST:
-            self.layers.compact(search_index.rows(self.nodes))
+            found = search_index.rows(self.nodes)
+            self.layers.compact(found)
+            drop(found["symbols"], found["postings"])
+
+    def put_later(self, files: Callable[[], DataFrame], nodes: Callable[[], DataFrame], edges: Callable[[], DataFrame]) -> None:
+        """Puts the tables that the functions return in place of everything. What is stored of them is written table by table, when first asked for.
+
+        The functions must return the same for as long as a table is not written. Until then only this object can answer.
+        """
+        of_files = lambda: files().withColumn("file", F.col("path"))
+        rows = {"files": of_files, "degrees": lambda: _degrees(edges(), 1), "counts": lambda: _counts({"files": files(), "nodes": nodes(), "edges": edges()}, 1)}
+        rows |= dict.fromkeys(("nodes", "nodes_by_id", "names"), nodes) | dict.fromkeys(("edges", "edges_by_source", "edges_by_target"), edges)
+        self.layers.add_later(rows | search_index.rows_later(self.layers, nodes))
 
     def index(self, sources: DataFrame, force: bool = False, purge: bool = False) -> dict[str, int]:
         """Brings the tables up to date with sources (path, text) and returns how many files were seen and indexed, nodes and edges written.

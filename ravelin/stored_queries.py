@@ -1,12 +1,14 @@
 """Queries on a stored graph: the projected one in layers, as first indexed and after updates.
 
 A graph is stored once for each session and folder of tables, in the shared
-folder; each query then reads what it asks for.
+folder. A table of it is written when a query first reads it, so a query costs
+the tables that it asks for, and later ones find them there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _STORED: dict[tuple[str, str, bool], StoredGraph] = {}
 
+#: Settings to write a large table that stays.
+DENSE = {"spark.sql.parquet.compression.codec": "zstd"}
 #: Fixed values of the updates: files that are parsed again, and one that goes.
 CHANGED, GONE = "Sources/ASIA/%/Suppliers.swift", "Sources/Orders/1-URGENT.swift"
 #: The graph after the updates, as SQL after projection.SQL: symbols of the changed files have other names and no calls.
@@ -40,12 +44,21 @@ def graph(spark: SparkSession, sf_dir: str, updated: bool = False) -> StoredGrap
     key = spark.sparkContext.applicationId, sf_dir, updated
     if key in _STORED and _STORED[key].layers.committed():
         return _STORED[key]
-    nodes = table(projection.nodes(spark, sf_dir), "nodes")
-    of = nodes.select(F.col("id").alias("source"), F.col("file").alias("of_file"))
-    edges = table(projection.edges(spark, sf_dir).join(of, "source").withColumn("file", F.col("of_file")).drop("of_file"), "edges")
+
+    @cache
+    def all_nodes() -> DataFrame:
+        return table(projection.nodes(spark, sf_dir), "nodes", DENSE)
+
+    @cache
+    def all_edges() -> DataFrame:
+        own, of = projection.edges(spark, sf_dir), projection.nodes(spark, sf_dir).select(F.col("id").alias("source"), "file")
+        same = {"col": F.lit(None).cast("int"), "is_implicit": F.lit(False)}  # of all of them, so these are not shuffled
+        return table(own.drop("file", *same).join(of, "source").withColumns(same).select(own.columns), "edges", DENSE)
+
     stored = StoredGraph(spark, new_dir(spark, "stored"))
-    stored.apply(_files(nodes), nodes, edges, nodes.select("file").limit(0), whole=True)
+    stored.put_later(lambda: _files(all_nodes()), all_nodes, all_edges)
     if updated:
+        nodes, edges = all_nodes(), all_edges()
         new = nodes.where(F.col("file").like(CHANGED)).withColumn("name", F.concat("name", F.lit("Renewed")))
         stored.apply(_files(new), new, edges.where(F.col("file").like(CHANGED) & (F.col("kind") == "conformsTo")), new.select("file").distinct())
         none = nodes.limit(0)
