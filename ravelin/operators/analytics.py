@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ravelin.functions.paths import glob_regex, module_of_path
 from ravelin.operators.traverse import held, k_hops, numbered, reached, reaching_others
-from ravelin.plans.tables import drop, table
+from ravelin.plans.tables import DENSE, drop, table
 
 
 def _count(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -258,7 +258,7 @@ def _files_of(places: DataFrame, found: list[DataFrame]) -> DataFrame:
 def affected_files(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, depth: int = 3) -> DataFrame:
     """file and is_test of every file with a symbol that depends on one in the changed files (column file)."""
     places, seeds = _places(nodes, changed_files)
-    back = table(edges.select("source", "target").where("source IS NOT NULL"), "edges")
+    back = table(edges.select("source", "target").where("source IS NOT NULL"), "edges", DENSE)
     out = _files_of(places, reaching_others(back, seeds, depth))
     drop(places, seeds, back)
     return out
@@ -268,7 +268,7 @@ def diff_impact(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame, de
     """One row for a set of changed files (column file): symbols in them, the sum of their direct impact, distinct callers,
     conforming types and subtypes, affected files and tests, and risk (none, if there is no such symbol)."""
     places, seeds = _places(nodes, changed_files)
-    back = table(edges.select("source", "target", F.coalesce(F.col("kind").isin(*REACHED_BY), F.lit(False)).alias("by")).where("source IS NOT NULL"), "edges")
+    back = table(edges.select("source", "target", F.coalesce(F.col("kind").isin(*REACHED_BY), F.lit(False)).alias("by")).where("source IS NOT NULL"), "edges", DENSE)
     own, how = held(seeds, "seed")
     into = back.join(own, F.col("target") == F.col("seed")).groupBy("source", "number").agg(F.bool_or("by").alias("by"), F.bool_or(F.col("source") != F.col("seed")).alias("other"))
     near = into.groupBy(F.col("source").alias("id")).agg(F.min("number").alias("low"), F.max("number").alias("high"), F.bool_or("by").alias("by"), F.count_if("other").alias("direct"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Has Spark delete a query's shuffle files when the query ends, and not only when the driver's garbage collector finds them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings to write a large table that is read more than once.
+DENSE = {"spark.sql.parquet.compression.codec": "zstd"}
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 from ravelin.operators import search as S
 from ravelin.plans import projection
 from ravelin.plans.stored import StoredGraph
-from ravelin.plans.tables import new_dir, table
+from ravelin.plans.tables import DENSE, new_dir, table
 from ravelin.queries import EDGE, NODE, ORDER, PART, SUPPLIER, bm25_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _STORED: dict[tuple[str, str, bool], StoredGraph] = {}
 
-#: Settings to write a large table that stays.
-DENSE = {"spark.sql.parquet.compression.codec": "zstd"}
 #: Fixed values of the updates: files that are parsed again, and one that goes.
 CHANGED, GONE = "Sources/ASIA/%/Suppliers.swift", "Sources/Orders/1-URGENT.swift"
 #: The graph after the updates, as SQL after projection.SQL: symbols of the changed files have other names and no calls.
